@@ -7,6 +7,12 @@ from pyspark.sql import functions as F
 
 from catalens.llm._common import table
 from catalens.llm.kd_sharding import kd_shards
+from catalens.llm.secret_forest import scan_secrets
+
+
+def op7_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "ordinal", F.sha2("candidate", 256).alias("candidate_sha256"), F.length("candidate").cast("long").alias("n_chars"), "score", "is_secret")
 
 
 def op10_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +21,7 @@ def op10_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op7_secret_forest": op7_secret_forest,
     "op10_kd_sharding": op10_kd_sharding,
 }
 #: Oracles of the queries that SQL can express on whole tables.

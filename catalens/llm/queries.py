@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalens.llm._common import table
 from catalens.llm.kd_sharding import kd_shards
 from catalens.llm.secret_forest import scan_secrets
+from catalens.llm.token_frames import token_digests
 
 
 def op7_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +17,10 @@ def op7_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "ordinal", F.sha2("candidate", 256).alias("candidate_sha256"), F.length("candidate").cast("long").alias("n_chars"), "score", "is_secret")
 
 
+def op8_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = kd_shards(table(spark, sf_dir, "documents"), n_shards=40)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -22,6 +28,7 @@ def op10_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op7_secret_forest": op7_secret_forest,
+    "op8_token_frames": op8_token_frames,
     "op10_kd_sharding": op10_kd_sharding,
 }
 #: Oracles of the queries that SQL can express on whole tables.

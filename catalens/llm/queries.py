@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from catalens.llm._common import table
 from catalens.llm.kd_sharding import kd_shards
+from catalens.llm.piece_spans import piece_digests
 from catalens.llm.secret_forest import scan_secrets
 from catalens.llm.token_frames import token_digests
 
@@ -21,6 +22,10 @@ def op8_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_piece_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_digests(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model")).drop("text")
+
+
 def op10_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = kd_shards(table(spark, sf_dir, "documents"), n_shards=40)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -29,6 +34,7 @@ def op10_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op7_secret_forest": op7_secret_forest,
     "op8_token_frames": op8_token_frames,
+    "op9_piece_spans": op9_piece_spans,
     "op10_kd_sharding": op10_kd_sharding,
 }
 #: Oracles of the queries that SQL can express on whole tables.

@@ -6,18 +6,26 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalens.llm._common import table
+from catalens.llm._common import crc32_mod, table
 from catalens.llm.adaptive_quality import quality_verdicts, verdict_sql
 from catalens.llm.kd_sharding import kd_shards
 from catalens.llm.piece_spans import piece_digests
 from catalens.llm.secret_forest import scan_secrets
 from catalens.llm.token_frames import token_digests
+from catalens.llm.zstd_language import learn_dictionaries, predict_languages
 
 
 def op5_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_zstd_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc32_mod(F.col("doc_id"), 3) == 1
+    dictionaries = learn_dictionaries(docs, ~held_out)
+    return predict_languages(docs.select("doc_id", held_out.alias("held_out"), "text"), dictionaries).drop("text")
+
+
 def op7_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "ordinal", F.sha2("candidate", 256).alias("candidate_sha256"), F.length("candidate").cast("long").alias("n_chars"), "score", "is_secret")
@@ -38,6 +46,7 @@ def op10_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op5_adaptive_quality": op5_adaptive_quality,
+    "op6_zstd_language": op6_zstd_language,
     "op7_secret_forest": op7_secret_forest,
     "op8_token_frames": op8_token_frames,
     "op9_piece_spans": op9_piece_spans,

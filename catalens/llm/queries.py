@@ -12,9 +12,15 @@ from catalens.llm.kd_sharding import kd_shards
 from catalens.llm.piece_spans import piece_digests
 from catalens.llm.secret_forest import scan_secrets
 from catalens.llm.token_frames import token_digests
+from catalens.llm.warc_chain import warc_round_trip
 from catalens.llm.zstd_language import learn_dictionaries, predict_languages
 
 
+def op4_warc_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc_round_trip(spark, table(spark, sf_dir, "pages"), min_payload=0)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
@@ -45,6 +51,7 @@ def op10_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_warc_chain": op4_warc_chain,
     "op5_adaptive_quality": op5_adaptive_quality,
     "op6_zstd_language": op6_zstd_language,
     "op7_secret_forest": op7_secret_forest,

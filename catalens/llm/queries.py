@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from catalens.llm._common import crc32_mod, table
 from catalens.llm.adaptive_quality import quality_verdicts, verdict_sql
+from catalens.llm.cgk_decontam import find_items
 from catalens.llm.kd_sharding import kd_shards
 from catalens.llm.piece_spans import piece_digests
 from catalens.llm.secret_forest import scan_secrets
@@ -16,6 +17,10 @@ from catalens.llm.warc_chain import warc_round_trip
 from catalens.llm.zstd_language import learn_dictionaries, predict_languages
 
 
+def op3_cgk_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_warc_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc_round_trip(spark, table(spark, sf_dir, "pages"), min_payload=0)
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -51,6 +56,7 @@ def op10_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_cgk_decontam": op3_cgk_decontam,
     "op4_warc_chain": op4_warc_chain,
     "op5_adaptive_quality": op5_adaptive_quality,
     "op6_zstd_language": op6_zstd_language,

@@ -10,6 +10,7 @@ from catalens.llm._common import crc32_mod, table
 from catalens.llm.adaptive_quality import quality_verdicts, verdict_sql
 from catalens.llm.cgk_decontam import find_items
 from catalens.llm.kd_sharding import kd_shards
+from catalens.llm.ngram_join import jaccard_components
 from catalens.llm.piece_spans import piece_digests
 from catalens.llm.secret_forest import scan_secrets
 from catalens.llm.token_frames import token_digests
@@ -17,6 +18,10 @@ from catalens.llm.warc_chain import warc_round_trip
 from catalens.llm.zstd_language import learn_dictionaries, predict_languages
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 def op3_cgk_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -56,6 +61,7 @@ def op10_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ngram_join": op1_ngram_join,
     "op3_cgk_decontam": op3_cgk_decontam,
     "op4_warc_chain": op4_warc_chain,
     "op5_adaptive_quality": op5_adaptive_quality,

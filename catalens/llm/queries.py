@@ -10,6 +10,7 @@ from catalens.llm._common import crc32_mod, table
 from catalens.llm.adaptive_quality import quality_verdicts, verdict_sql
 from catalens.llm.cgk_decontam import find_items
 from catalens.llm.kd_sharding import kd_shards
+from catalens.llm.kneser_ney import score_texts, train
 from catalens.llm.ngram_join import jaccard_components
 from catalens.llm.piece_spans import piece_digests
 from catalens.llm.secret_forest import scan_secrets
@@ -22,6 +23,13 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), n=3, percent=90)
 
 
+def op2_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc32_mod(F.col("doc_id"), 5) == 1
+    model = train(docs, ~held_out, order=2)
+    return score_texts(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
+
+
 def op3_cgk_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -62,6 +70,7 @@ def op10_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
+    "op2_kneser_ney": op2_kneser_ney,
     "op3_cgk_decontam": op3_cgk_decontam,
     "op4_warc_chain": op4_warc_chain,
     "op5_adaptive_quality": op5_adaptive_quality,

@@ -26,6 +26,8 @@ MARKER = b"WARC/1.1\r\n"
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 #: A header block longer than this is no record's.
 MAX_HEADER = 1 << 16
+#: As many repeated payloads' digests may be broadcast (about 60 bytes each).
+MAX_BROADCAST_PAYLOADS = 200_000
 #: Fixed value of the format: the profile of revisits by payload digest.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -63,12 +65,16 @@ def write_warc(pages: DataFrame, folder: str, min_payload: int = 0) -> DataFrame
     Of equal payloads of at least ``min_payload`` bytes the smallest page_id is the response and the
     others revisit it; repeated rows of that page are responses too, and so are all rows of a payload
     that no row with a page_id has. A null html is the empty payload. Each attempt of a task writes a
-    file of its own; the manifest (materialize it) names those that count. The join's hot payloads
-    are split by adaptive execution.
+    file of its own; the manifest (materialize it) names those that count. The repeated payloads'
+    digests are broadcast after a count of them; above MAX_BROADCAST_PAYLOADS the join shuffles, and
+    adaptive execution splits a hot payload's rows.
     """
     raw = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     named = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), raw.alias("payload"), F.sha1(raw).alias("sha1"))
     first = named.filter(F.octet_length("payload") >= min_payload).groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("times")).filter("times > 1").drop("times")
+    first = materialize(first, "warc-repeated")
+    if first.limit(MAX_BROADCAST_PAYLOADS + 1).count() <= MAX_BROADCAST_PAYLOADS:  # then no payload is shuffled
+        first = F.broadcast(first)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stream, n, size, path = None, 0, 0, None
@@ -136,7 +142,7 @@ def reachable_entries(candidates: DataFrame) -> DataFrame:
     reached = materialize(candidates.filter("at = 0").select("path", "at"), "warc-reached")
     known = reached.count()
     while True:
-        step = reached.join(hops, ["path", "at"]).select("path", F.col("to").alias("at"))
+        step = reached.join(hops.hint("merge"), ["path", "at"]).select("path", F.col("to").alias("at"))
         reached = materialize(reached.union(step).distinct(), "warc-reached")
         now = reached.count()
         if now == known:  # the chain has no place further on
@@ -144,7 +150,7 @@ def reachable_entries(candidates: DataFrame) -> DataFrame:
         known = now
         after = hops.select("path", F.col("at").alias("to"), F.col("to").alias("beyond"))
         # a pointer that leaves the chain's last record stays where it is
-        hops = materialize(hops.join(after, ["path", "to"], "left").select("path", "at", F.coalesce("beyond", "to").alias("to")), "warc-hops")
+        hops = materialize(hops.join(after.hint("merge"), ["path", "to"], "left").select("path", "at", F.coalesce("beyond", "to").alias("to")), "warc-hops")
 
 
 def read_warc(manifest: DataFrame, folder: str, stretch: int = 4 << 20) -> DataFrame:
@@ -161,7 +167,7 @@ def read_warc(manifest: DataFrame, folder: str, stretch: int = 4 << 20) -> DataF
     broken = manifest.filter("n_bytes > 0").join(ended, "path", "left_anti").select("path").take(1)
     if broken:
         raise ValueError(f"the chain of records in {broken[0][0]} does not reach its end")
-    starts = entries.join(candidates, ["path", "at"]).select("path", "begin", "at")
+    starts = entries.join(candidates.select("path", "begin", "at").hint("merge"), ["path", "at"]).select("path", "begin", "at")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = open_folder(folder)

@@ -274,9 +274,9 @@ def stream_daily_budget(spark, sf_dir):
     return rows.select("id", F.col("nth").cast("long").alias("nth"), "passes")
 
 
-@R.add("stream_digest_24h", LOG + "SELECT CAST(created_at AS DATE) AS day, action, count(*) AS n FROM audit_log WHERE NOT notified GROUP BY 1, 2")
+@R.add("stream_digest_24h", LOG + "SELECT CAST(CAST(created_at AS DATE) AS VARCHAR) AS day, action, count(*) AS n FROM audit_log WHERE NOT notified GROUP BY 1, 2")
 def stream_digest_24h(spark, sf_dir):
-    return log(spark, sf_dir).filter("NOT notified").groupBy(F.to_date("created_at").alias("day"), "action").agg(F.count("*").alias("n"))
+    return log(spark, sf_dir).filter("NOT notified").groupBy(F.to_date("created_at").cast("string").alias("day"), "action").agg(F.count("*").alias("n"))
 
 
 @R.add("agg_run_summary", LOG + "SELECT CASE WHEN action = 'downstream_failed' THEN 'failed' WHEN action = 'price_flagged' THEN 'alert' WHEN source IS NULL THEN 'skipped' ELSE 'processed' END AS status, count(*) AS n FROM audit_log GROUP BY 1")

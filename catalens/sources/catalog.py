@@ -15,7 +15,7 @@ LOGICAL: dict[str, tuple[str, list[str]]] = {
         [
             "p_partkey AS pos",
             "CAST(p_partkey AS STRING) AS id",
-            "CASE WHEN p_partkey % 41 = 0 THEN ' ' WHEN p_partkey % 53 = 0 THEN 'BX ' || p_name ELSE p_name END AS name",
+            "CASE WHEN p_partkey % 41 = 0 THEN ' ' WHEN p_partkey % 55 = 0 THEN 'BX ' || p_name ELSE p_name END AS name",
             "replace(p_name, ' ', '-') AS slug",
             "p_brand || ' ' || p_type AS description",
             "p_partkey % 17 <> 0 AS enabled",

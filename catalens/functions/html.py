@@ -1,0 +1,130 @@
+"""Extraction from web pages: titles, meta pictures, prices, error classes."""
+
+from __future__ import annotations
+
+import html as entities
+import json
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
+
+#: What robot checks show in their first characters.
+ANTIBOT = ["suspicious-traffic", "captcha", "unusual traffic", "tráfico inusual", "are you a robot"]
+ANTIBOT_CHARS = 4000
+#: Picture servers of the marketplaces.
+PICTURE_SERVERS = [
+    r"https?://http2\.mlstatic\.com/[\w\-./]+\.(?:jpe?g|png|webp)",
+    r"https?://[\w.\-]*alicdn\.com/[\w\-./%]+\.(?:jpe?g|png|webp)",
+    r"https?://[\w.\-]*alibaba\.com/[\w\-./%]+\.(?:jpe?g|png|webp)",
+    r"https?://image\.made-in-china\.com/[\w\-./%]+\.(?:jpe?g|png|webp)",
+]
+#: Meta names of pictures, in order of precedence.
+META_PICTURES = ["og:image", "og:image:secure_url", "og:image:url", "twitter:image", "twitter:image:src", "image"]
+MAX_PICTURES, MAX_SERVER_PICTURES, MAX_TITLE = 5, 15, 300
+
+PAGE_SCHEMA = StructType([StructField("title", StringType()), StructField("images", ArrayType(StringType())), StructField("price", DoubleType()), StructField("currency", StringType()), StructField("problem", StringType())])
+
+
+def title(page: Column) -> Column:
+    """The content of <title>, white space collapsed, at most MAX_TITLE characters; empty where there is none."""
+    inner = F.regexp_extract(page, r"(?is)<title[^>]*>(.*?)</title>", 1)
+    return F.substring(F.trim(F.regexp_replace(inner, r"\s+", " ")), 1, MAX_TITLE)
+
+
+def antibot(page: Column) -> Column:
+    head, out = F.lower(F.substring(page, 1, ANTIBOT_CHARS)), F.lit(False)
+    for marker in ANTIBOT:
+        out = out | head.contains(marker)
+    return F.coalesce(out, F.lit(False))
+
+
+def server_pictures(page: Column) -> Column:
+    """Addresses on known picture servers, server by server, distinct, at most MAX_SERVER_PICTURES."""
+    found = F.concat(*[F.regexp_extract_all(page, F.lit("(?i)" + p), F.lit(0)) for p in PICTURE_SERVERS])
+    return F.slice(F.array_distinct(found), 1, MAX_SERVER_PICTURES)
+
+
+def listed_price(page: Column) -> Column:
+    """The activity price with a comma as point, else the least of a price range; null where neither is."""
+    activity = F.regexp_extract(F.regexp_extract(page, r'"formatedActivityPrice"\s*:\s*"([^"]+)"', 1), r"([\d.,]+)", 1)
+    low = F.regexp_extract(page, r'"priceRange"\s*:\s*\[\s*([\d.]+)', 1)
+    return F.coalesce(F.replace(activity, F.lit(","), F.lit(".")).try_cast("double"), low.try_cast("double"))
+
+
+def _attributes(tag: str) -> dict[str, str]:
+    return {m[0].lower(): entities.unescape(m[1] or m[2]) for m in re.findall(r"""([\w:\-]+)\s*=\s*(?:"([^"]*)"|'([^']*)')""", tag)}
+
+
+def _products(page: str) -> Iterator[dict]:
+    """The Product objects of the page's JSON-LD blocks, also in lists and graphs."""
+    for block in re.findall(r"""(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>""", page):
+        try:
+            todo = [json.loads(block)]
+        except ValueError:
+            continue
+        while todo:
+            x = todo.pop(0)
+            if isinstance(x, list):
+                todo = x + todo
+            elif isinstance(x, dict):
+                kinds = x.get("@type")
+                if kinds == "Product" or isinstance(kinds, list) and "Product" in kinds:
+                    yield x
+                if isinstance(x.get("@graph"), list):
+                    todo = x["@graph"] + todo
+
+
+def _as_list(x) -> list:
+    return x if isinstance(x, list) else [] if x is None else [x]
+
+
+def read_page(page: str | None) -> tuple[str, list[str], float | None, str | None, str | None]:
+    """Title, pictures, price, currency and problem of one page.
+
+    JSON-LD pictures come before meta pictures; picture servers are looked for only where both are
+    missing. The problem is empty, blocked or none_found, or null where a picture was found.
+    """
+    if not page or not page.strip():
+        return "", [], None, None, "empty"
+    images: list[str] = []
+    name, price, currency = "", None, None
+    for p in _products(page):
+        for i in _as_list(p.get("image")):
+            url = i.get("url") if isinstance(i, dict) else i
+            if isinstance(url, str):
+                images.append(url)
+        name = name or (p.get("name") if isinstance(p.get("name"), str) else "")
+        for offer in _as_list(p.get("offers"))[:1]:
+            if isinstance(offer, dict) and price is None:
+                try:
+                    price = float(offer.get("price") or offer.get("lowPrice"))
+                    currency = str(offer.get("priceCurrency") or "USD")
+                except (TypeError, ValueError):
+                    price = None
+    meta: dict[str, list[str]] = {}
+    for tag in re.findall(r"(?is)<meta\b[^>]*>", page):
+        a = _attributes(tag)
+        meta.setdefault((a.get("property") or a.get("name") or a.get("itemprop") or "").lower(), []).append(a.get("content", ""))
+    for key in META_PICTURES:
+        images += [u for u in meta.get(key, []) if u]
+    for tag in re.findall(r"(?is)<link\b[^>]*>", page):
+        a = _attributes(tag)
+        if a.get("rel") == "image_src" and a.get("href"):
+            images.append(a["href"])
+    if not images:
+        images = [u for p in PICTURE_SERVERS for u in re.findall("(?i)" + p, page)][:MAX_SERVER_PICTURES]
+    images = [u for u in dict.fromkeys(images) if u.startswith(("http://", "https://"))][:MAX_PICTURES]
+    plain = re.search(r"(?is)<title[^>]*>(.*?)</title>", page)
+    heading = (meta.get("og:title") or [""])[0] or name or (plain.group(1) if plain else "")
+    problem = None if images else "blocked" if any(m in page[:ANTIBOT_CHARS].lower() for m in ANTIBOT) else "none_found"
+    return " ".join(heading.split())[:MAX_TITLE], images, price, currency, problem
+
+
+@F.pandas_udf(PAGE_SCHEMA)
+def extract_page(pages: pd.Series) -> pd.DataFrame:
+    """read_page() of each page, batch by batch."""
+    return pd.DataFrame([read_page(p) for p in pages], columns=["title", "images", "price", "currency", "problem"])

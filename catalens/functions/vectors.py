@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StringType
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -42,7 +43,7 @@ def phash_score(a: Column, b: Column) -> Column:
     return F.greatest(F.lit(0.0), 1 - F.bit_count(a.bitwiseXOR(b)) / 64)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def vec_encode(v: pd.Series) -> pd.Series:
     """Base64 of the little-endian 32-bit floats."""
     return v.map(lambda x: None if x is None else base64.b64encode(np.asarray(x, "<f4").tobytes()).decode())
@@ -51,7 +52,7 @@ def vec_encode(v: pd.Series) -> pd.Series:
 def vec_decode(dim: int):
     """The inverse of vec_encode(); null for what is no base64 of ``dim`` floats."""
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf(ArrayType(FloatType()))
     def decode(text: pd.Series) -> pd.Series:
         def one(t):
             try:

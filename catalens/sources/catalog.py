@@ -19,7 +19,7 @@ LOGICAL: dict[str, tuple[str, list[str]]] = {
             "replace(p_name, ' ', '-') AS slug",
             "p_brand || ' ' || p_type AS description",
             "p_partkey % 17 <> 0 AS enabled",
-            "CASE WHEN p_partkey % 19 = 0 THEN NULL ELSE 'https://Shop' || CAST(p_partkey % 7 AS STRING) || '.example.com/offer/' || CAST(CAST(floor(p_partkey / 3) AS BIGINT) AS STRING) || CASE p_partkey % 3 WHEN 0 THEN '/' WHEN 1 THEN '?utm_source=feed&b=2&a=1' ELSE '?a=1&b=2&spm=x#top' END END AS source_url",
+            "CASE WHEN p_partkey % 19 = 0 THEN NULL ELSE 'https://Shop' || CAST(CAST(floor(p_partkey / 3) AS BIGINT) % 7 AS STRING) || '.example.com/offer/' || CAST(CAST(floor(p_partkey / 3) AS BIGINT) AS STRING) || CASE p_partkey % 3 WHEN 0 THEN '/' WHEN 1 THEN '?utm_source=feed&b=2&a=1' ELSE '?a=1&b=2&spm=x#top' END END AS source_url",
             "CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE 'https://img.example.com/' || CAST(p_partkey AS STRING) || '.jpg' END AS preview_url",
             "CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE 'https://img.example.com/src/' || CAST(p_partkey AS STRING) || '.jpg' END AS asset_url",
             "CASE WHEN p_partkey % 13 = 0 THEN 0 WHEN p_partkey % 4 = 0 THEN NULL ELSE CAST(round(p_retailprice * 100) AS BIGINT) END AS price_cents",

@@ -127,6 +127,8 @@ def boundary_candidates(manifest: DataFrame, folder: str, stretch: int) -> DataF
                 leaves: dict[int, int] = {}
                 for place, after in reversed(found):  # a chain that meets no candidate in its stretch ends as a dead place
                     leaves[place] = leaves.get(after, after) if after < begin + stretch else after
+                if not found:
+                    continue
                 yield pa.record_batch(
                     [pa.array([path] * len(found)), pa.array([n_bytes] * len(found), pa.int64()), pa.array([begin] * len(found), pa.int64()), *[pa.array(c, pa.int64()) for c in ([p for p, _ in found], [a for _, a in found], [leaves[p] for p, _ in found])]],
                     names=["path", "n_bytes", "begin", "at", "successor", "out"],

@@ -1,0 +1,574 @@
+"""The ten operators against brute force, on small fixtures with every kind of odd row."""
+
+from __future__ import annotations
+
+import base64
+import hashlib
+import io
+import math
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from catalens.llm import adaptive_quality as Q
+from catalens.llm import cgk_decontam as C
+from catalens.llm import kd_sharding as K
+from catalens.llm import kneser_ney as N
+from catalens.llm import ngram_join as J
+from catalens.llm import piece_spans as P
+from catalens.llm import secret_forest as S
+from catalens.llm import token_frames as T
+from catalens.llm import warc_chain as W
+from catalens.llm import zstd_language as L
+from catalens.llm._common import crc32_mod
+from catalens.llm._graph import connected_components
+
+SCHEMA = "doc_id long, text string, lang string, source string"
+
+
+def prose(rng, n, words=400):
+    return " ".join(f"w{rng.randrange(words)}" for _ in range(n))
+
+
+def odd_rows():
+    """Nulls, empty and blank texts, repeated rows, ties, and a long text."""
+    rng = random.Random(4)
+    long = prose(rng, 30_000, 5000)
+    same = prose(rng, 80)
+    return [(1, None, None, None), (2, "", "en", "a"), (3, " \n\t ", "en", "a"), (4, same, "en", "a"), (4, same, "en", "a"), (5, same, None, "b"), (6, long, "en", None), (None, prose(rng, 70), "en", "a"), (7, "one", "en", "b"), (8, "one two", "en", "b"), (9, "É ß 中文 \x0b x\x1fy", "de", "b")]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(odd_rows(), SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def nothing(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+# ---- 1: n-gram Jaccard join --------------------------------------------------------------------
+
+
+def shingles(text, n):
+    fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    w = (text or "").translate(fold).encode().split()
+    return frozenset([tuple(w)] if 0 < len(w) < n else zip(*[w[k:] for k in range(n)]))
+
+
+def brute_components(rows, n, percent):
+    """{row index: (set size, component id)}"""
+    sets = [shingles(r[1], n) for r in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                root[find(i)] = find(j)
+    low = {}
+    for i, r in enumerate(rows):
+        if r[0] is not None:
+            low[find(i)] = min(low.get(find(i), r[0]), r[0])
+    return [(r[0], len(sets[i]), low.get(find(i)) if sets[i] else r[0]) for i, r in enumerate(rows)]
+
+
+def near_rows(rng, groups=12, copies=9):
+    rows = []
+    passage = prose(rng, 25)
+    for g in range(groups):
+        base = prose(rng, rng.randrange(30, 200)).split() + passage.split() * (g % 2)
+        for c in range(copies):
+            words = list(base)
+            for _ in range(rng.randrange(0, 4)):
+                words[rng.randrange(len(words))] = f"x{rng.randrange(1000)}"
+            rows.append((len(rows) * 7 % 1000 + 10, " ".join(words), "en", "s"))
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize(("n", "percent", "bucket"), [(3, 90, 48), (5, 80, 48), (3, 80, 4)])
+def test_ngram_join_equals_brute_force(spark, monkeypatch, n, percent, bucket):
+    monkeypatch.setattr(J, "MAX_BUCKET", bucket)  # small buckets exercise the large ones' way
+    rows = near_rows(random.Random(n * percent + bucket)) + odd_rows()
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("n", F.lit("clash")).withColumn("set_id", F.lit("clash"))
+    got = sorted(map(str, ((r["doc_id"], r["n_shingles"], r["component_id"]) for r in J.jaccard_components(docs, n, percent).collect())))
+    assert got == sorted(map(str, brute_components(rows, n, percent)))
+
+
+def test_ngram_join_of_nothing(nothing, spark):
+    assert J.jaccard_components(nothing).count() == 0
+    assert J.jaccard_components(spark.createDataFrame([(1, None, None, None)], SCHEMA)).collect()[0][1:] == (0, 1)
+
+
+def test_prefixes_show_enough_common_tokens():
+    rng = np.random.default_rng(2)
+    none = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    for _ in range(200):
+        a = np.unique(rng.integers(0, 10**9, rng.integers(1, 120)))
+        b = np.unique(np.concatenate([rng.permutation(a)[: max(1, int(len(a) * 0.95))], rng.integers(0, 10**9, 2)]))
+        common = len(np.intersect1d(a, b))
+        if 100 * common >= 90 * (len(a) + len(b) - common):
+            for k in range(3):
+                shared = np.intersect1d(J.prefix(a, k, *none, 90), J.prefix(b, k, *none, 90))
+                assert len(shared) >= min(J.COMMON, int(J.required(len(a), 90)), int(J.required(len(b), 90)))
+
+
+def test_components_of_paths_and_stars(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 100 + k) for k in range(1, 30)] + [(300, 299), (299, 300)]
+    got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys(range(41), 0), **{100 + k: 100 for k in range(30)}, 299: 299, 300: 299}
+
+
+# ---- 2: Kneser-Ney model -----------------------------------------------------------------------
+
+
+def brute_model(train, order):
+    """A function from (context, word) to probability, by dictionaries."""
+    grams = {order: Counter(tuple((["<s>"] * (order - 1) + t)[i : i + order]) for t in train for i in range(len(t)))}
+    for k in range(order - 1, 0, -1):
+        grams[k] = Counter(g[1:] for g in grams[k + 1])
+    vocabulary = len({w for t in train for w in t})
+
+    def discount(k):
+        n = Counter(grams[k].values())
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] + n[2] else 0
+        return [0, *[min(max(j - (j + 1) * y * (n[j + 1] / n[j] if n[j] else 0), 0), j) for j in (1, 2, 3)]]
+
+    d = {k: discount(k) for k in grams}
+    follow = {k: defaultdict(lambda: [0, 0, 0, 0]) for k in grams}
+    for k, g in grams.items():
+        for x, n in g.items():
+            f = follow[k][x[:-1]]
+            f[0] += n
+            f[min(n, 3)] += 1
+
+    def p(context, word):
+        out = 1 / (vocabulary + 1)
+        for k in range(1, order + 1):
+            c = tuple(context[len(context) - k + 1 :])
+            if c in follow[k]:
+                total, *n = follow[k][c]
+                count = grams[k][(*c, word)]
+                out = max(count - d[k][min(count, 3)], 0) / total + sum(a * b for a, b in zip(d[k][1:], n)) / total * out
+        return out
+
+    return p
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_model_equals_brute_force(spark, odd, order):
+    rng = random.Random(order)
+    rows = [(i, " ".join(rng.choice("A b c d the The of e f g".split()) for _ in range(rng.randrange(0, 60))), "en", "s") for i in range(100, 140)] + [r for r in odd_rows() if r[0] != 6]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("score", F.lit("clash"))
+    learn = crc32_mod(F.col("doc_id"), 5) != 1
+    model = N.train(docs, learn, order=order, buckets=5)
+    fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tokens = [(t or "").translate(fold).encode().split() + ["</s>"] for _, t, *_ in rows]
+    train = [t for t, r in zip(tokens, rows) if zlib.crc32(("" if r[0] is None else str(r[0])).encode()) % 5 != 1]
+    counts = Counter(w for t in train for w in t)
+    total, p = sum(counts.values()), brute_model(train, order)
+    expected = []
+    for r, t in zip(rows, tokens):
+        full = ["<s>"] * (order - 1) + t
+        base = sum(math.log10((counts[w] + 0.5) / (total + 0.5 * (len(counts) + 1))) for w in t)
+        score = sum(math.log10(p(full[i : i + order - 1], full[i + order - 1])) for i in range(len(t)))
+        expected.append((str(r[0]), len(t), sum(counts[w] > 0 for w in t), total, round(base, 6), round(score, 6)))
+    got = [(str(r["doc_id"]), r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6)) for r in N.score_texts(docs, model).collect()]
+    assert sorted(got) == sorted(expected)
+
+
+def test_model_probabilities_sum_to_one(spark):
+    docs = spark.createDataFrame([(i, "a b a c b a d", "en", "s") for i in range(3)], SCHEMA)
+    model = N.train(docs, F.lit(True), order=2, buckets=3)
+    scorer, hashes = N.Scorer(model, 3), N.WordHashes()
+    a, *others = N.text_words("a b c d unseen", hashes)[:5]
+    rows = np.asarray([[a, w] for w in [a, *others, N.END]], np.uint64)
+    assert scorer.probabilities(rows).sum() == pytest.approx(1.0)
+
+
+def test_model_of_nothing(spark, nothing, odd):
+    model = N.train(nothing, F.lit(True), order=2, buckets=2)
+    assert N.score_texts(nothing, model).count() == 0
+    assert all(r["score"] == 0.0 and r["n_known"] == 0 for r in N.score_texts(odd, model).collect())
+
+
+# ---- 3: decontamination ------------------------------------------------------------------------
+
+
+def edited(rng, words, share):
+    words = list(words)
+    for _ in range(int(share * len(words))):
+        k, op = rng.randrange(len(words)), rng.choice("sid")
+        if op == "s":
+            words[k] = f"q{rng.randrange(10**6)}"
+        elif op == "i":
+            words.insert(k, f"q{rng.randrange(10**6)}")
+        elif len(words) > 1:
+            del words[k]
+    return words
+
+
+def brute_edits(item, text):
+    row = [0] * (len(text) + 1)
+    for i, a in enumerate(item):
+        new = [i + 1]
+        for j, b in enumerate(text):
+            new.append(min(row[j] + (a != b), row[j + 1] + 1, new[-1] + 1))
+        row = new
+    return min(row)
+
+
+def test_best_stretch_equals_the_table():
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        item, text = rng.integers(0, 4, rng.integers(1, 9)), rng.integers(0, 4, rng.integers(1, 20))
+        edits, begin, end = C.best_stretch(item.astype(np.uint64), text.astype(np.uint64))
+        assert edits == brute_edits(item.tolist(), text.tolist())
+        assert brute_edits(item.tolist(), text[begin:end].tolist()) == edits if end > begin else edits == len(item)
+
+
+def test_decontamination_recall_and_precision(spark, odd):
+    rng = random.Random(8)
+    items = [(i, prose(rng, rng.randrange(15, 50), 3000)) for i in range(30)] + [(None, prose(rng, 20)), (99, None), (98, "too short")]
+    rows, expected = [], set()
+    for d in range(200):
+        words = prose(rng, rng.randrange(0, 200), 3000).split()
+        if d % 2:
+            i, text = items[rng.randrange(30)]
+            at = rng.randrange(len(words) + 1)
+            words[at:at] = edited(rng, text.upper().split(), rng.choice([0, 0.05, 0.1, 0.15]))
+        rows.append((1000 + d, ", ".join(words), "en", "s"))
+        for i, text in items[:30]:
+            item = C.normal_words(text)
+            if brute_edits(item, C.normal_words(rows[-1][1])) <= int(C.MAX_EDIT_SHARE * len(item)):
+                expected.add((1000 + d, i))
+    docs = spark.createDataFrame(rows, SCHEMA).unionByName(odd).withColumn("item_id", F.lit("clash"))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in C.find_items(docs, bench).collect()}
+    assert got <= expected
+    assert len(got) >= 0.98 * len(expected)
+    clean = C.find_items(docs, bench, keep="clean")
+    assert clean.columns == docs.columns
+    assert {r["doc_id"] for r in clean.collect()} == {r["doc_id"] for r in docs.collect()} - {d for d, _ in got}
+
+
+def test_decontamination_in_blocks_and_of_nothing(spark, nothing, odd, monkeypatch):
+    monkeypatch.setattr(C, "BLOCK_WORDS", 40)
+    rng = random.Random(3)
+    items = [(i, prose(rng, 30, 900)) for i in range(6)]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in items], SCHEMA)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in C.find_items(docs, bench).collect()} == {(i, i) for i in range(6)}
+    assert C.find_items(nothing, bench).count() == 0
+    assert C.find_items(docs, bench.limit(0)).count() == 0
+    assert C.find_items(docs, bench.limit(0), keep="clean").count() == 6
+    assert C.find_items(odd, bench, keep="clean").count() == odd.count()
+
+
+# ---- 4: WARC -----------------------------------------------------------------------------------
+
+
+def page_rows():
+    fake = "before\r\n\r\n" + W.record(5, "http://x", b"fake", W.payload_digest(b"fake"), None).decode() + "WARC/1.1\r\nContent-Length: 3\r\n\r\nabc"
+    rows = [(1, "http://a b", "same"), (2, "http://b", "same"), (3, None, fake), (4, "u", None), (5, "u", ""), (6, "u", "é中" * 3000), (7, "u", fake), (None, "u", "same"), (None, "u", "alone")]
+    return rows + [(100 + i, "u", f"<p>{i}</p>" + "WARC/1.1\r\n" * (i % 4)) for i in range(60)]
+
+
+@pytest.mark.parametrize("stretch", [300, 5000, 4 << 20])
+def test_archives_round_trip(spark, stretch):
+    rows = page_rows()
+    first, expected = {}, []
+    for p, _, h in rows:
+        b = (h or "").encode()
+        first[b] = min(first.get(b, p) or p, p) if p is not None and first.get(b) is not None else (first.get(b) if p is None else p)
+    for p, _, h in rows:
+        b = (h or "").encode()
+        own = first[b] is None or first[b] == p
+        expected.append((str(p), len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "response" if own else "revisit", None if own else first[b]))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("sha1", F.lit("clash")).withColumn("payload", F.lit("clash"))
+    got = W.warc_round_trip(spark, pages.repartition(3), stretch=stretch).collect()
+    assert sorted((str(r["page_id"]), r["payload_bytes"], r["payload_digest"], r["record_type"], str(r["refers_to"])) for r in got) == sorted((*e[:4], str(e[4])) for e in expected)
+    assert {bytes(r["payload"]) for r in got if r["payload"] is not None} == {(h or "").encode() for _, _, h in rows}
+
+
+def test_archive_that_breaks_off_is_refused(spark, tmp_path):
+    good = W.record(1, "u", b"x" * 50, W.payload_digest(b"x" * 50), None)
+    (tmp_path / "a.warc").write_bytes(good + good[:-30])
+    manifest = spark.createDataFrame([(str(tmp_path / "a.warc"), 2, 2 * len(good) - 30)], "path string, n_records long, n_bytes long")
+    with pytest.raises(ValueError, match="does not reach its end"):
+        W.read_warc(manifest, str(tmp_path))
+
+
+def test_no_pages(spark):
+    assert W.warc_round_trip(spark, spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+# ---- 5: quality rules --------------------------------------------------------------------------
+
+
+def test_counts_of_a_text():
+    assert Q.text_counts(None) == (0,) * 6
+    assert Q.text_counts("a b c a b c\nx# y\nx# y\n\n") == (10, 12, 2, 1, 6, 3)
+    words = "a b c x a b c y".split()
+    assert Q.text_counts(" ".join(words))[4] == 6
+    assert Q.text_counts("z z z z")[4] == 4
+
+
+def test_quality_equals_its_sql(spark, odd):
+    import duckdb
+
+    rng = random.Random(6)
+    rows = odd_rows()
+    for i in range(900):
+        junk = i % 9 == 0
+        rows.append((1000 + i, " ".join((f"w{rng.randrange(900)}" + ("###" if junk else "")) for _ in range(rng.randrange(30, 150))), ["en", "fr", None][i % 3], ["a", "b"][i % 2]))
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("n_words", F.lit("clash"))
+    got = Q.quality_verdicts(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept").toPandas()
+    con = duckdb.connect()
+    documents = docs.toPandas()
+    con.register("documents", documents)
+    expected = con.execute(Q.verdict_sql()).df()
+    key = lambda f: sorted(map(str, f.fillna(-1).astype({"doc_id": "int64"}).itertuples(index=False, name=None)))
+    assert key(got) == key(expected)
+    kept = set(got[got["kept"]]["doc_id"].dropna().astype(int))
+    assert not kept & {1000 + i for i in range(0, 900, 9)}
+    assert {r["doc_id"] for r in Q.keep_good(docs).collect() if r["doc_id"] is not None} == kept
+    assert Q.keep_good(docs).columns == docs.columns
+
+
+def test_sketches_merge_by_adding(spark, sf_dir):
+    counted = Q.with_counts(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text").cache()
+    whole = {tuple(r) for r in Q.rate_sketches(counted).collect()}
+    halves = Q.rate_sketches(counted.filter("doc_id % 2 = 0")).union(Q.rate_sketches(counted.filter("doc_id % 2 = 1")))
+    merged = {tuple(r) for r in halves.groupBy("lang", "source", "rate", "bucket").agg(F.sum("n")).collect()}
+    assert whole == merged
+
+
+def test_quality_of_nothing(nothing):
+    assert Q.quality_verdicts(nothing).count() == 0
+    assert Q.keep_good(nothing).count() == 0
+
+
+# ---- 6: language -------------------------------------------------------------------------------
+
+
+def test_language_is_learned(spark, sf_dir, odd):
+    docs = spark.read.parquet(f"{sf_dir}/../sf0.01/documents.parquet")
+    held_out = crc32_mod(F.col("doc_id"), 3) == 1
+    dictionaries = L.learn_dictionaries(docs, ~held_out)
+    assert set(dictionaries) == {"en", "fr", "de", "es"}
+    assert max(map(len, dictionaries.values())) <= L.DICTIONARY_BYTES
+    found = L.predict_languages(docs.filter(held_out).withColumn("score", F.lit("clash")), dictionaries)
+    right, total = found.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")), F.count("*")).first()
+    assert right > 0.95 and total > 200
+    edge = {str(r["doc_id"]): r for r in L.predict_languages(odd, dictionaries).collect()}
+    assert edge["1"]["lang_pred"] == edge["2"]["lang_pred"] == edge["3"]["lang_pred"] == L.UNDETERMINED
+    assert all(0 <= r["score"] <= 1 and (r["lang_pred"] in dictionaries or r["score"] == 0) for r in edge.values())
+
+
+def test_language_of_nothing(nothing, odd):
+    assert L.learn_dictionaries(nothing, F.lit(True)) == {}
+    assert {r["lang_pred"] for r in L.predict_languages(odd, {}).collect()} == {L.UNDETERMINED}
+
+
+# ---- 7: secrets --------------------------------------------------------------------------------
+
+
+def test_secrets_are_told_from_numbers_and_words(spark, odd):
+    rng = random.Random(2)
+    rows = []
+    for i in range(120):
+        hexes = "".join(rng.choice("0123456789abcdef") for _ in range(40))
+        if i % 4 == 0:
+            text = f"some words here token = \"{hexes}\" and more"
+        elif i % 4 == 1:
+            text = f"the number {rng.randrange(10**15, 10**16)} is long"
+        elif i % 4 == 2:
+            text = f"see https://a.example.com/path/2024/report-{i}-final-version-of-it and go"
+        else:
+            text = "nothing here"
+        rows.append((100 + i, text, "en", "s"))
+    docs = spark.createDataFrame(rows, SCHEMA).unionByName(odd).withColumn("score", F.lit("clash")).withColumn("length", F.lit("clash"))
+    found = S.scan_secrets(docs)
+    assert {r["doc_id"] for r in found.filter("is_secret").collect()} == {100 + i for i in range(0, 120, 4)}
+    clean = S.redact_secrets(docs, found)
+    assert clean.columns == docs.columns and clean.count() == docs.count()
+    texts = {r["doc_id"]: r["text"] for r in clean.collect()}
+    assert all("<secret>" in texts[100 + i] for i in range(0, 120, 4))
+    assert all(texts[d] == t for d, t, *_ in rows if (d - 100) % 4)
+
+
+def test_secrets_of_nothing(nothing, odd):
+    assert S.scan_secrets(nothing).count() == 0
+    assert S.redact_secrets(odd, S.scan_secrets(odd)).count() == odd.count()
+
+
+# ---- 8: token files ----------------------------------------------------------------------------
+
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def test_chunked_ids_are_the_librarys():
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(BYTE_BPE)
+    library.encode_special_tokens = True
+    rng = random.Random(7)
+    parts = ["word", "Word,", " ", "  ", "\n", "\n\n", "\t", "é", "中文", "'s", "don't", "123", "!!", " ", " ", "\x1c", "\x0b", "<|endoftext|>", "x\ny", ".", "\r\n", "🙂", "a b"]
+    texts = ["", " ", "\n", "a ", " a", "a\n b", "a \n b", "x  y"] + ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 12))) for _ in range(1500)]
+    coder = T.ChunkCoder(BYTE_BPE, max_chunks=500)
+    for at in range(0, len(texts), 100):
+        some = texts[at : at + 100]
+        expected = [np.asarray(e.ids, "<u4").tobytes() for e in library.encode_batch(some, add_special_tokens=False)]
+        assert coder.encode(some) == expected
+
+
+def test_token_files_round_trip(spark, odd):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(BYTE_BPE)
+    rows = sorted(odd_rows(), key=lambda r: (r[0] is not None, r[0] or 0))
+    docs = odd.withColumn("ids", F.lit("clash"))
+    got = T.token_digests(spark, docs, BYTE_BPE).orderBy("start").collect()
+    start = 0
+    for r, (d, t, *_) in zip(got, rows, strict=True):
+        ids = library.encode(t or "", add_special_tokens=False).ids + [0]
+        assert (r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) == (d, start, len(ids), T.crc32_of(ids))
+        start += len(ids)
+
+
+def test_frames_are_independent_and_checked():
+    import zstandard
+
+    out = io.BytesIO()
+    writer = T.FrameWriter(out, frame_bytes=64)
+    docs = [(i, np.arange(i, dtype="<u4").tobytes()) for i in range(40)]
+    for d in docs:
+        writer.add(*d)
+    writer.close()
+    raw = out.getvalue()
+    reader = T.FrameReader(io.BytesIO(raw), len(raw))
+    assert len(reader.frames) > 10
+    for i in (39, 0, 7, 20, 1):
+        assert reader.document(i) == docs[i][1]
+    plain = b"".join(zstandard.ZstdDecompressor().decompress(raw[a:b], max_output_size=1 << 20) for a, b in zip(reader.offsets[:-1], reader.offsets[1:]))
+    assert plain == b"".join(x for _, x in docs)
+    broken = bytearray(raw)
+    broken[int(reader.offsets[3]) + 12] ^= 255
+    with pytest.raises((ValueError, zstandard.ZstdError)):
+        bad = T.FrameReader(io.BytesIO(bytes(broken)), len(broken))
+        bad.frame(3)
+    with pytest.raises(ValueError, match="seek table"):
+        T.FrameReader(io.BytesIO(raw[:-1]), len(raw) - 1)
+
+
+def test_no_token_files(spark, nothing):
+    assert T.token_digests(spark, nothing, BYTE_BPE).count() == 0
+
+
+# ---- 9: SentencePiece --------------------------------------------------------------------------
+
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def test_pieces_are_the_librarys(spark, odd):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    got = P.piece_digests(odd.withColumn("n_tokens", F.lit("clash")), PIECES).collect()
+    digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    for r in got:
+        ids = library.encode(r["text"] or "")
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), digest(",".join(map(str, ids))), digest(library.decode(ids)))
+        assert r["spans_cover"]
+    assert len(got) == odd.count()
+
+
+def test_spans_are_the_pieces_own_bytes():
+    coder = P.PieceCoder(PIECES)
+    rng = random.Random(5)
+    parts = ["Hello", " ", "  ", "\n", "wörld", "中", "🙂", "▁", "a▁b", "\t", "x", "."]
+    texts = ["", " ", "▁", "a"] + ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 15))) for _ in range(500)]
+    for text, (ids, _, places, normal) in zip(texts, coder.encode(texts)):
+        assert ids == coder.library.encode(text)
+        raw = text.encode()
+        spans = coder.spans(ids, places, normal)
+        assert len(spans) == len(ids)
+        if ids:
+            assert spans[0, 0] == 0 and spans[-1, 1] == len(raw) and (spans[1:, 0] == spans[:-1, 1]).all()
+        for i, (a, b) in zip(ids, spans.tolist()):
+            piece = coder.library.id_to_piece(i)
+            if coder.library.is_byte(i):
+                assert raw[a:b] == bytes([int(piece[3:5], 16)])
+            else:
+                assert raw[a:b].decode().replace("▁", " ") in (piece.replace("▁", " "), piece.replace("▁", " ")[1:])
+
+
+def test_compiled_map_is_read_and_applied():
+    """A small map built here as a double array: the longest key wins, and places are recorded."""
+    rules = {"ab": "X", "a": "yy", "é": "e"}
+    normal = P.Normalizer({k.encode(): v.encode() for k, v in rules.items()}, dummy_prefix=False, squeeze_blanks=False)
+    text, places = normal("abaéz")
+    assert text == "Xyyez"
+    assert places.tolist() == [0, 2, 2, 3, 5, 6]
+    assert P.charsmap_entries(b"") == {}
+
+
+def test_normaliser_equals_the_librarys():
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
+
+    if not hasattr(sentencepiece, "SentencePieceNormalizer"):
+        pytest.skip("this library has no normaliser of its own")
+    library = sentencepiece.SentencePieceNormalizer(rule_name="nfkc")
+    spec = sentencepiece_model_pb2.ModelProto.FromString(library.serialized_model_proto()).normalizer_spec
+    rules = {k: v for k, v in P.charsmap_entries(spec.precompiled_charsmap).items() if len(k) <= 4}
+    ours = P.Normalizer(rules, spec.add_dummy_prefix, spec.remove_extra_whitespaces)
+    for text in ["ﬁne ①", "  a  b ", "½Ａｂ", "㍿ x", "", "ｶ", "plain"]:
+        assert ours(text)[0].replace("▁", " ") == library.normalize(text).replace("▁", " ")
+
+
+# ---- 10: sharding ------------------------------------------------------------------------------
+
+
+def test_shards_are_even_and_slots_gapless(spark, odd):
+    rng = random.Random(1)
+    hot = prose(rng, 60)
+    rows = [(i, hot if i % 3 == 0 else prose(rng, rng.randrange(1, 120)), rng.choice(["en", "fr", None]), f"s{i % 5}") for i in range(1500)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("leaf", F.lit("clash")).withColumn("group", F.lit("clash"))
+    got = K.kd_shards(docs, n_shards=40).toPandas()
+    assert len(got) == 1500
+    by = got.groupby("shard")
+    assert set(by.groups) == set(range(40))
+    sizes = by["size"].sum()
+    assert sizes.max() - sizes.min() <= 2 * got["size"].max() + 0.05 * sizes.mean()
+    for _, slots in by["slot"]:
+        assert sorted(slots) == list(range(len(slots)))
+    truth = {i: (len(t.encode()) + 16, zlib.crc32(t.encode())) for i, t, *_ in rows}
+    assert all(truth[d] == (s, c) for d, s, c in zip(got["doc_id"], got["size"], got["text_crc32"]))
+
+
+def test_small_groups_of_copies_stay_together(spark):
+    rows = [(i, prose(random.Random(i // 2), 50), "en", "s") for i in range(800)]
+    got = {r["doc_id"]: r["shard"] for r in K.kd_shards(spark.createDataFrame(rows, SCHEMA), n_shards=4).collect()}
+    assert all(got[i] == got[i + 1] for i in range(0, 800, 2))
+
+
+def test_shards_of_odd_rows_and_of_nothing(odd, nothing):
+    got = K.kd_shards(odd, n_shards=3).collect()
+    assert len(got) == odd.count()
+    assert min(r["size"] for r in got) == 16
+    assert K.kd_shards(nothing, n_shards=40).count() == 0
+    assert len({r["shard"] for r in K.kd_shards(odd, n_shards=None, target_bytes=1 << 30).collect()}) == 1

@@ -31,7 +31,8 @@ RATES = {
     "dup_lines": ("n_dup_lines", "n_lines", 120, False),
     "repeats": ("n_repeat_words", "n_words", 120, False),
 }
-#: A fence lies this many spreads outside the quartiles; a group's fence never goes beyond twice its language's.
+#: A fence lies this many spreads outside the quartiles; a group's fence never goes beyond twice its
+#: language's, nor a language's beyond twice the corpus's, so a group of mostly junk doesn't set its own standard.
 FENCE = 3
 #: Groups with fewer documents use their language's thresholds, and small languages the corpus's.
 MIN_GROUP = 200
@@ -114,8 +115,10 @@ def thresholds(sketches: DataFrame) -> DataFrame:
     corpus = fences(_quartiles(sketches, []), "c").withColumnRenamed("rate", "c_rate")
     both = group.join(lang, F.col("lang").eqNullSafe(F.col("l_lang")) & (F.col("rate") == F.col("l_rate")))
     both = both.join(F.broadcast(corpus), F.col("rate") == F.col("c_rate"))  # one row for each rate
-    pick = lambda n, inner: F.when(F.col("n_l") < MIN_GROUP, F.col(f"{n}_c")).when(F.col("n_g") < MIN_GROUP, F.col(f"{n}_l")).otherwise(inner)
-    chosen = both.select("lang", "source", "rate", pick("low", F.greatest("low_g", "widest_low_l")).alias("low"), pick("high", F.least("high_g", "widest_high_l")).alias("high"))
+    pick = lambda n, lang, group: F.when(F.col("n_l") < MIN_GROUP, F.col(f"{n}_c")).when(F.col("n_g") < MIN_GROUP, lang).otherwise(group)
+    low = pick("low", F.greatest("low_l", "widest_low_c"), F.greatest("low_g", "widest_low_l", "widest_low_c"))
+    high = pick("high", F.least("high_l", "widest_high_c"), F.least("high_g", "widest_high_l", "widest_high_c"))
+    chosen = both.select("lang", "source", "rate", low.alias("low"), high.alias("high"))
     by = lambda n, r: F.max(F.when(F.col("rate") == r, F.col(n))).alias(f"{n}_{r}")
     return chosen.groupBy("lang", "source").agg(*[by(n, r) for r in RATES for n in ("low", "high")])
 
@@ -191,8 +194,8 @@ def verdict_sql(select: str = "doc_id, n_words, word_chars, n_symbols, n_dup_lin
     """DuckDB SQL over ``documents`` for the rows of quality_verdicts()."""
     return f"""WITH {_counts_sql()}, {_rates_sql()}, {_fences_sql('fg', ['lang', 'source'])}, {_fences_sql('fl', ['lang'])}, {_fences_sql('fc', [])},
     f AS (SELECT fg.lang, fg.source, fg.rate,
-        CASE WHEN fl.n < {MIN_GROUP} THEN fc.q1 - {FENCE} * fc.width WHEN fg.n < {MIN_GROUP} THEN fl.q1 - {FENCE} * fl.width ELSE greatest(fg.q1 - {FENCE} * fg.width, fl.q1 - {2 * FENCE} * fl.width) END AS low,
-        CASE WHEN fl.n < {MIN_GROUP} THEN fc.q3 + {FENCE} * fc.width WHEN fg.n < {MIN_GROUP} THEN fl.q3 + {FENCE} * fl.width ELSE least(fg.q3 + {FENCE} * fg.width, fl.q3 + {2 * FENCE} * fl.width) END AS high
+        CASE WHEN fl.n < {MIN_GROUP} THEN fc.q1 - {FENCE} * fc.width WHEN fg.n < {MIN_GROUP} THEN greatest(fl.q1 - {FENCE} * fl.width, fc.q1 - {2 * FENCE} * fc.width) ELSE greatest(fg.q1 - {FENCE} * fg.width, fl.q1 - {2 * FENCE} * fl.width, fc.q1 - {2 * FENCE} * fc.width) END AS low,
+        CASE WHEN fl.n < {MIN_GROUP} THEN fc.q3 + {FENCE} * fc.width WHEN fg.n < {MIN_GROUP} THEN least(fl.q3 + {FENCE} * fl.width, fc.q3 + {2 * FENCE} * fc.width) ELSE least(fg.q3 + {FENCE} * fg.width, fl.q3 + {2 * FENCE} * fl.width, fc.q3 + {2 * FENCE} * fc.width) END AS high
         FROM fg JOIN fl ON fg.lang IS NOT DISTINCT FROM fl.lang AND fg.rate = fl.rate JOIN fc ON fg.rate = fc.rate),
     bad AS (SELECT DISTINCT rid FROM s JOIN f ON s.lang IS NOT DISTINCT FROM f.lang AND s.source IS NOT DISTINCT FROM f.source AND s.rate = f.rate WHERE v > high OR (two AND v < low)),
     judged AS (SELECT c.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,

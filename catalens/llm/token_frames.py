@@ -197,8 +197,10 @@ class FrameReader:
         return self.frame(k)[start - base : end - base]
 
 
-def write_token_files(encoded: DataFrame, folder: str, n_files: int, frame_bytes: int = 1 << 18) -> DataFrame:
-    """Write ``encoded`` (doc_id, ids) to ``n_files`` files in ascending doc_id order (nulls first).
+def write_token_files(encoded: DataFrame, folder: str, n_files: int, frame_bytes: int = 1 << 18, ids: DataFrame | None = None) -> DataFrame:
+    """Write ``encoded`` (doc_id, ids) to at most ``n_files`` files in ascending doc_id order (nulls first).
+
+    ``ids`` may give the same doc_ids from a table that is cheaper to read, to find the files' borders.
 
     Returns the manifest: part, path, n_docs, n_tokens. A retried task writes a file of its own
     name, and only the attempt whose row reached the manifest counts; keep the manifest
@@ -206,27 +208,34 @@ def write_token_files(encoded: DataFrame, folder: str, n_files: int, frame_bytes
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, docs, tokens, path, part = None, 0, 0, None, None
+        store, root = open_folder(folder)
+        out, stream, docs, tokens, path, part = None, None, 0, 0, None, None
+
+        def finish() -> pa.RecordBatch:
+            out.close()
+            stream.close()
+            return pa.record_batch([pa.array([part], pa.int32()), pa.array([path]), pa.array([docs], pa.int64()), pa.array([tokens], pa.int64())], names=["part", "path", "n_docs", "n_tokens"])
+
         for b in batches:
-            if not b.num_rows:
-                continue
-            if out is None:
-                part = b.column("part")[0].as_py()
-                store, root = open_folder(folder)
-                store.create_dir(root, recursive=True)
-                path = attempt_name(root, f"tokens-{part:06d}", ".zst")
-                stream = store.open_output_stream(path, compression=None)
-                out = FrameWriter(stream, frame_bytes)
-            for doc_id, ids in zip(b.column("doc_id").to_pylist(), b.column("ids")):
+            for at, doc_id, ids in zip(b.column("part").to_pylist(), b.column("doc_id").to_pylist(), b.column("ids")):
+                if at != part:
+                    if out is not None:
+                        yield finish()
+                    store.create_dir(root, recursive=True)
+                    part, docs, tokens, path = at, 0, 0, attempt_name(root, f"tokens-{at:06d}", ".zst")
+                    stream = store.open_output_stream(path, compression=None)
+                    out = FrameWriter(stream, frame_bytes)
                 raw = ids.as_py()
                 out.add(doc_id, raw)
                 docs, tokens = docs + 1, tokens + len(raw) // 4
         if out is not None:
-            out.close()
-            stream.close()
-            yield pa.record_batch([pa.array([part], pa.int32()), pa.array([path]), pa.array([docs], pa.int64()), pa.array([tokens], pa.int64())], names=["part", "path", "n_docs", "n_tokens"])
+            yield finish()
 
-    ordered = encoded.repartitionByRange(n_files, "doc_id").sortWithinPartitions("doc_id", "ids").withColumn("part", F.spark_partition_id())
+    # borders come from the ids alone: ranges found by Spark would encode every text once more to sample them
+    borders = (encoded if ids is None else ids).agg(F.percentile_approx("doc_id", [k / n_files for k in range(1, n_files)] or [0.5], 10_000).alias("b")).first()["b"] or []
+    part = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in borders]), lambda b: b < F.col("doc_id"))) if borders else F.lit(0)
+    parted = encoded.withColumn("part", F.when(F.col("doc_id").isNull(), 0).otherwise(part).cast("int"))
+    ordered = parted.repartition(n_files, "part").sortWithinPartitions("part", "doc_id", "ids")
     return ordered.mapInArrow(write, "part int, path string, n_docs long, n_tokens long")
 
 
@@ -267,7 +276,7 @@ def token_files(spark: SparkSession, docs: DataFrame, vocabulary: str, folder: s
     """
     folder = folder or scratch_path(spark, "token-files")
     n_files = n_files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return materialize(write_token_files(encode_documents(docs, vocabulary), folder, n_files), "token-manifest"), folder
+    return materialize(write_token_files(encode_documents(docs, vocabulary), folder, n_files, ids=docs.select(F.col("doc_id").cast("long"))), "token-manifest"), folder
 
 
 def token_digests(spark: SparkSession, docs: DataFrame, vocabulary: str) -> DataFrame:

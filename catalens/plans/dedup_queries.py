@@ -32,6 +32,44 @@ def texts(spark, sf_dir):
     return rows.select(*[F.expr(e) for e in TEXTS], F.array_join(F.slice(words, 1, 5), " ").alias("name"), F.array_join(F.slice(words, 6, 12), " ").alias("description"), F.concat(F.lit("https://shop.example.com/"), F.col("n_chars").cast("string"), F.lit("/?spm="), F.col("doc_id").cast("string")).alias("source_url"))
 
 
+
+
+def score_sql(source: str) -> str:
+    """Common table expressions that score the distinct (l, r) text pairs of ``source`` as ``ratio`` (l, r, score)."""
+    words = lambda c: f"list_distinct(list_filter(string_split({c}, ' '), lambda t: t <> ''))"
+    # one row of the table of subsequence lengths after the other; its last number is the whole texts'
+    step = "list_append(acc, greatest(acc[-1], prev[j[1] + 1], prev[j[1]] + CASE WHEN substr(ox, i[1], 1) = substr(oy, j[1], 1) THEN 1 ELSE 0 END))"
+    lcs = f"list_reduce(list_transform(range(1, length(ox) + 1), lambda i: [i]), lambda prev, i: list_reduce(list_transform(range(1, length(oy) + 1), lambda j: [j]), lambda acc, j: {step}, [0::BIGINT]), list_resize([0::BIGINT], length(oy) + 1, 0::BIGINT))[-1]"
+    return f"""texts AS (SELECT DISTINCT l, r FROM ({source})),
+    word_sets AS (SELECT l, r, {words('l')} AS xs, {words('r')} AS ys FROM texts),
+    parts AS (SELECT *, length(array_to_string(list_sort(list_filter(xs, lambda t: list_contains(ys, t))), ' ')) AS s, array_to_string(list_sort(list_filter(xs, lambda t: NOT list_contains(ys, t))), ' ') AS ox, array_to_string(list_sort(list_filter(ys, lambda t: NOT list_contains(xs, t))), ' ') AS oy FROM word_sets),
+    lengths AS (SELECT *, CASE WHEN s > 0 THEN 1 ELSE 0 END AS gap, {lcs} AS common FROM parts),
+    ratio AS (SELECT l, r, CASE WHEN len(xs) = 0 OR len(ys) = 0 THEN 0.0::DOUBLE WHEN s > 0 AND (ox = '' OR oy = '') THEN 1.0::DOUBLE ELSE greatest(1 - (length(ox) + length(oy) - 2 * common) / (2 * (s + gap) + length(ox) + length(oy)),
+        CASE WHEN s > 0 THEN 1 - (gap + length(ox)) / (2 * s + gap + length(ox)) ELSE 0 END, CASE WHEN s > 0 THEN 1 - (gap + length(oy)) / (2 * s + gap + length(oy)) ELSE 0 END) END AS score FROM lengths)"""
+
+
+def normal_sql(c: str) -> str:
+    return rf"lower(trim(regexp_replace(regexp_replace(coalesce({c}, ''), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')))"
+
+
+NORMAL_SQL = f"normal AS (SELECT pos, id, {normal_sql('name')} AS n, {normal_sql('description')} AS d FROM product)"
+BOTH_SQL = "SELECT x.n AS l, y.n AS r FROM {pairs} p JOIN normal x ON x.id = p.a JOIN normal y ON y.id = p.b UNION ALL SELECT x.d, y.d FROM {pairs} p JOIN normal x ON x.id = p.a JOIN normal y ON y.id = p.b"
+
+
+def text_sql(pairs: str) -> str:
+    """``scored`` (a, b, text) over the pairs (a, b) of a table."""
+    return f"""{NORMAL_SQL}, {score_sql(BOTH_SQL.format(pairs=pairs))},
+    scored AS (SELECT p.a, p.b, y.pos, CASE WHEN x.d = '' OR y.d = '' THEN rn.score ELSE 0.7 * rn.score + 0.3 * rd.score END AS text
+        FROM {pairs} p JOIN normal x ON x.id = p.a JOIN normal y ON y.id = p.b JOIN ratio rn ON rn.l = x.n AND rn.r = y.n JOIN ratio rd ON rd.l = x.d AND rd.r = y.d)"""
+
+
+TEXT_SQL = DOCS_SQL + f", {PAIRS_SQL}, {text_sql('pairs')}"
+DROPS_SQL = f"keyed AS (SELECT id, {normal_url_sql('source_url')} AS canonical FROM product WHERE enabled), first AS (SELECT canonical, min(id) AS keep_id FROM keyed WHERE canonical <> '' GROUP BY canonical), by_url AS (SELECT id AS drop_id, keep_id, 1.0::DOUBLE AS confidence FROM keyed JOIN first USING (canonical) WHERE id <> keep_id)"
+BEST_SQL = "SELECT drop_id, keep_id, confidence FROM by_url UNION ALL SELECT b, arg_min(a, struct_pack(c := -floor(text * 1000000 + 0.5) / 1000000, a := a)), max(floor(text * 1000000 + 0.5) / 1000000) FROM scored WHERE text >= 0.88 AND b NOT IN (SELECT drop_id FROM by_url) {changed} GROUP BY b"
+#: Every twentieth product against the others that share a token of its name.
+ASKED_SQL = f"named AS (SELECT pos, id, unnest({DISTINCT_SQL}) AS token FROM product), asked AS (SELECT DISTINCT q.id AS a, p.id AS b FROM named q JOIN named p ON q.token = p.token AND q.pos % 20 = 0 AND q.pos <> p.pos)"
+
+
 @R.add("tokenize", DOCS_SQL + f" SELECT id, array_to_string({DISTINCT_SQL}, ' ') AS tokens FROM product")
 def tokenize(spark, sf_dir):
     return texts(spark, sf_dir).select("id", F.array_join(T.tokenize(F.col("name")), " ").alias("tokens"))
@@ -84,32 +122,32 @@ def join_semi_archive(spark, sf_dir):
     return pending.select("id", normalize_url(F.col("product_source_url")).alias("canonical")).join(known, "canonical", "left_semi").select("id")
 
 
-@R.add("token_set_ratio")
+@R.add("token_set_ratio", DOCS_SQL + f", {PAIRS_SQL}, {NORMAL_SQL}, {score_sql(BOTH_SQL.format(pairs='pairs'))} SELECT p.a, p.b, round(score, 6) AS score FROM pairs p JOIN normal x ON x.id = p.a JOIN normal y ON y.id = p.b JOIN ratio ON l = x.n AND r = y.n")
 def token_set_ratio(spark, sf_dir):
     products = texts(spark, sf_dir)
     names = products.select(F.col("id").alias("a"), F.col("name").alias("name_a"))
     return D.candidate_pairs(products).join(names, "a").join(names.withColumnsRenamed({"a": "b", "name_a": "name_b"}), "b").select("a", "b", F.round(T.token_set_ratio(T.text_normalize(F.col("name_a")), T.text_normalize(F.col("name_b"))), 6).alias("score"))
 
 
-@R.add("text_similarity")
+@R.add("text_similarity", TEXT_SQL + " SELECT a, b, floor(text * 1000000 + 0.5) / 1000000 AS score FROM scored")
 def text_similarity(spark, sf_dir):
     products = texts(spark, sf_dir)
     return D.scored_pairs(D.candidate_pairs(products), products).select("a", "b", F.col("verdict.text").alias("score"))
 
 
-@R.add("compare")
+@R.add("compare", TEXT_SQL + " SELECT a, b, text >= 0.88 AS is_duplicate, floor(text * 1000000 + 0.5) / 1000000 AS confidence, CASE WHEN text >= 0.88 THEN 'text' ELSE '' END AS matched_by FROM scored")
 def compare(spark, sf_dir):
     products = texts(spark, sf_dir)
     scored = D.scored_pairs(D.candidate_pairs(products), products)
     return scored.select("a", "b", "verdict.is_duplicate", "verdict.confidence", F.array_join("verdict.matched_by", ",").alias("matched_by"))
 
 
-@R.add("join_pairs_scored")
+@R.add("join_pairs_scored", TEXT_SQL + f", {DROPS_SQL} {BEST_SQL.format(changed='')}")
 def join_pairs_scored(spark, sf_dir):
     return D.duplicate_pairs(texts(spark, sf_dir))
 
 
-@R.add("stream_incremental_dedup")
+@R.add("stream_incremental_dedup", TEXT_SQL + f", {DROPS_SQL} " + BEST_SQL.format(changed="AND (CAST(a AS BIGINT) % 10 = 0 OR CAST(b AS BIGINT) % 10 = 0)"))
 def stream_incremental_dedup(spark, sf_dir):
     products = texts(spark, sf_dir)
     return D.duplicate_pairs(products, products.filter("pos % 10 = 0").select("id"))
@@ -119,13 +157,13 @@ def _asked(products):
     return products.filter("pos % 20 = 0").select(F.col("pos").alias("query_id"), F.col("name").alias("query_name"), F.col("description").alias("query_description"), F.lit(None).cast("string").alias("query_url"))
 
 
-@R.add("join_theta_best")
+@R.add("join_theta_best", DOCS_SQL + f", {ASKED_SQL}, others AS (SELECT a, b FROM asked WHERE CAST(b AS BIGINT) % 20 <> 0), {text_sql('others')} SELECT CAST(a AS BIGINT) AS query_id, b AS product_id, text >= 0.88 AS is_duplicate, floor(text * 1000000 + 0.5) / 1000000 AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY floor(text * 1000000 + 0.5) / 1000000 DESC, pos) AS nth FROM scored) WHERE nth = 1")
 def join_theta_best(spark, sf_dir):
     products = texts(spark, sf_dir)
     return D.best_match(_asked(products), products.filter("pos % 20 <> 0"))
 
 
-@R.add("topk_name")
+@R.add("topk_name", DOCS_SQL + f", {ASKED_SQL}, {NORMAL_SQL}, {score_sql(BOTH_SQL.format(pairs='asked'))}, ranked AS (SELECT CAST(p.a AS BIGINT) AS query_id, y.pos, round(score, 6) AS score, row_number() OVER (PARTITION BY p.a ORDER BY round(score, 6) DESC, y.pos) AS rank FROM asked p JOIN normal x ON x.id = p.a JOIN normal y ON y.id = p.b JOIN ratio ON l = x.n AND r = y.n WHERE round(score, 6) >= 0.72) SELECT query_id, pos, score, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 5")
 def topk_name(spark, sf_dir):
     """The five most similar names of the catalogue for every twentieth document's, from those that share a token."""
     products = texts(spark, sf_dir)

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType, StringType
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, LongType, StringType
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -64,3 +64,51 @@ def vec_decode(dim: int):
         return text.map(one)
 
     return decode
+
+
+def _grid(values) -> np.ndarray:
+    """A flat list of points as the largest square picture that it fills."""
+    side = int(len(values) ** 0.5)
+    return np.asarray(values[: side * side], np.float64).reshape(side, side)
+
+
+def _resized(picture: np.ndarray, size: int) -> np.ndarray:
+    """Linear interpolation of a square picture to ``size`` points a side."""
+    at = np.linspace(0, len(picture) - 1, size)
+    low = np.minimum(at.astype(int), max(0, len(picture) - 2))
+    high, part = np.minimum(low + 1, len(picture) - 1), at - low
+    rows = picture[low] * (1 - part)[:, None] + picture[high] * part[:, None]
+    return rows[:, low] * (1 - part) + rows[:, high] * part
+
+
+@F.pandas_udf(LongType())
+def phash_pixels(points: pd.Series) -> pd.Series:
+    """64 bits of a picture: its 8 by 8 lowest cosine frequencies at 32 points a side, each over their median or not."""
+    k, n = np.arange(8)[:, None], np.arange(32)[None, :]
+    waves = np.cos(np.pi * k * (2 * n + 1) / 64)
+
+    def one(v):
+        if v is None or len(v) == 0:
+            return None
+        low = waves @ _resized(_grid(v), 32) @ waves.T
+        bits = (low > np.median(low)).reshape(-1)
+        return int(np.packbits(bits).view(">i8")[0])
+
+    return points.map(one)
+
+
+def standard_pixels(size: int):
+    """A picture resized to ``size``, its points brought to 0..1 and then to mean 0 and deviation 1, row by row."""
+
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def standard(points: pd.Series) -> pd.Series:
+        def one(v):
+            if v is None or len(v) == 0:
+                return None
+            picture = _resized(_grid(v), size)
+            picture = (picture - picture.min()) / ((picture.max() - picture.min()) or 1.0)
+            return ((picture - picture.mean()) / (picture.std() or 1.0)).reshape(-1)
+
+        return points.map(one)
+
+    return standard

@@ -344,3 +344,28 @@ def unreachable_image(spark, sf_dir):
 def fetch_source_price(spark, sf_dir):
     link = F.col("link")
     return links(spark, sf_dir).select("page_id", F.when(link.rlike(r"(?i)aliexpress\.(com|us|ru|es)"), "aliexpress").when(link.rlike(r"(?i)alibaba\.com"), "alibaba").when(link.rlike(r"(?i)1688\.com"), "1688").alias("fetcher"))
+
+
+@R.add("sink_toggle_enabled", logical_sql("catalog", "audit_log") + "SELECT c.id, c.enabled AS was, false AS target FROM catalog c WHERE c.enabled AND c.id IN (SELECT product_id FROM audit_log WHERE action = 'duplicate_flagged' AND dismissed IS NOT TRUE AND confidence >= 0.95)")
+def sink_toggle_enabled(spark, sf_dir):
+    """The state to bring products to: those with a sure duplicate are disabled, the others stay."""
+    sure = logical(spark, sf_dir, "audit_log").filter("action = 'duplicate_flagged' AND confidence >= 0.95 AND NOT (dismissed <=> true)").select(F.col("product_id").alias("id"))
+    return logical(spark, sf_dir, "catalog").filter("enabled").join(sure, "id", "left_semi").select("id", F.col("enabled").alias("was"), F.lit(False).alias("target"))
+
+
+@R.add("fetch_market_api", logical_sql("catalog", "price_history") + "SELECT c.id, CASE WHEN c.price_cents > 0 THEN 'item' WHEN h.cents IS NOT NULL THEN 'search' ELSE 'none' END AS via, CASE WHEN c.price_cents > 0 THEN c.price_cents ELSE h.cents END AS cents FROM catalog c LEFT JOIN (SELECT product_id, min(price_cents) AS cents FROM price_history WHERE price_cents > 0 GROUP BY product_id) h ON c.id = h.product_id")
+def fetch_market_api(spark, sf_dir):
+    """A reference resolved against responses at hand: the item's own price first, then the cheapest search result."""
+    found = logical(spark, sf_dir, "price_history").filter("price_cents > 0").groupBy(F.col("product_id").alias("id")).agg(F.min("price_cents").alias("cents"))
+    rows = logical(spark, sf_dir, "catalog").select("id", F.when(F.col("price_cents") > 0, F.col("price_cents")).alias("own")).join(found, "id", "left")
+    return rows.select("id", F.when(F.col("own").isNotNull(), "item").when(F.col("cents").isNotNull(), "search").otherwise("none").alias("via"), F.coalesce("own", "cents").alias("cents"))
+
+
+@R.add("scrape_competitor")
+def scrape_competitor(spark, sf_dir):
+    """The cards of a page's list of links: text and address, up to five of each page."""
+    links_found = F.regexp_extract_all("html", F.lit(r'(?is)<a[^>]*href="([^"]+)"[^>]*>(.*?)</a>'), F.lit(1))
+    names = F.regexp_extract_all("html", F.lit(r'(?is)<a[^>]*href="([^"]+)"[^>]*>(.*?)</a>'), F.lit(2))
+    cards = F.slice(F.arrays_zip(names.alias("name"), links_found.alias("url")), 1, 5)
+    rows = logical(spark, sf_dir, "page").select("page_id", F.posexplode(cards).alias("nth", "card"))
+    return rows.select("page_id", "nth", F.trim(F.col("card.name")).alias("name"), F.col("card.url").alias("url"))

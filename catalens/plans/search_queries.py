@@ -235,10 +235,28 @@ def vec_normalize(spark, sf_dir):
     return vectors(spark, sf_dir).select("vec_id", F.round(V.norm(doubled), 4).alias("before"), F.round(V.norm(V.vec_normalize(F.transform("vector", lambda x: x * 3))), 4).alias("after"))
 
 
-@R.add("vec_round_trip")
-def vec_round_trip(spark, sf_dir):
-    coded = vectors(spark, sf_dir).withColumn("text", V.vec_encode("vector"))
-    return coded.select("vec_id", F.length("text").alias("n"), (V.vec_decode(64)("text") == F.col("vector")).alias("same"))
+@R.add("vec_encode")
+def vec_encode(spark, sf_dir):
+    return vectors(spark, sf_dir).select("vec_id", V.vec_encode("vector").alias("text"))
+
+
+@R.add("vec_decode", VEC + "SELECT vec_id, 64 AS n, round(CAST(embedding[1] AS DOUBLE), 6) AS first FROM vector")
+def vec_decode(spark, sf_dir):
+    decoded = vec_encode(spark, sf_dir).withColumn("v", V.vec_decode(64)("text"))
+    return decoded.select("vec_id", F.size("v").alias("n"), F.round(F.get("v", F.lit(0)).cast("double"), 6).alias("first"))
+
+
+@R.add("phash_image")
+def phash_image(spark, sf_dir):
+    """The 64 values of a vector as a picture of 8 by 8 points."""
+    return vectors(spark, sf_dir).select("vec_id", V.phash_pixels("vector").alias("phash"))
+
+
+@R.add("clip_preprocess")
+def clip_preprocess(spark, sf_dir):
+    """The same pictures made 16 points high and standardised."""
+    made = vectors(spark, sf_dir).select("vec_id", V.standard_pixels(16)("vector").alias("p"))
+    return made.select("vec_id", F.size("p").alias("n"), F.round(F.get("p", F.lit(0)), 4).alias("first"))
 
 
 SIGN_SQL = "signs AS (SELECT vec_id, product_id, image, list_transform(embedding, lambda x: CAST(x AS DOUBLE) > m) AS bits FROM (SELECT *, (CAST(list_sort(embedding)[32] AS DOUBLE) + CAST(list_sort(embedding)[33] AS DOUBLE)) / 2 AS m FROM vector))"

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +32,31 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+#: Paths of the scratch tables of each open scope.
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Deletes the scratch tables made inside, at its end. What it yields writes a result that stays."""
+    paths: list[str] = []
+    _scopes.append(paths)
+
+    def keep(df: DataFrame, label: str) -> DataFrame:
+        out = materialize(df, label)
+        kept = paths.pop()
+        if len(_scopes) > 1:  # the enclosing scope's, as any table made there
+            _scopes[-2].append(kept)
+        return out
+
+    try:
+        yield keep
+    finally:
+        _scopes.pop()
+        for path in paths:
+            _delete(spark, path)
+
+
 def materialize(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
@@ -37,6 +64,8 @@ def materialize(df: DataFrame, label: str, compression: str = "zstd") -> DataFra
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
+    if _scopes:
+        _scopes[-1].append(path)
     schema = df.schema
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(schema).parquet(path)
@@ -44,11 +73,13 @@ def materialize(df: DataFrame, label: str, compression: str = "zstd") -> DataFra
 
 def drop_scratch(df: DataFrame) -> None:
     """Delete the files of a table that materialize() wrote and nobody reads any more."""
-    jvm = df.sparkSession.sparkContext._jvm
-    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+        _delete(df.sparkSession, folder)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def crc32_mod(doc_id: Column, modulus: int) -> Column:

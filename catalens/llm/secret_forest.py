@@ -15,13 +15,30 @@ from pyspark.sql import functions as F
 
 from catalens.llm._common import materialize
 
-#: A run of at least 16 key characters with a digit in it.
-CANDIDATE = r"(?<![A-Za-z0-9_+/=\-])(?=[A-Za-z_+/=\-]*+[0-9])[A-Za-z0-9_+/=\-]{16,}"
-#: Names that introduce a credential, and prefixes that issuers give their keys.
-KEYWORDS = r"(?i)(?:token|secret|passw(?:or)?d|pwd|api[_\-]?key|access[_\-]?key|private[_\-]?key|auth|bearer|credential)"
-ISSUED = r"^(?:AKIA|ASIA|ghp_|gho_|ghs_|glpat-|sk_live_|sk-|xox[abprs]-|AIza|eyJ)"
-#: How a value is bound to a name: an assignment sign and perhaps a quote just before it.
-BOUND = r"[:=]\s*[\"']?$"
+#: Names that introduce a credential anywhere near, for the features.
+KEYWORDS = r"(?i)(?:token|secret|passw(?:or)?d|passphrase|pwd|api[_\- ]?key|access[_\- ]?key|private[_\- ]?key|auth|bearer|credential)"
+#: The end of a credential's name: the word that tells it and what follows in the name ("tokens", "tokenizer" and "author" are none).
+CREDENTIAL = r"(?:(?=[apstcAPSTC])(?i:token|(?:secret|passw(?:or)?d|passphrase|pwd|credential|(?:secret|api|access|private)[_\- ]?key)s?|authorization|auth|(?<=[_\-])pass)(?![a-z]))"
+NAME = rf"{CREDENTIAL}[\w\-]*"
+#: From a credential's name to its value: quotes, an assignment sign, perhaps a scheme; or the scheme alone.
+INTRODUCED = rf"(?:{NAME}[\"'\]]{{0,2}}[ \t]{{0,8}}(?:=>|:=|=(?!=)|:)[ \t]{{0,8}}(?:(?i:bearer|basic|token)[ \t]{{1,8}})?|(?<!\w)[bB](?i:earer)[ \t]{{1,8}}(?=\S*[0-9]|\S{{20}}))[\"'`]?"
+#: Prefixes that issuers give their keys.
+PREFIXES = r"(?:AKIA|ASIA|ghp_|gho_|ghs_|glpat-|sk_live_|sk-|xox[abprs]-|AIza|eyJ)"
+ISSUED = "^" + PREFIXES
+#: What a credential's name introduces, of any length and characters: up to the closing quote, or to a blank or separator.
+VALUE = r"(?:(?<=\")[^\"\n]{1,4096}(?=\")|(?<=')[^'\n]{1,4096}(?=')|[^\s\"'<>&,;]*[^\s\"'<>&,;.:!?)\]}])"
+#: A key with an issued prefix, or a run of at least 16 key characters with a digit in it. A leading "name=" is no part of it.
+RUN = rf"(?:{PREFIXES}[A-Za-z0-9_+/=\-]++|(?=[A-Za-z_+/=\-]*+[0-9])[A-Za-z0-9_+/=\-]{{16,}})"
+#: What leads to any other candidate: names with "=" before it.
+LEAD = r"(?:[A-Za-z0-9_+/\-]*+=(?=[A-Za-z0-9_+/\-])){0,8}+"
+#: A candidate with what leads to it; where that ends in a credential's name, the search goes on to the name itself.
+CANDIDATE = rf"(?:{INTRODUCED}{VALUE}|(?<![A-Za-z0-9_+/=\-]){LEAD}(?={RUN})(?<!{CREDENTIAL}[\w\-]{{0,64}}=){RUN})"
+#: The two of them apart, tried on a match.
+APART = rf"(?s)^(?:({INTRODUCED})(.+)|({LEAD})(.+))$"
+#: How a value is bound to a name: an assignment sign (and a scheme) and perhaps a quote just before it.
+BOUND = r"(?:[:=]>?\s*|\b(?i:bearer|basic)\s+)[\"'`]?$"
+#: Values that stand for a credential or hold none: variables, placeholders, literals of languages, calls.
+STAND_IN = r"^(?:[$%].*|\{\{.*|(?i:null|none|nil|true|false|undefined|str|string|required|optional|yes|no)|[xX*.]{3,}|\w[\w.]*\(.*)$"
 
 FEATURES = ["length", "digits", "uppers", "symbols", "transitions", "distinct_chars", "hex_only", "vowels", "dictionary", "path_like", "assigned", "quoted", "keyword_near", "previous_length", "next_plain"]
 
@@ -30,13 +47,20 @@ def secret_candidates(docs: DataFrame, context: int = 64) -> DataFrame:
     """One row for each candidate in the whole text of each row of ``docs`` (doc_id, text, source).
 
     Returns doc_id, source, ordinal (from 0 in its text), candidate, left and right (up to
-    ``context`` characters around it). A null or empty text has none; repeated rows give repeated
+    ``context`` characters around it; a name that leads to it is on its left). A null or empty text has none; repeated rows give repeated
     candidates; other columns are ignored.
     """
     found = docs.select("doc_id", "source", "text").filter(F.col("text").rlike(CANDIDATE))
-    found = found.select("doc_id", "source", F.split("text", CANDIDATE).alias("around"), F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("hits"))
-    one = found.select("doc_id", "source", "around", F.posexplode("hits").alias("ordinal", "candidate"))
-    return one.select("doc_id", "source", "ordinal", "candidate", F.right(F.get("around", F.col("ordinal")), F.lit(context)).alias("left"), F.left(F.get("around", F.col("ordinal") + 1), F.lit(context)).alias("right"))
+    found = found.select("doc_id", "source", F.split("text", CANDIDATE).alias("around"), _parts("text").alias("hits"))
+    one = found.select("doc_id", "source", "around", F.posexplode("hits").alias("ordinal", "hit"))
+    left = F.concat(F.get("around", F.col("ordinal")), F.col("hit.lead"))
+    return one.select("doc_id", "source", "ordinal", F.col("hit.candidate").alias("candidate"), F.right(left, F.lit(context)).alias("left"), F.left(F.get("around", F.col("ordinal") + 1), F.lit(context)).alias("right"))
+
+
+def _parts(text: str) -> Column:
+    """The candidates of a text in order, each with what leads to it: an array of (lead, candidate)."""
+    part = lambda m, k: F.regexp_extract(m, APART, k)
+    return F.transform(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), lambda m: F.struct(F.concat(part(m, 1), part(m, 3)).alias("lead"), F.concat(part(m, 2), part(m, 4)).alias("candidate")))
 
 
 def common_words(docs: DataFrame, n: int = 400, min_length: int = 4) -> list[str]:
@@ -77,12 +101,15 @@ def finding_features(found: DataFrame, words: list[str]) -> DataFrame:
 
 def grammar_label(candidate: Column, left: Column, right: Column) -> Column:
     """A weak label of a finding: 1 for an issued prefix or a value bound to a credential's name, 0 for
-    all-digit numbers, parts of addresses and paths, and words with neither; null (not used for training) between.
+    all-digit numbers, parts of addresses and paths, stand-ins, a plain word that prose goes on from, and
+    words with neither; null (not used for training) between.
     """
-    named = left.rlike(KEYWORDS.replace("(?i)", "(?i)\\b") + r"\w*[\"']?\s*" + BOUND)
-    issued = candidate.rlike(ISSUED)
-    address = left.rlike(r"[/@.]$") | right.rlike(r"^[@.]\w") | candidate.rlike(r"^[0-9]+$")
-    return F.when(issued | named, 1.0).when(address | ~(left.rlike(KEYWORDS) | left.rlike(BOUND)), 0.0)
+    named = left.rlike(INTRODUCED + "$")
+    issued = candidate.rlike(ISSUED) & (F.length(candidate) >= 16) & candidate.rlike("[0-9A-Z]")
+    prose = candidate.rlike("^[A-Z]?[a-z]+$") & left.rlike(r"\s$") & right.rlike(r"^[,.;:!?]?\s+[A-Za-z]")
+    unnamed = ~issued & ~left.rlike(KEYWORDS) & ~left.rlike(BOUND)
+    address = left.rlike(r"[/@.]$") | right.rlike(r"^[@.]\w") | (candidate.rlike(r"^[0-9]+$") & ~named)
+    return F.when(named & (prose | candidate.rlike(STAND_IN)), 0.0).when(named & candidate.rlike(r"\s"), None).when(issued | named, 1.0).when(address | unnamed, 0.0)
 
 
 def labelled_findings(findings: DataFrame, max_labelled: int) -> DataFrame:
@@ -112,23 +139,29 @@ def scan_secrets(docs: DataFrame, threshold: float = 0.5, n_words: int = 400, ma
     """All candidates of ``docs`` with the forest's verdict.
 
     Returns doc_id, source, ordinal, candidate, left, right, the features, score and is_secret
-    (score >= ``threshold``). ``labelled`` may give reviewed findings (the columns of
+    (score >= ``threshold``; with the grammar's labels also what the grammar calls a secret, as a form
+    that is rare in the sample is not outvoted). ``labelled`` may give reviewed findings (the columns of
     ``secret_candidates`` and ``label``); else the grammar labels at most ``max_labelled`` findings
     of each class. Texts without candidates, null and empty ones give no rows; an empty table none.
     """
     words = common_words(docs, n_words)
     findings = materialize(finding_features(secret_candidates(docs), words), "findings")
     train = labelled_findings(findings, max_labelled) if labelled is None else finding_features(labelled, words)
-    return forest_scores(findings, train).withColumn("is_secret", F.col("score") >= threshold)
+    sure = F.lit(False) if labelled is not None else F.coalesce(grammar_label(F.col("candidate"), F.col("left"), F.col("right")) == 1.0, F.lit(False))
+    return forest_scores(findings, train).withColumn("is_secret", (F.col("score") >= threshold) | sure)
 
 
 def redact_secrets(docs: DataFrame, findings: DataFrame, mark: str = "<secret>") -> DataFrame:
     """``docs`` with every secret of ``findings`` (doc_id, candidate, is_secret) replaced in its document's text.
 
-    Longer secrets go first, so that one inside another leaves no rest. Documents without secrets
-    stay as they are; rows with a null id keep their text, as findings can't be told apart there.
+    A secret is replaced where it is a candidate, and one that can't be taken for a word (16
+    characters, or 8 with other than letters) wherever it stands; longer ones go first, so that one
+    inside another leaves no rest. Documents without secrets stay as they are; rows with a null id
+    keep their text, as findings can't be told apart there.
     """
     secrets = findings.filter("is_secret").groupBy("doc_id").agg(F.collect_set("candidate").alias("__found"))
-    ordered = F.transform(F.array_sort(F.transform("__found", lambda c: F.struct((-F.length(c)).alias("n"), c.alias("c")))), lambda s: s["c"])
-    clean = F.aggregate(ordered, F.col("text"), lambda t, c: F.replace(t, c, F.lit(mark)))
+    cut = F.zip_with(F.split("text", CANDIDATE), _parts("text"), lambda a, p: F.concat(a, F.when(p.isNull(), "").otherwise(F.concat(p["lead"], F.when(F.array_contains("__found", p["candidate"]), mark).otherwise(p["candidate"])))))
+    long = F.filter("__found", lambda c: (F.length(c) >= 16) | ((F.length(c) >= 8) & c.rlike("[^A-Za-z]")))
+    ordered = F.transform(F.array_sort(F.transform(long, lambda c: F.struct((-F.length(c)).alias("n"), c.alias("c")))), lambda s: s["c"])
+    clean = F.aggregate(ordered, F.array_join(cut, ""), lambda t, c: F.replace(t, c, F.lit(mark)))
     return docs.join(secrets, "doc_id", "left").withColumn("text", F.when(F.col("__found").isNull(), F.col("text")).otherwise(clean)).select(*docs.columns)

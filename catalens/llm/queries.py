@@ -26,7 +26,7 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = crc32_mod(F.col("doc_id"), 5) == 1
-    model = train(docs, ~held_out, order=2)
+    model = train(docs, ~held_out, order=3)
     return score_texts(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
 
 

@@ -204,6 +204,19 @@ def test_model_of_nothing(spark, nothing, odd):
     assert all(r["score"] == 0.0 and r["n_known"] == 0 for r in N.score_texts(odd, model).collect())
 
 
+def test_query_scores_words_with_two_words_of_context(spark, tmp_path):
+    from catalens.llm.queries import op2_kneser_ney
+
+    rng = random.Random(9)
+    docs = spark.createDataFrame([(i, prose(rng, 40, 12), "en", "s") for i in range(60)], SCHEMA)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    held_out = crc32_mod(F.col("doc_id"), 5) == 1
+    model = N.train(docs, ~held_out, order=3)
+    expected = N.score_texts(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
+    got = op2_kneser_ney(spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.collect()))
+
+
 # ---- 3: decontamination ------------------------------------------------------------------------
 
 

@@ -101,6 +101,7 @@ def near_rows(rng, groups=12, copies=9):
 @pytest.mark.parametrize(("n", "percent", "bucket"), [(3, 90, 48), (5, 80, 48), (3, 80, 4)])
 def test_ngram_join_equals_brute_force(spark, monkeypatch, n, percent, bucket):
     monkeypatch.setattr(J, "MAX_BUCKET", bucket)  # small buckets exercise the large ones' way
+    monkeypatch.setattr(J, "SAMPLE", bucket // 4)
     rows = near_rows(random.Random(n * percent + bucket)) + odd_rows()
     docs = spark.createDataFrame(rows, SCHEMA).withColumn("n", F.lit("clash")).withColumn("set_id", F.lit("clash"))
     got = sorted(map(str, ((r["doc_id"], r["n_shingles"], r["component_id"]) for r in J.jaccard_components(docs, n, percent).collect())))
@@ -114,15 +115,55 @@ def test_ngram_join_of_nothing(nothing, spark):
 
 def test_prefixes_show_enough_common_tokens():
     rng = np.random.default_rng(2)
-    none = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    for _ in range(200):
-        a = np.unique(rng.integers(0, 10**9, rng.integers(1, 120)))
-        b = np.unique(np.concatenate([rng.permutation(a)[: max(1, int(len(a) * 0.95))], rng.integers(0, 10**9, 2)]))
+    words = np.unique(rng.integers(0, 10**9, 300))
+    frequent = words, np.argsort(np.argsort(rng.random(len(words)))).astype(np.uint64), rng.integers(1, 5, len(words)).astype(np.uint64)
+    tried = 0
+    for _ in range(300):
+        a = np.unique(np.concatenate([rng.integers(0, 10**9, rng.integers(1, 60)), rng.choice(words, rng.integers(1, 60))]))
+        b = np.unique(np.concatenate([rng.permutation(a)[: max(1, int(len(a) * 0.97))], rng.integers(0, 10**9, rng.integers(0, 3))]))
         common = len(np.intersect1d(a, b))
-        if 100 * common >= 90 * (len(a) + len(b) - common):
-            for k in range(3):
-                shared = np.intersect1d(J.prefix(a, k, *none, 90), J.prefix(b, k, *none, 90))
-                assert len(shared) >= min(J.COMMON, int(J.required(len(a), 90)), int(J.required(len(b), 90)))
+        if 100 * common < 90 * (len(a) + len(b) - common):
+            continue
+        tried += 1
+        least = -(-90 * (len(a) + len(b)) // 190)
+        assert common >= least
+        if len(J.sketch(a)) == len(J.sketch(b)):
+            assert np.bitwise_count((J.sketch(a) ^ J.sketch(b)).view(np.uint64)).sum() <= len(a) + len(b) - 2 * common
+        for k in range(3):
+            for length in (1, J.COMMON):
+                early = [J.Prefixes(s, frequent, 90).first(k, length)[: len(s) - least + length] for s in (a, b)]
+                assert len(np.intersect1d(*early)) >= min(length, least)
+    assert tried > 100
+
+
+def test_sketches_of_two_sizes_are_compared(spark):
+    rng = np.random.default_rng(4)
+    a = np.unique(rng.integers(0, 10**9, 132))
+    b, c = a[:126], np.concatenate([a[:110], rng.integers(10**9, 2 * 10**9, 16)])
+    assert len(J.sketch(a)) == 2 * len(J.sketch(b))
+    sets = spark.createDataFrame([(i, J.sketch(np.sort(x)).tolist()) for i, x in enumerate((a, b, c))], "set_id long, sketch array<long>")
+    pairs = spark.createDataFrame([(1, 0, 126, len(a)), (2, 0, 126, len(a)), (1, 2, 126, 126)], "a long, b long, n_a int, n_b int")
+    assert {(r["a"], r["b"]) for r in J.close_pairs(pairs, sets, 90).collect()} == {(1, 0)}
+
+
+def test_far_near_copies_make_few_candidates(spark, monkeypatch):
+    """A thousand copies of one text, too far apart to link: the pairs that are looked at don't grow with the square."""
+    rng = random.Random(3)
+    base, rows = prose(rng, 150, 5000).split(), []
+    for i in range(1000):
+        words = list(base)
+        for k in rng.sample(range(150), 12):
+            words[k] = f"x{i}-{k}"
+        rows.append((i, " ".join(words), "en", "s"))
+    made = []
+    keep = J.materialize
+    monkeypatch.setattr(J, "materialize", lambda df, label: made.append((label, keep(df, label))) or made[-1][1])
+    counted = []
+    graph = J.connected_components
+    monkeypatch.setattr(J, "connected_components", lambda links: counted.append(sum(df.count() for label, df in made if label in ("ngram-pairs", "ngram-across"))) or graph(links))
+    got = J.jaccard_components(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert all(r["component_id"] == r["doc_id"] for r in got)
+    assert max(counted) < 5 * 1000
 
 
 def test_components_of_paths_and_stars(spark):

@@ -4,20 +4,24 @@ A file holds the ids of a range of documents in ascending doc_id order, as littl
 32-bit integers. Each frame holds whole documents (about ``frame_bytes`` of ids) and can be decoded
 alone. Zstandard's skippable frames carry the rest, so that any zstandard reader can decode the file:
 
-    frame*   skippable(index)   skippable(seek table)
+    frame*   skippable(directory, index block*)   skippable(seek table)
 
 The seek table ends the file, in the layout of the public seekable format: for each frame its
 compressed size, decompressed size and checksum (low 32 bits of XXH64 of the content), then the
-number of frames, a descriptor byte with bit 7 set (checksums present) and the magic number. The
-index frame has, for each document, its id (or the null mark) and its number of ids; with the seek
-table it gives every document's frame and place, so a reader decompresses only the frames it needs.
+number of frames, a descriptor byte with bit 7 set (checksums present) and the magic number. An
+index block has, for each of INDEX_DOCS documents, its id (or the null mark) and its number of ids,
+and is compressed alone; the directory has each block's compressed size, documents and ids. A reader
+takes the two tables and the index blocks and frames of the documents that it wants, nothing else.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -37,62 +41,132 @@ CHECKSUM_FLAG = 0x80
 #: The id that stands for a null doc_id in the index.
 NULL_ID = -(1 << 63)
 END_ID = 0
+#: Documents of an index block.
+INDEX_DOCS = 4096
+#: Bytes of ids that a file should hold.
+FILE_BYTES = 256 << 20
+
+
+class Memo:
+    """The ids of chunks, in two generations: what the younger lacks is taken over from the older when asked for."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.young: dict[str, bytes | None] = {}
+        self.old: dict[str, bytes | None] = {}
+
+    def turn(self) -> None:
+        """Begins a new generation where the younger is full."""
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
+
+    def missing(self, wanted: set[str]) -> list[str]:
+        """Those of ``wanted`` that have to be learned; all others are in the younger generation after."""
+        young, old = self.young, self.old
+        out = []
+        for c in wanted:
+            if c in young:
+                continue
+            if c in old:
+                young[c] = old[c]
+            else:
+                out.append(c)
+        return out
 
 
 class ChunkCoder:
     """Encodes whole texts with a tokenizers file, remembering the ids of chunks it has seen.
 
-    A chunk runs from one blank that follows a non-blank character to the next; the byte-level
-    pattern never joins characters across such a place, so the ids of the chunks, joined, are the
-    ids of the text. A text that has blanks after other white space, or separators on which regex
-    engines differ, goes to the library whole.
+    A chunk runs from one blank to the next, and the ids of the chunks, joined, are the ids of the
+    text, as the byte-level pattern never joins characters across a blank that follows another
+    character. Inside a chunk it never joins a letter and a full stop or the like after it, nor
+    anything with a single line end between other characters, so such chunks are put together from
+    parts. A text with several blanks together or with blanks after other white space, with separators
+    on which regex engines differ, or with an added token's string goes to the library whole.
     """
 
-    def __init__(self, path: str, max_chunks: int = 500_000):
+    def __init__(self, path: str, max_chunks: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings are ordinary text here
-        self.max_chunks = max_chunks
-        self.first: dict[str, bytes] = {}
-        self.inner: dict[str, bytes] = {}
-        import re
-
-        self.unsafe = re.compile(r"[\s\x1c-\x1f\x85᠎​﻿] |[\x1c-\x1f\x85᠎​﻿]").search
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.first, self.inner = Memo(max_chunks), Memo(max_chunks)
+        self.odd = re.compile(r"[\x1c-\x1f\x85\u180e\u200b\ufeff]").search
+        # every inner chunk begins with the one token in it that begins with a blank
+        self.leads = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.leads[i] = token.startswith("\u0120")
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, memo: dict[str, bytes], wanted: set[str], lead: str) -> None:
-        if len(memo) + len(wanted) > self.max_chunks:
-            memo.clear()
-        new = sorted(wanted - memo.keys())
-        # joined chunks form one text whose chunk borders are token borders, so offsets give them back
-        for at in range(0, len(new), 64):
-            group = new[at : at + 64]
-            if lead:
-                enc = self.tokenizer.encode("".join([lead + c for c in group]), add_special_tokens=False)
-                ids = np.asarray(enc.ids, "<u4")
-                starts = np.fromiter((o[0] for o in enc.offsets), np.int64, len(ids))
-                ends = np.cumsum([len(c) + 1 for c in group])
-                cuts = np.searchsorted(starts, ends)
-                low = 0
-                for c, high in zip(group, cuts.tolist()):
-                    memo[c] = ids[low:high].tobytes()
-                    low = high
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _parts(self, chunk: str) -> tuple[str, list[str]] | None:
+        """A shorter chunk and the texts that follow it, which are encoded on their own; None where nothing can be cut off."""
+        head, _, tail = chunk.partition("\n")
+        if tail and head and not head[-1].isspace() and not tail[0].isspace():
+            return head, ["\n", tail]
+        stem = chunk.rstrip(".,;:!?")
+        if len(stem) < len(chunk) and stem and stem[-1].isalpha():
+            return stem, [chunk[len(stem) :]]
+        return None
+
+    def _learn(self, memo: Memo, wanted: set[str]) -> None:
+        """Adds the ids of ``wanted`` to ``memo``; None for a chunk after or in which borders are not certain."""
+        simple: list[str] = []
+        made: list[tuple[str, str, list[str]]] = []
+        for c in memo.missing(wanted):
+            if not c or c[-1].isspace() or self.odd(c):
+                memo.young[c] = None
+            elif parts := self._parts(c):
+                made.append((c, *parts))
             else:
-                memo.update(zip(group, self._whole(group)))
+                simple.append(c)
+        if made:
+            self._learn(memo, {head for _, head, _ in made})
+            self._learn(self.first, {x for _, _, rest in made for x in rest if x != "\n"})
+            known, after, line = memo.young, self.first.young, self.line
+            for c, head, rest in made:
+                stem, tail = known[head], after[rest[-1]]
+                known[c] = None if stem is None or tail is None else stem + tail if len(rest) == 1 else stem + line + tail
+        if memo is self.first:
+            memo.young.update(zip(simple, self._whole(simple)))
+            return
+        groups = [simple[at : at + 64] for at in range(0, len(simple), 64)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast(["".join([" " + c for c in g]) for g in groups], add_special_tokens=False)):
+            ids = np.asarray(e.ids, "<u4")
+            raw, cuts = ids.tobytes(), (4 * np.flatnonzero(self.leads[ids])).tolist()
+            if len(cuts) == len(group):
+                memo.young.update(zip(group, [raw[a:b] for a, b in zip(cuts, [*cuts[1:], len(raw)])]))
+            else:
+                memo.young.update(zip(group, self._whole([" " + c for c in group])))
+
+    @cached_property
+    def line(self) -> bytes:
+        return self._whole(["\n"])[0]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
-        parts: list[list[str] | None] = [None if self.unsafe(t) or t.endswith(" ") else t.split(" ") for t in texts]
-        heads = {p[0] for p in parts if p}
+        parts: list[list[str] | None] = [None if any(x in t for x in self.special) else t.split(" ") for t in texts]
         inner: set[str] = set().union(*[p[1:] for p in parts if p])
-        self._learn(self.first, heads, "")
-        self._learn(self.inner, inner, " ")
-        whole = iter(self._whole([t for t, p in zip(texts, parts) if p is None]))
-        get, head = self.inner.__getitem__, self.first
-        return [next(whole) if p is None else head[p[0]] + b"".join(map(get, p[1:])) for p in parts]
+        heads = {p[0] for p in parts if p}
+        self.inner.turn()
+        self.first.turn()
+        self._learn(self.inner, inner)
+        self._learn(self.first, heads)
+        get, head = self.inner.young.__getitem__, self.first.young
+        out: list[bytes | None] = []
+        for p in parts:
+            if p is None:
+                out.append(None)
+                continue
+            try:
+                out.append(b"".join([head[p[0]] if p[0] else b"", *map(get, p[1:])]))
+            except TypeError:  # one of them is None
+                out.append(None)
+        left = [i for i, x in enumerate(out) if x is None]
+        for i, ids in zip(left, self._whole([texts[i] for i in left])):
+            out[i] = ids
+        return out
 
 
 _coders: dict[str, ChunkCoder] = {}
@@ -105,18 +179,24 @@ def coder(path: str) -> ChunkCoder:
     return _coders[path]
 
 
-def encode_documents(docs: DataFrame, vocabulary: str, batch: int = 256) -> DataFrame:
-    """doc_id and ``ids`` (binary): the ids of the whole text and the end id 0; null is the empty text."""
+def encode_documents(docs: DataFrame, vocabulary: str, borders: list[int] | None = None, batch: int = 256) -> DataFrame:
+    """part, doc_id and ``ids`` (binary): the ids of the whole text and the end id 0; null is the empty text.
+
+    The part is the number of ``borders`` (ascending doc_ids) below the doc_id, 0 for a null one.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(np.asarray(borders or [], np.int64))  # one number a file
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ours, end = coder(vocabulary), np.asarray([END_ID], "<u4").tobytes()
+        ours, end, cuts = coder(vocabulary), np.asarray([END_ID], "<u4").tobytes(), sent.value
         for b in batches:
             for at in range(0, b.num_rows, batch):
-                part = b.slice(at, batch)
-                ids = ours.encode([t or "" for t in part.column("text").to_pylist()])
-                yield pa.record_batch([part.column("doc_id"), pa.array([x + end for x in ids], pa.binary())], names=["doc_id", "ids"])
+                rows = b.slice(at, batch)
+                texts = [t or "" for t in rows.column("text").to_pylist()]
+                keys = rows.column("doc_id")
+                part = np.where(keys.is_null(), 0, np.searchsorted(cuts, keys.fill_null(0).to_numpy(zero_copy_only=False)))
+                yield pa.record_batch([pa.array(part.astype(np.int32)), keys, pa.array([x + end for x in ours.encode(texts)], pa.binary())], names=["part", "doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(encode, "doc_id long, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(encode, "part int, doc_id long, ids binary")
 
 
 class FrameWriter:
@@ -128,10 +208,11 @@ class FrameWriter:
         self.pending: list[bytes] = []
         self.pending_bytes = 0
         self.frames: list[tuple[int, int, int]] = []
-        self.docs: list[tuple[int, int]] = []
+        self.docs, self.counts = array("q"), array("q")
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
-        self.docs.append((NULL_ID if doc_id is None else doc_id, len(ids) // 4))
+        self.docs.append(NULL_ID if doc_id is None else doc_id)
+        self.counts.append(len(ids) // 4)
         self.pending.append(ids)
         self.pending_bytes += len(ids)
         if self.pending_bytes >= self.frame_bytes:
@@ -147,14 +228,18 @@ class FrameWriter:
 
     def close(self) -> None:
         self._flush()
-        index = self.codec.compress(np.asarray(self.docs, "<i8").reshape(-1, 2).T.tobytes())
+        docs, counts = np.asarray(self.docs, "<i8"), np.asarray(self.counts, "<i8")
+        parts = range(0, len(docs), INDEX_DOCS)
+        blocks = [self.codec.compress(docs[at : at + INDEX_DOCS].tobytes() + counts[at : at + INDEX_DOCS].tobytes()) for at in parts]
+        directory = b"".join(struct.pack("<QQQ", len(x), len(docs[at : at + INDEX_DOCS]), int(counts[at : at + INDEX_DOCS].sum())) for at, x in zip(parts, blocks))
+        index = struct.pack("<Q", len(blocks)) + directory + b"".join(blocks)
         self.stream.write(struct.pack("<II", SKIPPABLE_MAGIC, len(index)) + index)
         table = b"".join(struct.pack("<III", *f) for f in self.frames) + struct.pack("<IBI", len(self.frames), CHECKSUM_FLAG, SEEKABLE_MAGIC)
         self.stream.write(struct.pack("<II", SKIPPABLE_MAGIC, len(table)) + table)
 
 
 class FrameReader:
-    """Random access to one file: the seek table and the index are read first, frames on demand."""
+    """Random access to one file: the seek table and the index's directory are read first, the rest on demand."""
 
     def __init__(self, stream, size: int):
         self.stream = stream
@@ -170,14 +255,29 @@ class FrameReader:
         magic, length = struct.unpack("<II", stream.read(8))
         if magic != SKIPPABLE_MAGIC:
             raise ValueError("no index frame after the last frame")
-        index = np.frombuffer(zstandard.ZstdDecompressor().decompress(stream.read(length)), "<i8").reshape(2, -1)
-        self.doc_ids, self.counts = index
-        self.ends = np.cumsum(self.counts) * 4
+        (blocks,) = struct.unpack("<Q", stream.read(8))
+        self.blocks = np.frombuffer(stream.read(24 * blocks), "<u8").reshape(blocks, 3).astype(np.int64)
+        self.block_at = at + 16 + 24 * blocks + np.concatenate([[0], np.cumsum(self.blocks[:, 0])])
+        self.first_doc = np.concatenate([[0], np.cumsum(self.blocks[:, 1])])
+        self.first_id = np.concatenate([[0], np.cumsum(self.blocks[:, 2])])
         self.frame_ends = np.cumsum(self.frames[:, 1])
         self._last: tuple[int, bytes] = (-1, b"")
+        self._block: tuple[int, np.ndarray, np.ndarray] = (-1, np.zeros(0, np.int64), np.zeros(0, np.int64))
 
     def __len__(self) -> int:
-        return len(self.doc_ids)
+        return int(self.first_doc[-1])
+
+    def index(self, i: int) -> tuple[int | None, int, int]:
+        """The ``i``-th document's id, the ids of the file before it, and those after it; only its index block is read."""
+        k = int(np.searchsorted(self.first_doc, i, side="right")) - 1
+        if self._block[0] != k:
+            self.stream.seek(int(self.block_at[k]))
+            raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(self.stream.read(int(self.blocks[k, 0]))), "<i8")
+            ids, counts = raw.reshape(2, -1)
+            self._block = k, ids, int(self.first_id[k]) + np.concatenate([[0], np.cumsum(counts)])
+        _, ids, ends = self._block
+        at = i - int(self.first_doc[k])
+        return (None if ids[at] == NULL_ID else int(ids[at])), int(ends[at]), int(ends[at + 1])
 
     def frame(self, k: int) -> bytes:
         """The content of frame ``k``, checked against its checksum."""
@@ -191,20 +291,18 @@ class FrameReader:
 
     def document(self, i: int) -> bytes:
         """The ids of the ``i``-th document of the file; only its frame is decompressed."""
-        start, end = int(self.ends[i]) - 4 * int(self.counts[i]), int(self.ends[i])
-        k = int(np.searchsorted(self.frame_ends, start, side="right"))
+        _, start, end = self.index(i)
+        k = int(np.searchsorted(self.frame_ends, 4 * start, side="right"))
         base = int(self.frame_ends[k] - self.frames[k, 1])
-        return self.frame(k)[start - base : end - base]
-
+        return self.frame(k)[4 * start - base : 4 * end - base]
 
-def write_token_files(encoded: DataFrame, folder: str, n_files: int, frame_bytes: int = 1 << 18, ids: DataFrame | None = None) -> DataFrame:
-    """Write ``encoded`` (doc_id, ids) to at most ``n_files`` files in ascending doc_id order (nulls first).
 
-    ``ids`` may give the same doc_ids from a table that is cheaper to read, to find the files' borders.
+def write_token_files(encoded: DataFrame, folder: str, n_files: int, frame_bytes: int = 1 << 18) -> DataFrame:
+    """Write ``encoded`` (part, doc_id, ids) to a file for each part, in ascending doc_id order (nulls first).
 
     Returns the manifest: part, path, n_docs, n_tokens. A retried task writes a file of its own
     name, and only the attempt whose row reached the manifest counts; keep the manifest
-    (materialize it) before reading. Ties of doc_id lie in order of their ids' bytes.
+    (materialize it) before reading. Ties of doc_id lie in order of their ids' bytes, and in one file.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,15 +329,22 @@ def write_token_files(encoded: DataFrame, folder: str, n_files: int, frame_bytes
         if out is not None:
             yield finish()
 
-    # borders come from the ids alone: ranges found by Spark would encode every text once more to sample them
-    borders = (encoded if ids is None else ids).agg(F.percentile_approx("doc_id", [k / n_files for k in range(1, n_files)] or [0.5], 10_000).alias("b")).first()["b"] or []
-    part = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in borders]), lambda b: b < F.col("doc_id"))) if borders else F.lit(0)
-    parted = encoded.withColumn("part", F.when(F.col("doc_id").isNull(), 0).otherwise(part).cast("int"))
-    ordered = parted.repartition(n_files, "part").sortWithinPartitions("part", "doc_id", "ids")
+    ordered = encoded.repartition(n_files, "part").sortWithinPartitions("part", "doc_id", "ids")
     return ordered.mapInArrow(write, "part int, path string, n_docs long, n_tokens long")
 
 
-def read_token_files(manifest: DataFrame, folder: str, per_task: int = 4096) -> DataFrame:
+def file_borders(docs: DataFrame, n_files: int) -> list[int]:
+    """Ascending doc_ids that divide ``docs`` into about ``n_files`` equal ranges, from the ids alone.
+
+    Ranges found by Spark would encode every text once more to sample them.
+    """
+    if n_files < 2:
+        return []
+    found = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), [k / n_files for k in range(1, n_files)], max(10_000, 20 * n_files)).alias("b")).first()["b"]
+    return sorted(set(found or []))
+
+
+def read_token_files(manifest: DataFrame, folder: str, per_task: int = INDEX_DOCS) -> DataFrame:
     """doc_id, ids, start (ids of all documents before it) of every document in the manifest's files.
 
     Files are read in stretches of ``per_task`` documents by independent tasks, each of which
@@ -259,24 +364,27 @@ def read_token_files(manifest: DataFrame, folder: str, per_task: int = 4096) ->
                 with store.open_input_file(path) as stream:
                     file = FrameReader(stream, size)
                     upto = min(first + per_task, len(file))
-                    begins = start + file.ends // 4 - file.counts
                     for at in range(first, upto, 256):
                         some = range(at, min(at + 256, upto))
-                        ids = [None if file.doc_ids[i] == NULL_ID else int(file.doc_ids[i]) for i in some]
-                        yield pa.record_batch([pa.array(ids, pa.int64()), pa.array([file.document(i) for i in some], pa.binary()), pa.array(begins[at : some.stop], pa.int64())], names=["doc_id", "ids", "start"])
+                        docs = [file.index(i) for i in some]
+                        yield pa.record_batch([pa.array([d for d, *_ in docs], pa.int64()), pa.array([file.document(i) for i in some], pa.binary()), pa.array([start + x for _, x, _ in docs], pa.int64())], names=["doc_id", "ids", "start"])
 
     return stretch.repartition(tasks, "path", "first").mapInArrow(read, "doc_id long, ids binary, start long")
 
 
-def token_files(spark: SparkSession, docs: DataFrame, vocabulary: str, folder: str | None = None, n_files: int | None = None) -> tuple[DataFrame, str]:
+def token_files(spark: SparkSession, docs: DataFrame, vocabulary: str, folder: str | None = None, file_bytes: int = FILE_BYTES) -> tuple[DataFrame, str]:
     """Encode all ``docs`` (doc_id, text) and write their token files; the manifest and the folder.
 
-    A null text is the empty text (one id, the end); repeated rows are documents of their own; extra
-    columns are ignored; an empty table gives an empty manifest.
+    Files hold about ``file_bytes`` of ids each, or less where that makes fewer files than tasks run at
+    once. A null text is the empty text (one id, the end); repeated rows are documents of their own;
+    rows of one doc_id, or without any, share a file; extra columns are ignored; an empty table gives
+    an empty manifest.
     """
     folder = folder or scratch_path(spark, "token-files")
-    n_files = n_files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return materialize(write_token_files(encode_documents(docs, vocabulary), folder, n_files, ids=docs.select(F.col("doc_id").cast("long"))), "token-manifest"), folder
+    n_bytes = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0  # about as many bytes of ids
+    n_files = max(spark.sparkContext.defaultParallelism, -(-n_bytes // file_bytes))
+    encoded = encode_documents(docs, vocabulary, file_borders(docs, n_files))
+    return materialize(write_token_files(encoded, folder, n_files), "token-manifest"), folder
 
 
 def token_digests(spark: SparkSession, docs: DataFrame, vocabulary: str) -> DataFrame:

@@ -507,10 +507,9 @@ def test_chunked_ids_are_the_librarys():
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(BYTE_BPE)
-    library.encode_special_tokens = True
     rng = random.Random(7)
-    parts = ["word", "Word,", " ", "  ", "\n", "\n\n", "\t", "é", "中文", "'s", "don't", "123", "!!", " ", " ", "\x1c", "\x0b", "<|endoftext|>", "x\ny", ".", "\r\n", "🙂", "a b"]
-    texts = ["", " ", "\n", "a ", " a", "a\n b", "a \n b", "x  y"] + ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 12))) for _ in range(1500)]
+    parts = ["word", "Word,", " ", "  ", "\n", "\n\n", "\t", "é", "中文", "'s", "don't", "123", "!!", " ", " ", "\x1c", "\x0b", "<|endoftext|>", "x\ny", ".", "\r\n", "🙂", "a b", "end.", "x.\nY", "e\u0301.", "x?!", "²;", "_.", "\u3000", "it's.", "\n."]
+    texts = ["", " ", "\n", "a ", " a", "a\n b", "a \n b", "x  y"] + ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 12))) for _ in range(4000)]
     coder = T.ChunkCoder(BYTE_BPE, max_chunks=500)
     for at in range(0, len(texts), 100):
         some = texts[at : at + 100]
@@ -548,6 +547,7 @@ def test_frames_are_independent_and_checked():
         assert reader.document(i) == docs[i][1]
     plain = b"".join(zstandard.ZstdDecompressor().decompress(raw[a:b], max_output_size=1 << 20) for a, b in zip(reader.offsets[:-1], reader.offsets[1:]))
     assert plain == b"".join(x for _, x in docs)
+    assert [reader.index(i) for i in (0, 5, 39)] == [(0, 0, 0), (5, 10, 15), (39, 741, 780)]
     broken = bytearray(raw)
     broken[int(reader.offsets[3]) + 12] ^= 255
     with pytest.raises((ValueError, zstandard.ZstdError)):

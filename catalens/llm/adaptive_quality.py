@@ -158,10 +158,17 @@ def quality_verdicts(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that quality_verdicts() keeps, with the columns of ``docs``; texts are not shuffled."""
+    """The rows of ``docs`` (text, lang, source, any others) that quality_verdicts() keeps, with the columns of ``docs``.
+
+    Texts are not shuffled, but read and counted once for the sketches and once for the verdict. A null
+    or empty text goes; equal rows share a fate; columns named as the operator's own stay as they are; an
+    empty table stays empty.
+    """
     sketches = materialize(rate_sketches(with_counts(docs.select("text", "lang", "source")).drop("text")), "quality-sketches")
     limits = materialize(thresholds(sketches), "quality-limits")
-    return judge(with_counts(docs), limits).filter("kept").select(*docs.columns)
+    inner = [c if c in ("text", "lang", "source") else f"__own{i}" for i, c in enumerate(docs.columns)]
+    kept = judge(with_counts(docs.toDF(*inner)), limits).filter("kept")
+    return kept.select(*[F.col(x).alias(c) for x, c in zip(inner, docs.columns)])
 
 
 def _counts_sql() -> str:
@@ -169,8 +176,8 @@ def _counts_sql() -> str:
     d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
     w AS (SELECT *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
                  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
-    p AS (SELECT rid, unnest(range(1, len(words) - 1)) AS i, words FROM w WHERE len(words) > 2),
-    g AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, words[i], words[i + 1], words[i + 2]) AS times FROM p),
+    p AS (SELECT rid, unnest(range(1, len(words) - 1)) AS i, unnest(list_zip(words[1:len(words) - 2], words[2:len(words) - 1], words[3:])) AS x FROM w WHERE len(words) > 2),
+    g AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, x) AS times FROM p),
     r AS (SELECT rid, count(DISTINCT i + j) AS n_repeat_words FROM g, (VALUES (0), (1), (2)) AS t(j) WHERE times > 1 GROUP BY rid),
     c AS (SELECT w.rid, doc_id, lang, source, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
                  CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,

@@ -8,11 +8,11 @@ is rejected.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,8 +21,10 @@ from pyspark.sql.window import Window
 
 UNDETERMINED = "und"
 #: Bound of the training sample: so many documents of each language, in order of a hash of the id,
-#: and of their text so many bytes in the dictionary. At most MAX_LANGUAGES languages are learned.
-SAMPLE_DOCS, DICTIONARY_BYTES, MAX_LANGUAGES = 256, 96 << 10, 128
+#: and of their text so many bytes in the dictionary. Every language is learned.
+SAMPLE_DOCS, DICTIONARY_BYTES = 256, 96 << 10
+#: The range of the hash that orders ids; the sample is looked for in the share of it that should hold SPARE times as many.
+HASHES, SPARE = 1 << 30, 4
 #: Texts of up to SHORT_BYTES are searched for matches of three bytes and more, longer ones at a fast level.
 LEVEL, SHORT_LEVEL, SHORT_BYTES = 3, 19, 1024
 #: A margin (runner-up's size over the winner's, less 1) below this is too narrow.
@@ -30,7 +32,7 @@ MIN_MARGIN = 0.02
 #: The margin at which the score reaches one half.
 HALF_SCORE_MARGIN = 0.05
 
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+_NOT_LETTERS = regex.compile(r"\P{L}+")
 
 
 def letters(text: str) -> bytes:
@@ -41,15 +43,23 @@ def letters(text: str) -> bytes:
 def learn_dictionaries(docs: DataFrame, learn: Column) -> dict[str, bytes]:
     """A dictionary for each language among the rows of ``docs`` (doc_id, text, lang) where ``learn`` holds.
 
-    Only texts with a letter and a language count. The sample is bounded by SAMPLE_DOCS texts and
-    DICTIONARY_BYTES bytes a language; its rows are found by id before any text is read.
+    Only texts with a letter and a language count. The sample is bounded by SAMPLE_DOCS ids and
+    DICTIONARY_BYTES bytes a language; its rows are found by id, in the order of a hash (ties: by id),
+    before any text is read. Repeated ids are one, a null id counts as an id, rows of one id come in
+    the order of their texts. An empty table gives no dictionary.
     """
     usable = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
-    usable = usable.filter(F.col("lang").isin(*counts))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = usable.select("lang", "doc_id").distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= SAMPLE_DOCS)
-    texts = usable.select("lang", "doc_id", "text").join(F.broadcast(chosen), ["lang", "doc_id"])  # SAMPLE_DOCS ids a language at most
+    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}  # one row a language
+    if not counts:
+        return {}
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(HASHES))
+    # so few ids of a language are left that ranking them takes no large task
+    most = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, max(1, HASHES * SPARE * SAMPLE_DOCS // n))])
+    few = usable.select("lang", "doc_id", place.alias("place")).filter(F.col("place") < most[F.col("lang")]).distinct()
+    order = Window.partitionBy("lang").orderBy("place", "doc_id")
+    chosen = few.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= SAMPLE_DOCS).drop("place").withColumnsRenamed({"lang": "__lang", "doc_id": "__id"})
+    same = (F.col("lang") == F.col("__lang")) & F.col("doc_id").eqNullSafe(F.col("__id"))
+    texts = usable.select("lang", "doc_id", "text").join(F.broadcast(chosen), same).select("lang", "rank", "text")  # SAMPLE_DOCS ids a language at most
     size = F.sum(F.octet_length("text")).over(Window.partitionBy("lang").orderBy("rank", "text").rowsBetween(Window.unboundedPreceding, -1))
     # a text that begins past the bound is not needed; the last one is cut at the bound
     needed = texts.withColumn("before", F.coalesce(size, F.lit(0))).filter(F.col("before") < 2 * DICTIONARY_BYTES)

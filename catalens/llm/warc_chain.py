@@ -24,14 +24,16 @@ from catalens.llm._common import materialize, scratch_path
 
 MARKER = b"WARC/1.1\r\n"
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-#: A header block longer than this is no record's.
-MAX_HEADER = 1 << 16
+#: Bytes read for a header block at first; a longer one is read on to its end.
+HEADER_READ = 1 << 16
 #: As many repeated payloads' digests may be broadcast (about 60 bytes each).
 MAX_BROADCAST_PAYLOADS = 200_000
 #: Fixed value of the format: the profile of revisits by payload digest.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 _LENGTH = re.compile(rb"\r\nContent-Length: *(\d{1,18})\r\n", re.IGNORECASE)
+#: The lines of a header block, the last of which may be incomplete.
+_LINES = re.compile(rb"WARC/1\.1\r\n(?:[A-Za-z-]+:[^\r\n]*\r\n)*+(?:[A-Za-z-]*|[A-Za-z-]+:[^\r\n]*)\r?\Z")
 _FIELD = re.compile(rb"\r\n([A-Za-z-]+): *([^\r\n]*)")
 
 
@@ -62,7 +64,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
 def write_warc(pages: DataFrame, folder: str, min_payload: int = 0) -> DataFrame:
     """Write every row of ``pages`` (page_id, url, html) as a record; the manifest (path, n_records, n_bytes).
 
-    Of equal payloads of at least ``min_payload`` bytes the smallest page_id is the response and the
+    Payloads of one SHA-1 and length count as equal. Of equal payloads of at least ``min_payload`` bytes the smallest page_id is the response and the
     others revisit it; repeated rows of that page are responses too, and so are all rows of a payload
     that no row with a page_id has. A null html is the empty payload. Each attempt of a task writes a
     file of its own; the manifest (materialize it) names those that count. The repeated payloads'
@@ -71,7 +73,8 @@ def write_warc(pages: DataFrame, folder: str, min_payload: int = 0) -> DataFrame
     """
     raw = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     named = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), raw.alias("payload"), F.sha1(raw).alias("sha1"))
-    first = named.filter(F.octet_length("payload") >= min_payload).groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("times")).filter("times > 1").drop("times")
+    named = named.withColumn("n", F.octet_length("payload"))
+    first = named.filter(F.col("n") >= min_payload).groupBy("sha1", "n").agg(F.min("page_id").alias("first"), F.count("*").alias("times")).filter("times > 1").drop("times")
     first = materialize(first, "warc-repeated")
     if first.limit(MAX_BROADCAST_PAYLOADS + 1).count() <= MAX_BROADCAST_PAYLOADS:  # then no payload is shuffled
         first = F.broadcast(first)
@@ -93,20 +96,32 @@ def write_warc(pages: DataFrame, folder: str, min_payload: int = 0) -> DataFrame
             stream.close()
             yield pa.record_batch([pa.array([path]), pa.array([n], pa.int64()), pa.array([size], pa.int64())], names=["path", "n_records", "n_bytes"])
 
-    return named.join(first, "sha1", "left").mapInArrow(write, "path string, n_records long, n_bytes long")
+    return named.join(first, ["sha1", "n"], "left").mapInArrow(write, "path string, n_records long, n_bytes long")
 
 
 def _header_at(data: bytes, at: int) -> tuple[int, int] | None:
     """Where the block of a possible record at ``at`` starts and how long it is; None if that is no record."""
-    end = data.find(b"\r\n\r\n", at, at + MAX_HEADER)
+    end = data.find(b"\r\n\r\n", at)
     length = _LENGTH.search(data, at, end + 2) if end >= 0 else None
     return (end + 4, int(length.group(1))) if length else None
 
 
+def _whole_header(stream, start: int, data: bytes, at: int) -> bytes:
+    """``data`` (from place ``start`` of the file), read on until the header block at ``at`` ends or is seen to be none."""
+    more = HEADER_READ
+    while data.find(b"\r\n\r\n", at) < 0 and _LINES.match(data, at):
+        stream.seek(start + len(data))
+        rest = stream.read(more)
+        if not rest:
+            break
+        data, more = data + rest, 2 * more
+    return data
+
+
 def boundary_candidates(manifest: DataFrame, folder: str, stretch: int) -> DataFrame:
     """All possible records: path, at, successor, out (where the chain from here leaves its stretch), n_bytes.
 
-    A task reads its stretch and the header that may reach beyond it, in all ``stretch`` + MAX_HEADER bytes.
+    A task reads its stretch and the header that may reach beyond it.
     """
     parts = manifest.select("path", "n_bytes", F.explode(F.sequence(F.lit(0), F.greatest(F.col("n_bytes") - 1, F.lit(0)), F.lit(stretch))).alias("begin"))
 
@@ -116,14 +131,15 @@ def boundary_candidates(manifest: DataFrame, folder: str, stretch: int) -> DataF
             for path, n_bytes, begin in zip(*[b.column(c).to_pylist() for c in ("path", "n_bytes", "begin")]):
                 with store.open_input_file(path) as stream:
                     stream.seek(begin)
-                    data = stream.read(stretch + MAX_HEADER)
-                found: list[tuple[int, int]] = []
-                at = data.find(MARKER)
-                while 0 <= at < stretch:
-                    head = _header_at(data, at)
-                    if head:
-                        found.append((begin + at, begin + head[0] + head[1] + 4))
-                    at = data.find(MARKER, at + 1)
+                    data = stream.read(stretch + HEADER_READ)
+                    found: list[tuple[int, int]] = []
+                    at = data.find(MARKER)
+                    while 0 <= at < stretch:
+                        data = _whole_header(stream, begin, data, at)
+                        head = _header_at(data, at)
+                        if head:
+                            found.append((begin + at, begin + head[0] + head[1] + 4))
+                        at = data.find(MARKER, at + 1)
                 leaves: dict[int, int] = {}
                 for place, after in reversed(found):  # a chain that meets no candidate in its stretch ends as a dead place
                     leaves[place] = leaves.get(after, after) if after < begin + stretch else after
@@ -183,7 +199,7 @@ def read_warc(manifest: DataFrame, folder: str, stretch: int = 4 << 20) -> DataF
                 with store.open_input_file(path) as stream:
                     while at < min(begin + stretch, size):  # from the entry on, successor by successor
                         stream.seek(at)
-                        head = stream.read(MAX_HEADER)
+                        head = _whole_header(stream, at, stream.read(HEADER_READ), 0)
                         block_at, length = _header_at(head, 0)
                         fields = {k.lower(): v.decode() for k, v in _FIELD.findall(head[: block_at - 2])}
                         block = head[block_at : block_at + length]

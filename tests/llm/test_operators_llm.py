@@ -336,7 +336,7 @@ def test_decontamination_in_blocks_and_of_nothing(spark, nothing, odd, monkeypat
 
 def page_rows():
     fake = "before\r\n\r\n" + W.record(5, "http://x", b"fake", W.payload_digest(b"fake"), None).decode() + "WARC/1.1\r\nContent-Length: 3\r\n\r\nabc"
-    rows = [(1, "http://a b", "same"), (2, "http://b", "same"), (3, None, fake), (4, "u", None), (5, "u", ""), (6, "u", "é中" * 3000), (7, "u", fake), (None, "u", "same"), (None, "u", "alone")]
+    rows = [(1, "http://a b", "same"), (2, "http://b", "same"), (3, None, fake), (4, "u", None), (5, "u", ""), (6, "u", "é中" * 3000), (7, "u", fake), (8, "v" * 200_000, "long url"), (8, "u", "same id"), (9, "u", "WARC/1.1\r\n" + "a: " + "b" * 150_000), (None, "u", "same"), (None, "u", "alone")]
     return rows + [(100 + i, "u", f"<p>{i}</p>" + "WARC/1.1\r\n" * (i % 4)) for i in range(60)]
 
 
@@ -399,7 +399,10 @@ def test_quality_equals_its_sql(spark, odd):
     kept = set(got[got["kept"]]["doc_id"].dropna().astype(int))
     assert not kept & {1000 + i for i in range(0, 900, 9)}
     assert {r["doc_id"] for r in Q.keep_good(docs).collect() if r["doc_id"] is not None} == kept
-    assert Q.keep_good(docs).columns == docs.columns
+    clash = docs.withColumn("kept", F.lit("own")).withColumn("low_symbols", F.lit("own"))
+    good = Q.keep_good(clash)
+    assert good.schema == clash.schema
+    assert {(r["n_words"], r["kept"], r["low_symbols"]) for r in good.collect()} == {("clash", "own", "own")}
 
 
 def test_sketches_merge_by_adding(spark, sf_dir):
@@ -429,9 +432,41 @@ def test_language_is_learned(spark, sf_dir, odd):
     assert right > 0.95 and total > 200
     edge = {str(r["doc_id"]): r for r in L.predict_languages(odd, dictionaries).collect()}
     assert edge["1"]["lang_pred"] == edge["2"]["lang_pred"] == edge["3"]["lang_pred"] == L.UNDETERMINED
+    marks = spark.createDataFrame([(1, "½ ²"), (2, "Ⅷ"), (3, "١٢ 34 !"), (4, "ª")], "doc_id long, text string")
+    assert [r["lang_pred"] == L.UNDETERMINED for r in L.predict_languages(marks, dictionaries).orderBy("doc_id").collect()] == [True, True, True, False]
     assert all(0 <= r["score"] <= 1 and (r["lang_pred"] in dictionaries or r["score"] == 0) for r in edge.values())
 
 
+def test_every_language_is_learned_from_its_own_texts(spark):
+    rows = [(i, f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} " * 30, f"l{i % 200}", "s") for i in range(600)] + [(None, "null id", "l0", "s"), (7, "and more", "l7", "s")]
+    found = L.learn_dictionaries(spark.createDataFrame(rows, SCHEMA), F.lit(True))
+    assert len(found) == 200
+    for lang, raw in found.items():
+        own = {w for _, t, l, _ in rows if l == lang for w in t.encode().split()}
+        assert raw and set(raw.split()) <= own
+
+
+def test_sizes_and_choice_are_the_compressors(spark):
+    """Prediction against compressing each text by hand with each dictionary."""
+    import zstandard
+
+    words = {"x": "lorem ipsum dolor sit amet consectetur".split(), "y": "und der die das nicht ein".split()}
+    rng = random.Random(5)
+    dictionaries = {k: " ".join(rng.choice(w) for _ in range(300)).encode() for k, w in words.items()}
+    rows = [(i, " ".join(rng.choice(words["xy"[i % 2]] + words["yx"[i % 2]][: i % 4]) for _ in range(rng.randrange(1, 400))), None, None) for i in range(60)]
+    got = {r["doc_id"]: r for r in L.predict_languages(spark.createDataFrame(rows, SCHEMA), dictionaries).collect()}
+    for d, text, *_ in rows:
+        sizes = {}
+        for k, raw in dictionaries.items():
+            level = L.SHORT_LEVEL if len(text) <= L.SHORT_BYTES else L.LEVEL
+            coder = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False)
+            sizes[k] = len(coder.compress(text.encode()))
+        best = min(sizes, key=sizes.get)
+        margin = max(sizes.values()) / sizes[best] - 1
+        assert got[d]["lang_pred"] == best and got[d]["score"] == pytest.approx(margin / (margin + L.HALF_SCORE_MARGIN))
+        assert got[d]["rejected"] == (margin < L.MIN_MARGIN)
+
+
 def test_language_of_nothing(nothing, odd):
     assert L.learn_dictionaries(nothing, F.lit(True)) == {}
     assert {r["lang_pred"] for r in L.predict_languages(odd, {}).collect()} == {L.UNDETERMINED}

@@ -26,13 +26,13 @@ class WordHashes(dict):
         super().__init__()
         self.limit = limit
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: bytes | str) -> int:
         if len(self) >= self.limit:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
 
-    def of(self, words: list[bytes]) -> np.ndarray:
+    def of(self, words: list[bytes] | list[str]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 

@@ -1,13 +1,19 @@
 """Benchmark decontamination by CGK embedding and bit-sampling LSH.
 
-Texts and items are sequences of word hashes (words in lower case, without punctuation). The CGK
-embedding walks over a sequence with a random bit per step and symbol that says whether to stay or
-to go on, and writes the symbol it stands on; sequences at a small edit distance come out at a
-small Hamming distance with good probability. Every document position starts an item-sized window;
-its embedding is sampled at a few steps, and a window is a candidate of every item whose window
-gives the same symbols at those steps. As an item's window may itself begin with an edited word,
-the item is embedded from each of its word offsets. Independent walks and samples are repeated
-until the target recall is reached. Candidates are verified by their exact edit distance.
+Texts and items are sequences of word hashes (words in lower case, without punctuation; characters
+where a script sets no blanks). The CGK embedding walks over a sequence with a random bit per step and
+symbol that says whether to stay or to go on, and writes the symbol it stands on; sequences at a small
+edit distance come out at a small Hamming distance with good probability. A document position starts
+an item-sized window; its embedding is sampled at a few steps, and a window is a candidate of every
+item whose window gives the same symbols at those steps. As an item's window may itself begin with an
+edited word, the item is embedded from each of its word offsets. Independent walks and samples are
+repeated until the target recall is reached: some sample whole windows of 16 to 128 words, most the
+beginning of the walk, where few edits lie between the start and the samples. Candidates are verified
+by their exact edit distance.
+
+Items of fewer than SHORT words have too few offsets for that. With at most k edits one of k + 1 equal
+pieces of the item is unedited, so they are looked for by all their pieces of that length, which
+misses nothing; the same exact verification follows.
 
 The sampled steps are looked at one after another, for all of a batch's windows at once, and
 windows that no item can match any more are dropped at once. Nothing is shuffled: the index of one
@@ -27,26 +33,35 @@ from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from catalens.llm._text import WordHashes, mix
 
-#: Repetitions of walk and sample, sampled steps of each, and the steps of a walk they are taken from.
-#: Where no word of the first LAST_STEP/2 or so is edited, a repetition surely hits; an item of n
-#: words gives n starts, which makes the chance that all of them miss at 15 % edited words about 1 %.
-REPEATS, SAMPLES, LAST_STEP = 6, 4, 16
+#: Sampled steps of a repetition, and for each repetition the steps of the walk they are taken from.
+#: Where no word of the first LAST_STEP/2 or so is edited, a repetition of LAST_STEP steps surely hits; an item
+#: of n words gives n starts, which makes the chance that all of them miss at 15 % edited words about 1 %.
+SAMPLES, LAST_STEP = 4, 16
+WALKS = (*[LAST_STEP] * 6, 32, 64, 128, 256)
+#: Items of fewer words are looked for by their pieces.
+SHORT = 16
 #: An item is found where its words can be turned into a stretch of the text by edits of at most this share of them.
 MAX_EDIT_SHARE = 0.2
 #: Words in more than this share of a block's items begin no window of an item that has MIN_STARTS others.
 COMMON_SHARE, MIN_STARTS = 0.02, 8
-#: Items shorter than this many words would match by chance and are not searched for.
-MIN_WORDS = 8
 #: Items of one block: at most so many words together, which bounds what is sent to tasks (about 30 bytes a word and repetition).
 BLOCK_WORDS = 200_000
 #: Words of texts that are searched at once.
 BATCH_WORDS = 1 << 20
 
 _WORDS = re.compile(r"[^\W_]+").findall
+#: Scripts that set no blanks between words: Thai, Lao, Burmese, Khmer, Japanese, Chinese.
+_DENSE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_has_dense = re.compile(f"[{_DENSE}]").search
+_DENSE_WORDS = re.compile(f"[{_DENSE}]|[^\\W_{_DENSE}]+").findall
 
 
-def normal_words(text: str | None) -> list[bytes]:
-    return [w.encode("utf-8", "ignore") for w in _WORDS(text.lower())] if text else []
+def normal_words(text: str | None) -> list[str]:
+    """Runs of letters and digits in lower case; each character alone in scripts without blanks."""
+    if not text:
+        return []
+    text = text.lower()
+    return _WORDS(text) if text.isascii() or not _has_dense(text) else _DENSE_WORDS(text)
 
 
 def _step_bits(symbols: np.ndarray, repeat: int, step: int) -> np.ndarray:
@@ -54,9 +69,9 @@ def _step_bits(symbols: np.ndarray, repeat: int, step: int) -> np.ndarray:
     return (mix(symbols ^ np.uint64((repeat * 1009 + step + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) >> np.uint64(63)).astype(np.int64)
 
 
-def sampled_steps(repeat: int, samples: int = SAMPLES, last: int = LAST_STEP) -> list[int]:
-    """The sampled steps of a repetition: the first and others in the walk's beginning, in ascending order."""
-    rest = np.random.default_rng(repeat).choice(np.arange(1, last), samples - 1, replace=False)
+def sampled_steps(repeat: int, samples: int = SAMPLES) -> list[int]:
+    """The sampled steps of a repetition: the first and others of its walk, in ascending order."""
+    rest = np.random.default_rng(repeat).choice(np.arange(1, WALKS[repeat]), samples - 1, replace=False)
     return [0, *sorted(int(x) for x in rest)]
 
 
@@ -93,7 +108,7 @@ def window_keys(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, repeat:
 class ItemIndex:
     """One block of items: their words, and for every repetition the keys of their windows."""
 
-    def __init__(self, items: list[tuple[int, list[bytes]]], repeats: int = REPEATS):
+    def __init__(self, items: list[tuple[int, list[str]]], max_edit_share: float):
         hashes = WordHashes()
         self.ids = np.asarray([i for i, _ in items], np.int64)
         arrays = [hashes.of(w) for _, w in items]
@@ -108,15 +123,30 @@ class ItemIndex:
         pairs = np.unique(inverse * len(items) + owner)
         rare = np.bincount(pairs // len(items))[inverse] <= max(3, COMMON_SHARE * len(items))
         rare |= (np.bincount(owner, rare, len(items)) < MIN_STARTS)[owner]
-        starts = np.flatnonzero(rare & (length - offset >= np.minimum(length, LAST_STEP // 2)))
+        begins = np.flatnonzero(rare & (length >= SHORT) & (length - offset >= LAST_STEP // 2))
         self.repeats = []
-        for r in range(repeats):
+        for r, walk in enumerate(WALKS):
+            starts = begins[(length - offset)[begins] >= walk // 2]
+            if not len(starts):
+                continue
             _, keys, seen = window_keys(self.words, starts, self.bounds[owner[starts] + 1], r, None)
             order = np.argsort(keys, kind="stable")
-            self.repeats.append((seen, keys[order], owner[starts][order], offset[starts][order]))
+            self.repeats.append((r, seen, keys[order], owner[starts][order], offset[starts][order]))
+        # pieces of short items: hashes of runs of words, by their length
+        pieces: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+        for k in np.flatnonzero((np.diff(self.bounds) < SHORT) & (np.diff(self.bounds) > 0)).tolist():
+            n = len(self.item(k))
+            size = n // (int(max_edit_share * n) + 1)
+            at = np.arange(0, n - size + 1, size)
+            pieces.setdefault(size, []).append((run_hashes(self.item(k), size)[at], np.full(len(at), k), at))
+        self.pieces = []
+        for size, rows in pieces.items():
+            keys, item, at = (np.concatenate(c) for c in zip(*rows))
+            order = np.argsort(keys, kind="stable")
+            self.pieces.append((size, keys[order], item[order], at[order]))
         # a small bitmap of first symbols, which lets most positions go at once
         self.bitmap = np.zeros(1 << 20, bool)
-        self.bitmap[(self.words[starts] & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+        self.bitmap[(self.words[begins] & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
 
     def item(self, k: int) -> np.ndarray:
         return self.words[self.bounds[k] : self.bounds[k + 1]]
@@ -125,18 +155,31 @@ class ItemIndex:
         """Distinct (position where the item would begin, item) rows over a batch of texts."""
         likely = np.flatnonzero(self.bitmap[(words & np.uint64((1 << 20) - 1)).astype(np.int64)])
         out = []
-        for r, (tables, keys, owner, offset) in enumerate(self.repeats):
-            alive, got, _ = window_keys(words, likely, ends[likely], r, tables)
-            if not len(alive):
-                continue
+
+        def add(spots: np.ndarray, got: np.ndarray, keys: np.ndarray, owner: np.ndarray, offset: np.ndarray) -> None:
             low, high = np.searchsorted(keys, got), np.searchsorted(keys, got, side="right")
             times = high - low
-            spot = np.repeat(likely[alive], times)
             entry = np.repeat(low, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-            out.append(np.stack([spot - offset[entry], owner[entry]], axis=1))
+            out.append(np.stack([np.repeat(spots, times) - offset[entry], owner[entry]], axis=1))
+
+        for r, tables, keys, owner, offset in self.repeats:
+            alive, got, _ = window_keys(words, likely, ends[likely], r, tables)
+            add(likely[alive], got, keys, owner, offset)
+        for size, keys, owner, offset in self.pieces:
+            got = run_hashes(words, size)  # a run across a text's end fails the verification
+            spots = np.flatnonzero(keys[np.minimum(np.searchsorted(keys, got), len(keys) - 1)] == got)
+            add(spots, got[spots], keys, owner, offset)
         return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
 
 
+def run_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each run of ``size`` words."""
+    key = np.full(max(0, len(words) - size + 1), size, np.uint64)
+    for k in range(size):
+        key = mix(key ^ words[k : len(key) + k]) + np.uint64(k)
+    return key
+
+
 def best_stretch(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     """The least number of word edits that turn the item into a stretch of the text, and that stretch (begin, end).
 
@@ -165,11 +208,12 @@ def find_items(docs: DataFrame, items: DataFrame, max_edit_share: float = MAX_ED
     With ``keep="hits"``: one row for each document row and item found in it: doc_id, item_id,
     edits, item_words, begin, end (words of the normalised text; the best stretch, the first of equals).
     With ``keep="clean"``: the rows of ``docs``, all columns, in which nothing is found.
-    Null and empty texts hold nothing; items with a null id or fewer than MIN_WORDS words are not
-    searched for; equal items are found each; repeated rows are searched each.
+    Null and empty texts hold nothing; items with a null id or without a word are not searched for;
+    equal items are found each; repeated rows are searched each. With few words the share allows no
+    edit (one from five words on), so such an item is found where it stands unedited.
     """
     hits, clean = None, docs
-    for block in _blocks(items):
+    for block in _blocks(items, max_edit_share):
         index = docs.sparkSession.sparkContext.broadcast(block)
         if keep == "clean":
             clean = clean.mapInArrow(_searcher(index, max_edit_share, True), clean.schema)
@@ -182,21 +226,21 @@ def find_items(docs: DataFrame, items: DataFrame, max_edit_share: float = MAX_ED
     return hits if hits is not None else docs.sparkSession.createDataFrame([], "doc_id long, item_id long, edits int, item_words int, begin int, end int")
 
 
-def _blocks(items: DataFrame) -> Iterator[ItemIndex]:
+def _blocks(items: DataFrame, max_edit_share: float) -> Iterator[ItemIndex]:
     """The items in blocks of at most BLOCK_WORDS words; the driver holds one block at a time."""
-    block: list[tuple[int, list[bytes]]] = []
+    block: list[tuple[int, list[str]]] = []
     size = 0
     for r in items.select(F.col("item_id").cast("long"), "text").filter("item_id IS NOT NULL AND text IS NOT NULL").toLocalIterator():
         words = normal_words(r["text"])
-        if len(words) < MIN_WORDS:
+        if not words:
             continue
         if block and size + len(words) > BLOCK_WORDS:
-            yield ItemIndex(block)
+            yield ItemIndex(block, max_edit_share)
             block, size = [], 0
         block.append((r["item_id"], words))
         size += len(words)
     if block:
-        yield ItemIndex(block)
+        yield ItemIndex(block, max_edit_share)
 
 
 def _searcher(broadcast, max_edit_share: float, clean: bool):
@@ -233,18 +277,27 @@ def _verified(index: ItemIndex, arrays: list[np.ndarray], max_edit_share: float)
     owner = np.repeat(np.arange(len(arrays)), np.diff(bounds))
     words = np.concatenate(arrays)
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    tried: dict[tuple[int, int], int] = {}
     spots = index.candidates(words, bounds[owner + 1])
-    # a window lies in the text of the position that was found, which the item's offset can lead out of
+    # where an item may lie in a text; overlapping places are searched as one
+    places: dict[tuple[int, int], list[list[int]]] = {}
+    last = len(words) - 1
     for spot, k in spots.tolist():
+        n = int(index.bounds[k + 1] - index.bounds[k])
+        slack = int(max_edit_share * n)
+        # a window lies in the text of the position that was found, which the item's offset can lead out of
+        for r in {int(owner[min(max(x, 0), last)]) for x in (spot, spot + min(n // 2, 4), spot + n - 1)}:
+            low, high = max(int(bounds[r]), spot - slack), min(int(bounds[r + 1]), spot + n + slack)
+            if high - low < n - slack:
+                continue  # too little text
+            known = places.setdefault((r, k), [])
+            if known and low <= known[-1][1]:  # spots come in ascending order
+                known[-1][1] = max(known[-1][1], high)
+            else:
+                known.append([low, high])
+    for (r, k), known in places.items():
         item = index.item(k)
         slack = int(max_edit_share * len(item))
-        row = int(owner[min(max(spot + min(len(item) // 2, 4), 0), len(words) - 1)])
-        for r in {row, int(owner[min(max(spot, 0), len(words) - 1)]), int(owner[min(max(spot + len(item) - 1, 0), len(words) - 1)])}:
-            low, high = max(int(bounds[r]), spot - slack), min(int(bounds[r + 1]), spot + len(item) + slack)
-            if high - low < len(item) - slack or tried.get((r, k), -1 << 60) >= spot - slack // 2:
-                continue  # too little text, or just tried nearby
-            tried[(r, k)] = spot
+        for low, high in known:
             # with so few edits, all but as many words of the item lie in the stretch
             if np.isin(item, words[low:high]).sum() < len(item) - slack:
                 continue

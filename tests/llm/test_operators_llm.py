@@ -295,7 +295,7 @@ def test_best_stretch_equals_the_table():
 
 def test_decontamination_recall_and_precision(spark, odd):
     rng = random.Random(8)
-    items = [(i, prose(rng, rng.randrange(15, 50), 3000)) for i in range(30)] + [(None, prose(rng, 20)), (99, None), (98, "too short")]
+    items = [(i, prose(rng, rng.randrange(15, 50), 3000)) for i in range(30)] + [(None, prose(rng, 20)), (99, None), (98, "not there")]
     rows, expected = [], set()
     for d in range(200):
         words = prose(rng, rng.randrange(0, 200), 3000).split()
@@ -318,6 +318,30 @@ def test_decontamination_recall_and_precision(spark, odd):
     assert {r["doc_id"] for r in clean.collect()} == {r["doc_id"] for r in docs.collect()} - {d for d, _ in got}
 
 
+@pytest.mark.parametrize("share", [0.0, 0.1, 0.2])
+def test_decontamination_of_items_of_any_length(spark, share):
+    rng = random.Random(int(10 * share))
+    items = [(i, prose(rng, 1 + i % 40, 10**6)) for i in range(160)] + [(500, "\u4f60\u597d\u4e16\u754c")]
+    rows, expected = [], set()
+    for d in range(320):
+        words = prose(rng, rng.randrange(0, 60), 10**6).split()
+        at = rng.randrange(len(words) + 1)
+        words[at:at] = edited(rng, items[d % 160][1].split(), share)
+        rows.append((d, " ".join(words), "en", "s"))
+        for i, text in items[:160]:
+            item = C.normal_words(text)
+            if brute_edits(item, C.normal_words(rows[-1][1])) <= int(C.MAX_EDIT_SHARE * len(item)):
+                expected.add((d, i))
+    rows.append((900, "x \u662f\u4f60\u597d\u4e16\u754c\u3002", "zh", "s"))
+    got = {(r["doc_id"], r["item_id"]) for r in C.find_items(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert (900, 500) in got
+    got.discard((900, 500))
+    assert got <= expected
+    short = {(d, i) for d, i in expected if len(items[i][1].split()) < C.SHORT}
+    assert short <= got
+    assert len(got) >= 0.97 * len(expected)
+
+
 def test_decontamination_in_blocks_and_of_nothing(spark, nothing, odd, monkeypatch):
     monkeypatch.setattr(C, "BLOCK_WORDS", 40)
     rng = random.Random(3)

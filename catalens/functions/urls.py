@@ -44,14 +44,20 @@ def path(url: Column) -> Column:
 
 
 def normalize_url(url: Column) -> Column:
-    """Lower case, no fragment, no tracking or blank parameters, parameters sorted, no slash at the path's end."""
-    low = F.regexp_replace(F.lower(F.trim(url)), "#.*$", "")
+    """Lower case, no fragment, no tracking or blank parameters, no slash at the path's end.
+
+    Parameters are decoded, sorted by name and value, and encoded again; a malformed code stays as it is.
+    """
+    low = F.regexp_replace(F.regexp_replace(F.lower(url), r"^\s+|\s+$", ""), "#.*$", "")
     before = F.regexp_replace(low, r"\?.*$", "")
     stem = F.regexp_extract(before, r"^((?:[a-z][a-z0-9+.\-]*:)?(?://[^/]*)?)", 1)
     plain_path = F.regexp_replace(F.substring(before, F.length(stem) + 1, F.length(before)), "/+$", "")
     query = F.regexp_extract(low, r"\?(.*)$", 1)
-    kept = F.filter(F.split(query, "&"), lambda p: p.rlike("^[^=]+=.+") & ~F.split_part(p, F.lit("="), F.lit(1)).isin(TRACKING))
-    return F.when((url.isNull()) | (url == ""), None).otherwise(F.concat(stem, plain_path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(F.array_sort(kept), "&"))).otherwise("")))
+    decoded = lambda x: F.coalesce(F.try_url_decode(x), F.replace(x, F.lit("+"), F.lit(" ")))
+    encoded = lambda x: F.replace(F.replace(F.url_encode(x), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+    pairs = F.transform(F.filter(F.split(query, "&"), lambda p: p.rlike("^[^=]*=.+")), lambda p: F.struct(decoded(F.regexp_extract(p, "^([^=]*)=", 1)).alias("k"), decoded(F.regexp_extract(p, "^[^=]*=(.*)$", 1)).alias("v")))
+    kept = F.transform(F.array_sort(F.filter(pairs, lambda p: ~p["k"].isin(TRACKING))), lambda p: F.concat(encoded(p["k"]), F.lit("="), encoded(p["v"])))
+    return F.when((url.isNull()) | (url == ""), None).otherwise(F.concat(stem, plain_path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise("")))
 
 
 def url_similarity(a: Column, b: Column) -> Column:

@@ -229,16 +229,23 @@ TRACKING_SQL = "[" + ", ".join(f"'{t}'" for t in U.TRACKING) + "]"
 
 
 def normal_url_sql(url: str) -> str:
-    low = f"regexp_replace(lower(trim({url})), '#.*$', '')"
+    low = f"regexp_replace(regexp_replace(lower({url}), '^\\s+|\\s+$', '', 'g'), '#.*$', '')"
     before = f"regexp_replace({low}, '\\?.*$', '')"
     stem = f"regexp_extract({before}, '^((?:[a-z][a-z0-9+.\\-]*:)?(?://[^/]*)?)', 1)"
-    kept = f"list_filter(string_split(regexp_extract({low}, '\\?(.*)$', 1), '&'), lambda p: regexp_matches(p, '^[^=]+=.+') AND NOT list_contains({TRACKING_SQL}, split_part(p, '=', 1)))"
-    return f"CASE WHEN {url} IS NULL OR {url} = '' THEN NULL ELSE {stem} || regexp_replace(substr({before}, length({stem}) + 1), '/+$', '') || CASE WHEN len({kept}) > 0 THEN '?' || array_to_string(list_sort({kept}), '&') ELSE '' END END"
+    part = lambda x: f"url_decode(replace({x}, '+', ' '))"
+    pairs = f"list_transform(list_filter(string_split(regexp_extract({low}, '\\?(.*)$', 1), '&'), lambda p: strpos(p, '=') > 0 AND p NOT LIKE '%='), lambda p: struct_pack(k := {part("substr(p, 1, strpos(p, '=') - 1)")}, v := {part("substr(p, strpos(p, '=') + 1)")}))"
+    code = lambda x: f"replace(url_encode({x}), '%20', '+')"
+    kept = f"list_transform(list_sort(list_filter({pairs}, lambda p: NOT list_contains({TRACKING_SQL}, p.k))), lambda p: {code('p.k')} || '=' || {code('p.v')})"
+    return f"CASE WHEN {url} IS NULL OR {url} = '' THEN NULL ELSE {stem} || regexp_replace(substr({before}, length({stem}) + 1), '/+$', '') || CASE WHEN len({kept}) > 0 THEN '?' || array_to_string({kept}, '&') ELSE '' END END"
 
 
-@R.add("normalize_url", f"SELECT page_id, {normal_url_sql('url')} AS canonical, {normal_url_sql('upper(url) || chr(38) || chr(115) || chr(112) || chr(109) || chr(61) || chr(49)')} AS shouted FROM pages")
+#: What is put to an address: its parameters in other orders, blanks written in two ways, signs, tracking.
+EXTRA = "z=~*&b=2&a1=2&a=x%20y&a=x+y&a=1&empty=&%C3%A9=%c3%a9&spm=1"
+
+
+@R.add("normalize_url", f"SELECT page_id, {normal_url_sql('url')} AS canonical, {normal_url_sql('shout')} AS shouted FROM (SELECT page_id, url, chr(9) || upper(regexp_replace(url, '#.*$', '')) || CASE WHEN strpos(url, '?') > 0 THEN '&' ELSE '?' END || '{EXTRA}' || chr(10) AS shout FROM pages)")
 def normalize_url(spark, sf_dir):
-    return logical(spark, sf_dir, "page").select("page_id", U.normalize_url(F.col("url")).alias("canonical"), U.normalize_url(F.concat(F.upper("url"), F.lit("&spm=1"))).alias("shouted"))
+    return logical(spark, sf_dir, "page").select("page_id", U.normalize_url(F.col("url")).alias("canonical"), U.normalize_url(F.concat(F.lit("\t"), F.upper(F.regexp_replace("url", "#.*$", "")), F.when(F.contains("url", F.lit("?")), "&").otherwise("?"), F.lit(EXTRA + "\n"))).alias("shouted"))
 
 
 @R.add("url_similarity", f"SELECT page_id, CASE WHEN {normal_url_sql('url')} = {normal_url_sql('(url || chr(35) || chr(120))')} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS same FROM pages")

@@ -14,10 +14,9 @@ from catalens.sources.catalog import logical, logical_sql
 
 R = Registry()
 CAT = logical_sql("catalog")
-#: Documents as products: the name is the first five words, the description the next twelve.
-TEXTS = ["doc_id AS pos", "CAST(doc_id AS STRING) AS id", "doc_id % 17 <> 0 AS enabled"]
-WORDS_SQL = "string_split(replace(text, chr(10), ' '), ' ')"
-DOCS_SQL = f"WITH product AS (SELECT {', '.join(TEXTS)}, array_to_string({WORDS_SQL}[1:5], ' ') AS name, array_to_string({WORDS_SQL}[6:17], ' ') AS description, 'https://shop.example.com/' || CAST(n_chars AS VARCHAR) || '/?spm=' || CAST(doc_id AS VARCHAR) AS source_url FROM documents)"
+#: Pages as products: the name is the whole title, the description the whole text of the advertisement.
+TITLE, BLURB = "<title>([^<]*)</title>", "<div class=\"ad\">([^<]*)</div>"
+DOCS_SQL = f"WITH product AS (SELECT page_id AS pos, CAST(page_id AS VARCHAR) AS id, true AS enabled, regexp_extract(html, '{TITLE}', 1) AS name, regexp_extract(html, '{BLURB}', 1) AS description, url AS source_url FROM pages)"
 STOP_SQL = "[" + ", ".join(f"'{w}'" for w in T.STOPWORDS) + "]"
 TOKEN_SQL = f"list_filter(regexp_extract_all(lower(name), '[a-z0-9]+'), lambda w: length(w) >= 3 AND NOT list_contains({STOP_SQL}, w))"
 #: Distinct in order: a word stays where it is seen first.
@@ -27,11 +26,9 @@ PAIRS_SQL = f"{FREQ_SQL}, shared AS (SELECT x.id AS a, y.id AS b, count(*) FILTE
 
 
 def texts(spark, sf_dir):
-    words = F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")
-    rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return rows.select(*[F.expr(e) for e in TEXTS], F.array_join(F.slice(words, 1, 5), " ").alias("name"), F.array_join(F.slice(words, 6, 12), " ").alias("description"), F.concat(F.lit("https://shop.example.com/"), F.col("n_chars").cast("string"), F.lit("/?spm="), F.col("doc_id").cast("string")).alias("source_url"))
-
-
+    rows = logical(spark, sf_dir, "page")
+    part = lambda pattern: F.regexp_extract("html", pattern, 1)
+    return rows.select(F.col("page_id").alias("pos"), F.col("page_id").cast("string").alias("id"), F.lit(True).alias("enabled"), part(TITLE).alias("name"), part(BLURB).alias("description"), F.col("url").alias("source_url"))
 
 
 def score_sql(source: str) -> str:
@@ -66,8 +63,8 @@ def text_sql(pairs: str) -> str:
 TEXT_SQL = DOCS_SQL + f", {PAIRS_SQL}, {text_sql('pairs')}"
 DROPS_SQL = f"keyed AS (SELECT id, {normal_url_sql('source_url')} AS canonical FROM product WHERE enabled), first AS (SELECT canonical, min(id) AS keep_id FROM keyed WHERE canonical <> '' GROUP BY canonical), by_url AS (SELECT id AS drop_id, keep_id, 1.0::DOUBLE AS confidence FROM keyed JOIN first USING (canonical) WHERE id <> keep_id)"
 BEST_SQL = "SELECT drop_id, keep_id, confidence FROM by_url UNION ALL SELECT b, arg_min(a, struct_pack(c := -floor(text * 1000000 + 0.5) / 1000000, a := a)), max(floor(text * 1000000 + 0.5) / 1000000) FROM scored WHERE text >= 0.88 AND b NOT IN (SELECT drop_id FROM by_url) {changed} GROUP BY b"
-#: Every twentieth product against the others that share a token of its name.
-ASKED_SQL = f"named AS (SELECT pos, id, unnest({DISTINCT_SQL}) AS token FROM product), asked AS (SELECT DISTINCT q.id AS a, p.id AS b FROM named q JOIN named p ON q.token = p.token AND q.pos % 20 = 0 AND q.pos <> p.pos)"
+#: Every twentieth product against all others.
+ASKED_SQL = "asked AS (SELECT q.id AS a, p.id AS b FROM product q JOIN product p ON q.pos % 20 = 0 AND q.pos <> p.pos AND p.enabled)"
 
 
 @R.add("tokenize", DOCS_SQL + f" SELECT id, array_to_string({DISTINCT_SQL}, ' ') AS tokens FROM product")
@@ -154,23 +151,20 @@ def stream_incremental_dedup(spark, sf_dir):
 
 
 def _asked(products):
-    return products.filter("pos % 20 = 0").select(F.col("pos").alias("query_id"), F.col("name").alias("query_name"), F.col("description").alias("query_description"), F.lit(None).cast("string").alias("query_url"))
+    return products.filter("pos % 20 = 0").select(F.col("pos").alias("query_id"), F.col("name").alias("query_name"), F.col("description").alias("query_description"), F.lit(None).cast("string").alias("query_url"), F.col("id").alias("query_product"))
 
 
-@R.add("join_theta_best", DOCS_SQL + f", {ASKED_SQL}, others AS (SELECT a, b FROM asked WHERE CAST(b AS BIGINT) % 20 <> 0), {text_sql('others')} SELECT CAST(a AS BIGINT) AS query_id, b AS product_id, text >= 0.88 AS is_duplicate, floor(text * 1000000 + 0.5) / 1000000 AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY floor(text * 1000000 + 0.5) / 1000000 DESC, pos) AS nth FROM scored) WHERE nth = 1")
+@R.add("join_theta_best", DOCS_SQL + f", {ASKED_SQL}, {text_sql('asked')} SELECT CAST(a AS BIGINT) AS query_id, b AS product_id, text >= 0.88 AS is_duplicate, floor(text * 1000000 + 0.5) / 1000000 AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY floor(text * 1000000 + 0.5) / 1000000 DESC, pos) AS nth FROM scored) WHERE nth = 1")
 def join_theta_best(spark, sf_dir):
     products = texts(spark, sf_dir)
-    return D.best_match(_asked(products), products.filter("pos % 20 <> 0"))
+    return D.best_match(_asked(products), products)
 
 
 @R.add("topk_name", DOCS_SQL + f", {ASKED_SQL}, {NORMAL_SQL}, {score_sql(BOTH_SQL.format(pairs='asked'))}, ranked AS (SELECT CAST(p.a AS BIGINT) AS query_id, y.pos, round(score, 6) AS score, row_number() OVER (PARTITION BY p.a ORDER BY round(score, 6) DESC, y.pos) AS rank FROM asked p JOIN normal x ON x.id = p.a JOIN normal y ON y.id = p.b JOIN ratio ON l = x.n AND r = y.n WHERE round(score, 6) >= 0.72) SELECT query_id, pos, score, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 5")
 def topk_name(spark, sf_dir):
-    """The five most similar names of the catalogue for every twentieth document's, from those that share a token."""
+    """The five most similar names of all enabled products for every twentieth one's."""
     products = texts(spark, sf_dir)
-    token = lambda df, key: df.select(F.col("pos").alias(key), "name", F.explode(T.tokenize(F.col("name"))).alias("token"))
-    q = token(products.filter("pos % 20 = 0"), "query_id").withColumnRenamed("name", "query_name")
-    p = token(products, "pos")
-    pairs = q.join(p, "token").filter("query_id <> pos").select("query_id", "query_name", "pos", "name").distinct()
+    pairs = D.against_all(_asked(products), products.filter("enabled"))
     scored = pairs.withColumn("score", F.round(T.token_set_ratio(T.text_normalize(F.col("query_name")), T.text_normalize(F.col("name"))), 6)).filter("score >= 0.72")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "pos"))
     return scored.withColumn("rank", rank).filter("rank <= 5").select("query_id", "pos", "score", "rank")

@@ -11,6 +11,7 @@ from catalens.config import DEFAULTS
 from catalens.functions import html as H
 from catalens.functions import pricing as P
 from catalens.functions import vectors as V
+from catalens.operators.dedup import against_all
 from catalens.operators import pricing, search
 from catalens.plans.registry import Registry
 from catalens.sources.catalog import logical, logical_sql
@@ -193,9 +194,13 @@ def topk_vector(spark, sf_dir):
     return search.topk_vectors(asked(spark, sf_dir), vectors(spark, sf_dir), k=3)
 
 
-@R.add("agg_image_best", SCORED_SQL + "SELECT query_id, product_id, image, score FROM best WHERE product_id IN ('1', '2', '3')")
+@R.add("agg_image_best", SCORED_SQL + "SELECT query_id, product_id, image, score FROM best")
 def agg_image_best(spark, sf_dir):
-    return _pairs(spark, sf_dir, ["1", "2", "3"])
+    """The best picture and score of every product for every query; a product's pictures combine before the shuffle."""
+    rows = vectors(spark, sf_dir).select(F.col("product_id").alias("id"), "image", "vector")
+    rows = against_all(asked(spark, sf_dir), rows).withColumn("score", V.cosine(F.col("query_vector"), F.col("vector")))
+    best = rows.groupBy("query_id", F.col("id").alias("product_id")).agg(F.min(F.struct((-F.col("score")).alias("s"), "image")).alias("x"))
+    return best.select("query_id", "product_id", F.col("x.image").alias("image"), (-F.col("x.s")).alias("score"))
 
 
 def _pairs(spark, sf_dir, wanted: list[str]):

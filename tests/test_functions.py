@@ -26,6 +26,8 @@ def test_canonical_urls(spark):
     assert got[3] is None and got[4] is None
     assert got[5] == "https://a.com"
     assert got[6] == "https://www.a.com:8080/x"
+    given = ["https://a.com?a1=2&a=1&q=x%20y", "\thttps://a.com?q=x+y&a1=2&a=1\n", "https://a.com?b=%7e*~&a=%zz", "https://a.com?=v&c=%C3%A9"]
+    assert apply(spark, given, U.normalize_url) == ["https://a.com?a=1&a1=2&q=x+y"] * 2 + ["https://a.com?a=%25zz&b=~%2A~", "https://a.com?=v&c=%C3%A9"]
 
 
 def test_url_similarity_needs_two_urls(spark):

@@ -58,7 +58,15 @@ def test_best_match_may_be_no_duplicate(spark):
     catalogue = products(spark, ["red metal widget", "blue lamp"], description=["", ""])
     queries = spark.createDataFrame([(7, "red plastic gadget", "", None), (8, "lamp blue", "", None), (9, "zzz", "", None)], "query_id long, query_name string, query_description string, query_url string")
     got = {r["query_id"]: (r["product_id"], r["is_duplicate"]) for r in D.best_match(queries, catalogue).collect()}
-    assert got == {7: ("0", token_set_score("red plastic gadget", "red metal widget") >= 0.88), 8: ("1", True)}
+    assert got == {7: ("0", token_set_score("red plastic gadget", "red metal widget") >= 0.88), 8: ("1", True), 9: ("0", False)}  # the best counts, however far
+
+
+def test_a_product_does_not_meet_itself(spark, monkeypatch):
+    catalogue = products(spark, ["red widget", "blue lamp", "lamp blue"], description=["", "", ""])
+    queries = spark.createDataFrame([(i, n, "", None, str(i)) for i, n in enumerate(["red widget", "blue lamp", "lamp blue"])], "query_id long, query_name string, query_description string, query_url string, query_product string")
+    monkeypatch.setattr(D, "BLOCK_QUERIES", 2)  # several blocks
+    got = {r["query_id"]: (r["product_id"], r["is_duplicate"]) for r in D.best_match(queries, catalogue).collect()}
+    assert got[1] == ("2", True) and got[2] == ("1", True) and got[0][1] is False
 
 
 def test_quality_rules(spark):

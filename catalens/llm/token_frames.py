@@ -44,7 +44,7 @@ END_ID = 0
 #: Documents of an index block.
 INDEX_DOCS = 4096
 #: Bytes of ids that a file should hold.
-FILE_BYTES = 256 << 20
+FILE_BYTES = 128 << 20
 
 
 class Memo:
@@ -115,7 +115,9 @@ class ChunkCoder:
         simple: list[str] = []
         made: list[tuple[str, str, list[str]]] = []
         for c in memo.missing(wanted):
-            if not c or c[-1].isspace() or self.odd(c):
+            if c.isalpha():
+                simple.append(c)
+            elif not c or c[-1].isspace() or self.odd(c):
                 memo.young[c] = None
             elif parts := self._parts(c):
                 made.append((c, *parts))
@@ -202,7 +204,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, borders: list[int] | None
 class FrameWriter:
     """Writes one file; ``add`` documents in order, then ``close``."""
 
-    def __init__(self, stream, frame_bytes: int, level: int = 3):
+    def __init__(self, stream, frame_bytes: int, level: int = 1):
         self.stream, self.frame_bytes = stream, frame_bytes
         self.codec = zstandard.ZstdCompressor(level=level, write_content_size=True)
         self.pending: list[bytes] = []
@@ -291,7 +293,10 @@ class FrameReader:
 
     def document(self, i: int) -> bytes:
         """The ids of the ``i``-th document of the file; only its frame is decompressed."""
-        _, start, end = self.index(i)
+        return self.ids(*self.index(i)[1:])
+
+    def ids(self, start: int, end: int) -> bytes:
+        """The ids from ``start`` to before ``end`` of the file, which one document holds."""
         k = int(np.searchsorted(self.frame_ends, 4 * start, side="right"))
         base = int(self.frame_ends[k] - self.frames[k, 1])
         return self.frame(k)[4 * start - base : 4 * end - base]
@@ -367,7 +372,7 @@ def read_token_files(manifest: DataFrame, folder: str, per_task: int = INDEX_DOC
                     for at in range(first, upto, 256):
                         some = range(at, min(at + 256, upto))
                         docs = [file.index(i) for i in some]
-                        yield pa.record_batch([pa.array([d for d, *_ in docs], pa.int64()), pa.array([file.document(i) for i in some], pa.binary()), pa.array([start + x for _, x, _ in docs], pa.int64())], names=["doc_id", "ids", "start"])
+                        yield pa.record_batch([pa.array([d for d, *_ in docs], pa.int64()), pa.array([file.ids(a, b) for _, a, b in docs], pa.binary()), pa.array([start + x for _, x, _ in docs], pa.int64())], names=["doc_id", "ids", "start"])
 
     return stretch.repartition(tasks, "path", "first").mapInArrow(read, "doc_id long, ids binary, start long")
 
@@ -382,7 +387,7 @@ def token_files(spark: SparkSession, docs: DataFrame, vocabulary: str, folder: s
     """
     folder = folder or scratch_path(spark, "token-files")
     n_bytes = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0  # about as many bytes of ids
-    n_files = max(spark.sparkContext.defaultParallelism, -(-n_bytes // file_bytes))
+    n_files = max(3 * spark.sparkContext.defaultParallelism, -(-n_bytes // file_bytes))
     encoded = encode_documents(docs, vocabulary, file_borders(docs, n_files))
     return materialize(write_token_files(encoded, folder, n_files), "token-manifest"), folder
 

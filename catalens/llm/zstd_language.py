@@ -25,8 +25,8 @@ UNDETERMINED = "und"
 SAMPLE_DOCS, DICTIONARY_BYTES = 256, 96 << 10
 #: The range of the hash that orders ids; the sample is looked for in the share of it that should hold SPARE times as many.
 HASHES, SPARE = 1 << 30, 4
-#: Texts of up to SHORT_BYTES are searched for matches of three bytes and more, longer ones at a fast level.
-LEVEL, SHORT_LEVEL, SHORT_BYTES = 3, 19, 1024
+#: The compression level of every text, short or long.
+LEVEL = 6
 #: A margin (runner-up's size over the winner's, less 1) below this is too narrow.
 MIN_MARGIN = 0.02
 #: The margin at which the score reaches one half.
@@ -104,7 +104,7 @@ def predict_languages(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFr
     contents = [dictionaries[n] for n in names]
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fast, strong = [compressor(raw, LEVEL) for raw in contents], [compressor(raw, SHORT_LEVEL) for raw in contents]
+        compressors = [compressor(raw, LEVEL) for raw in contents]
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
@@ -114,7 +114,7 @@ def predict_languages(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFr
                     if not plain or not names:
                         rows.append((UNDETERMINED, 0.0, True))
                         continue
-                    best, margin, value = score([len(c.compress(plain)) for c in (strong if len(plain) <= SHORT_BYTES else fast)])
+                    best, margin, value = score([len(c.compress(plain)) for c in compressors])
                     rows.append((names[best], value, margin < MIN_MARGIN))
                 yield pa.record_batch([*part.columns, *[pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.float64(), pa.bool_()))]], names=[*part.schema.names, *[f.name for f in made]])
 

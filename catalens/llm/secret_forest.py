@@ -46,15 +46,21 @@ FEATURES = ["length", "digits", "uppers", "symbols", "transitions", "distinct_ch
 def secret_candidates(docs: DataFrame, context: int = 64) -> DataFrame:
     """One row for each candidate in the whole text of each row of ``docs`` (doc_id, text, source).
 
-    Returns doc_id, source, ordinal (from 0 in its text), candidate, left and right (up to
-    ``context`` characters around it; a name that leads to it is on its left). A null or empty text has none; repeated rows give repeated
-    candidates; other columns are ignored.
+    Returns doc_id, source, text_key, ordinal (from 0 in its text), candidate, left and right (up to
+    ``context`` characters around it; a name that leads to it is on its left). text_key tells the text
+    of a row with a null id, and is null elsewhere. A null or empty text has none; repeated rows give
+    repeated candidates; other columns are ignored.
     """
-    found = docs.select("doc_id", "source", "text").filter(F.col("text").rlike(CANDIDATE))
-    found = found.select("doc_id", "source", F.split("text", CANDIDATE).alias("around"), _parts("text").alias("hits"))
-    one = found.select("doc_id", "source", "around", F.posexplode("hits").alias("ordinal", "hit"))
+    found = docs.select("doc_id", "source", text_key().alias("text_key"), "text").filter(F.col("text").rlike(CANDIDATE))
+    found = found.select("doc_id", "source", "text_key", F.split("text", CANDIDATE).alias("around"), _parts("text").alias("hits"))
+    one = found.select("doc_id", "source", "text_key", "around", F.posexplode("hits").alias("ordinal", "hit"))
     left = F.concat(F.get("around", F.col("ordinal")), F.col("hit.lead"))
-    return one.select("doc_id", "source", "ordinal", F.col("hit.candidate").alias("candidate"), F.right(left, F.lit(context)).alias("left"), F.left(F.get("around", F.col("ordinal") + 1), F.lit(context)).alias("right"))
+    return one.select("doc_id", "source", "text_key", "ordinal", F.col("hit.candidate").alias("candidate"), F.right(left, F.lit(context)).alias("left"), F.left(F.get("around", F.col("ordinal") + 1), F.lit(context)).alias("right"))
+
+
+def text_key() -> Column:
+    """What findings of a row without an id are known by: its text's digest; null for other rows."""
+    return F.when(F.col("doc_id").isNull(), F.md5(F.col("text").cast("binary")))
 
 
 def _parts(text: str) -> Column:
@@ -125,7 +131,7 @@ def forest_scores(findings: DataFrame, labelled: DataFrame, trees: int = 24, dep
     Adds score (share of trees' votes for a secret). Where the labels hold one class only, there is
     nothing to learn and the score is that class; without any label it is 0.
     """
-    train = materialize(labelled.select(*FEATURES, "label").coalesce(1), "findings-train")
+    train = materialize(labelled.select(*FEATURES, F.col("label").cast("double").alias("label")), "findings-train")
     classes = [r["label"] for r in train.select("label").distinct().collect()]
     if len(classes) < 2:
         return findings.withColumn("score", F.lit(float(classes[0]) if classes else 0.0))
@@ -152,16 +158,17 @@ def scan_secrets(docs: DataFrame, threshold: float = 0.5, n_words: int = 400, ma
 
 
 def redact_secrets(docs: DataFrame, findings: DataFrame, mark: str = "<secret>") -> DataFrame:
-    """``docs`` with every secret of ``findings`` (doc_id, candidate, is_secret) replaced in its document's text.
+    """``docs`` with every secret of ``findings`` (doc_id, text_key, candidate, is_secret) replaced in its document's text.
 
     A secret is replaced where it is a candidate, and one that can't be taken for a word (16
     characters, or 8 with other than letters) wherever it stands; longer ones go first, so that one
-    inside another leaves no rest. Documents without secrets stay as they are; rows with a null id
-    keep their text, as findings can't be told apart there.
+    inside another leaves no rest. Documents without secrets stay as they are. Rows of one id
+    share their secrets; rows with a null id have those of their own text.
     """
-    secrets = findings.filter("is_secret").groupBy("doc_id").agg(F.collect_set("candidate").alias("__found"))
+    secrets = findings.filter("is_secret").groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__text")).agg(F.collect_set("candidate").alias("__found"))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & text_key().eqNullSafe(F.col("__text"))
     cut = F.zip_with(F.split("text", CANDIDATE), _parts("text"), lambda a, p: F.concat(a, F.when(p.isNull(), "").otherwise(F.concat(p["lead"], F.when(F.array_contains("__found", p["candidate"]), mark).otherwise(p["candidate"])))))
     long = F.filter("__found", lambda c: (F.length(c) >= 16) | ((F.length(c) >= 8) & c.rlike("[^A-Za-z]")))
     ordered = F.transform(F.array_sort(F.transform(long, lambda c: F.struct((-F.length(c)).alias("n"), c.alias("c")))), lambda s: s["c"])
     clean = F.aggregate(ordered, F.array_join(cut, ""), lambda t, c: F.replace(t, c, F.lit(mark)))
-    return docs.join(secrets, "doc_id", "left").withColumn("text", F.when(F.col("__found").isNull(), F.col("text")).otherwise(clean)).select(*docs.columns)
+    return docs.join(secrets, same, "left").withColumn("text", F.when(F.col("__found").isNull(), F.col("text")).otherwise(clean)).select(*docs.columns)

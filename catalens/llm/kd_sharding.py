@@ -1,10 +1,12 @@
 """Sharding by a k-d tree over document metadata (DataFrame operations only).
 
-The items of the tree are groups of equal texts, so copies travel together. A group that
-alone exceeds ``divide_share`` of a shard is divided by a hash of its ids; there are at most
-``n_shards / divide_share`` such groups, which bounds what is broadcast. Every node is split
-along its widest dimension at the byte-weighted median (for an odd number of shards, at the
-weighted quantile that leaves whole shards on both sides) until each leaf is one shard.
+The items of the tree are groups of equal texts, so copies travel together. Only a group that
+alone exceeds a shard is divided, by a hash of its ids, into pieces of ``heavy_share`` of a
+shard; fewer than ``n_shards`` groups are as large, which bounds what is broadcast. Every node is
+split along its widest dimension at the byte-weighted median (for an odd number of shards, at the
+weighted quantile that leaves whole shards on both sides) until each leaf is one shard. Items
+over ``heavy_share`` of a shard take the side where the median puts them; then the cut of the
+lighter ones is found anew, so that they even out what a heavy item left over or under.
 The median is found from histograms that Spark aggregates for all nodes of a level at once;
 the driver sees at most ``n_shards * BINS`` histogram rows, whatever the input.
 """
@@ -68,12 +70,14 @@ def _cuts(keyed: DataFrame, level: int, bounds: dict[int, tuple[int, int]], want
     return cut
 
 
-def kd_leaves(items: DataFrame, dims: list[str], weight: str, tie: str, n_leaves: int, tolerance: float = 0.002) -> DataFrame:
+def kd_leaves(items: DataFrame, dims: list[str], weight: str, tie: str, n_leaves: int, tolerance: float = 0.002, heavy_share: float = 0.02) -> DataFrame:
     """Add ``leaf`` (0 to ``n_leaves`` - 1) to ``items``.
 
     ``dims`` are double columns (null: smallest), ``weight`` a positive long, ``tie`` a long that
     orders equal coordinates. The weight left of a split differs from its share by at most
-    ``tolerance`` of a leaf's target, or by half the weight of one key. An empty table stays empty;
+    ``tolerance`` of a leaf's target, or by half the weight of one key of items of at most
+    ``heavy_share`` of that target; by more only where a node's heavier items leave no lighter
+    ones to even them out. An empty table stays empty;
     items that are equal in every dimension are divided by ``tie``, and only equal ties stay together.
     """
     ends = [f(F.coalesce(d, F.lit(0.0))).alias(f"{n}{i}") for i, d in enumerate(dims) for n, f in (("lo", F.min), ("hi", F.max))]
@@ -85,6 +89,7 @@ def kd_leaves(items: DataFrame, dims: list[str], weight: str, tie: str, n_leaves
         span = (total[f"hi{i}"] - total[f"lo{i}"]) or 1.0
         unit = unit.withColumn(f"__q{i}", ((F.coalesce(d, F.lit(0.0)) - total[f"lo{i}"]) / span * ((1 << COORD_BITS) - 1)).cast("long"))
     axes = range(len(dims))
+    heavy = heavy_share * total["w"] / n_leaves
     tie_low = F.col(tie).bitwiseAND(F.lit((1 << TIE_BITS) - 1))
     leaves, level, before = {1: (0, n_leaves)}, 0, None  # of each node its first shard and how many it holds
     while active := {k: n for k, (_, n) in leaves.items() if n > 1}:
@@ -96,13 +101,24 @@ def kd_leaves(items: DataFrame, dims: list[str], weight: str, tie: str, n_leaves
         coordinate = F.get(F.array(*[F.col(f"__q{i}") for i in axes]), _of(level, axis).cast("int"))
         keyed = F.shiftleft(coordinate, TIE_BITS).bitwiseOR(tie_low)
         want = {k: r["w"] * (active[k] // 2) / active[k] for k, r in stats.items()}
-        cut = _cuts(live.select("__node", F.col(weight).alias("__w"), keyed.alias("__key")), level, bounds, want, tolerance * total["w"] / n_leaves)
+        exact = tolerance * total["w"] / n_leaves
+        seen = live.select("__node", F.col(weight).alias("__w"), keyed.alias("__key"))
+        cut = _cuts(seen, level, bounds, want, exact)
+        # where heavy items lie, the lighter ones are cut so that both together leave the share
+        first = F.when(F.col("__key") < _of(level, cut), F.col("__w")).otherwise(0)
+        sums = seen.filter(F.col("__w") > heavy).groupBy("__node").agg(F.sum(first).alias("left"))
+        left = {r["__node"]: r["left"] for r in sums.collect()}  # one row a node
+        light = dict(cut)
+        if left:
+            rest = {k: want[k] - left[k] for k in left}
+            lighter = seen.filter((F.col("__w") <= heavy) & _of(level, left).isNotNull())
+            light |= _cuts(lighter, level, {k: bounds[k] for k in left}, rest, exact)
         for k in active:
             start, n = leaves.pop(k)
             leaves[2 * k], leaves[2 * k + 1] = (start, n // 2), (start + n // 2, n - n // 2)
             if k not in stats:  # nothing lies here, so nothing is left to split
                 leaves[2 * k], leaves[2 * k + 1] = (start, 1), (start, 1)
-        child = 2 * F.col("__node") + F.when(keyed < _of(level, cut), 0).otherwise(1)
+        child = 2 * F.col("__node") + F.when(keyed < F.when(F.col(weight) > heavy, _of(level, cut)).otherwise(_of(level, light)), 0).otherwise(1)
         unit = unit.withColumn("__node", F.when(_of(level, active).isNotNull(), child).otherwise(F.col("__node")))
         level += 1
         unit = unit.withColumn("leaf", F.coalesce(_of(level, {k: start for k, (start, _) in leaves.items()}).cast("int"), "leaf"))
@@ -113,14 +129,14 @@ def kd_leaves(items: DataFrame, dims: list[str], weight: str, tie: str, n_leaves
     return unit.drop("__node", *[f"__q{i}" for i in axes])
 
 
-def kd_shards(docs: DataFrame, n_shards: int | None = 40, target_bytes: int | None = None, divide_share: float = 0.02, slot_parts: int = 64) -> DataFrame:
+def kd_shards(docs: DataFrame, n_shards: int | None = 40, target_bytes: int | None = None, heavy_share: float = 0.02, slot_parts: int = 64) -> DataFrame:
     """Put every row of ``docs`` (doc_id, text, lang, source) into a shard of near-equal bytes.
 
     Give ``n_shards``, or ``target_bytes`` for shards of about that size. Returns doc_id, size
     (UTF-8 bytes + 16), text_crc32, shard, slot (0, 1, ... in each shard). A null text counts as
     none, a null id or label comes first in its dimension, repeated rows are rows of their own;
-    other columns are ignored; an empty table gives no rows. A single text longer than a shard
-    makes that shard longer.
+    other columns are ignored; an empty table gives no rows. Equal texts share a shard unless
+    together they are larger than one. A single text longer than a shard makes that shard longer.
     """
     raw = F.coalesce("text", F.lit("")).cast("binary")
     rows = materialize(
@@ -137,10 +153,10 @@ def kd_shards(docs: DataFrame, n_shards: int | None = 40, target_bytes: int | No
     total = rows.agg(F.sum("size")).first()[0] or 0
     if n_shards is None:
         n_shards = max(1, math.ceil(total / target_bytes))
-    piece = max(1.0, total / n_shards * divide_share)
+    piece = max(1.0, total / n_shards * heavy_share)
     groups = rows.groupBy("group").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
-    large = groups.filter((F.col("n") > 1) & (F.col("bytes") > piece)).select("group", F.ceil(F.col("bytes") / piece).cast("long").alias("pieces"))
-    rows = rows.join(F.broadcast(large), "group", "left")  # at most n_shards / divide_share rows
+    large = groups.filter((F.col("n") > 1) & (F.col("bytes") > total / n_shards)).select("group", F.ceil(F.col("bytes") / piece).cast("long").alias("pieces"))
+    rows = rows.join(F.broadcast(large), "group", "left")  # fewer than n_shards rows
     part = F.when(F.col("pieces").isNotNull(), F.pmod(F.xxhash64("doc_id", "group"), F.col("pieces"))).otherwise(F.lit(0))
     rows = rows.withColumn("part", part).drop("pieces")
     items = rows.groupBy("group", "part").agg(
@@ -151,7 +167,7 @@ def kd_shards(docs: DataFrame, n_shards: int | None = 40, target_bytes: int | No
         F.min("doc_id").cast("double").alias("id_at"),
         F.xxhash64("group", "part").alias("tie"),
     )
-    leaves = kd_leaves(materialize(items, "kd-items"), ["id_at", "size_at", "source_at", "lang_at"], "bytes", "tie", n_shards).select("group", "part", F.col("leaf").alias("shard"))
+    leaves = kd_leaves(materialize(items, "kd-items"), ["id_at", "size_at", "source_at", "lang_at"], "bytes", "tie", n_shards, heavy_share=heavy_share).select("group", "part", F.col("leaf").alias("shard"))
     placed = rows.join(leaves, ["group", "part"])
     # slots: a hash divides each shard into parts, whose sizes give every part its first slot
     placed = placed.select("doc_id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(slot_parts)).cast("int").alias("slice"))

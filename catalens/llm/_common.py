@@ -20,9 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster, from ``spark.checkpoint.dir``; a temporary folder only where that is unset."""
+    """The shared folder of the cluster, from ``spark.checkpoint.dir``; where that is unset, a temporary folder on a local master only."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="catalens-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")

@@ -22,7 +22,7 @@ def folded_words(text: str | None) -> list[bytes]:
 class WordHashes(dict):
     """64-bit hashes of words, remembered up to ``limit`` words at a time."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 1 << 17):
         super().__init__()
         self.limit = limit
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,31 +31,35 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+#: Paths of the scratch tables of each open scope of this thread.
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scratch scopes", default=())
 
 
-#: Paths of the scratch tables of each open scope.
-_scopes: list[list[str]] = []
+def scratch_path(spark: SparkSession, label: str) -> str:
+    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    if _scopes.get():
+        _scopes.get()[-1].append(path)
+    return path
 
 
 @contextmanager
 def scratch_scope(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
-    """Deletes the scratch tables made inside, at its end. What it yields writes a result that stays."""
+    """Deletes the scratch folders that this thread makes inside, at its end. What it yields writes a result that stays."""
     paths: list[str] = []
-    _scopes.append(paths)
+    outer = _scopes.get()
+    token = _scopes.set((*outer, paths))
 
     def keep(df: DataFrame, label: str) -> DataFrame:
         out = materialize(df, label)
         kept = paths.pop()
-        if len(_scopes) > 1:  # the enclosing scope's, as any table made there
-            _scopes[-2].append(kept)
+        if outer:  # the enclosing scope's, as any table made there
+            outer[-1].append(kept)
         return out
 
     try:
         yield keep
     finally:
-        _scopes.pop()
+        _scopes.reset(token)
         for path in paths:
             _delete(spark, path)
 
@@ -66,8 +71,6 @@ def materialize(df: DataFrame, label: str, compression: str = "zstd") -> DataFra
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    if _scopes:
-        _scopes[-1].append(path)
     schema = df.schema
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(schema).parquet(path)

@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 from catalens.llm._common import crc32_mod, table
 from catalens.llm.adaptive_quality import quality_verdicts, verdict_sql
 from catalens.llm.cgk_decontam import find_items
+from catalens.llm.hard_negatives import hard_negatives, hard_negatives_sql, whole_vectors
+from catalens.llm.importance_resampling import resample, resample_sql
 from catalens.llm.kd_sharding import kd_shards
 from catalens.llm.kneser_ney import score_texts, train
 from catalens.llm.ngram_join import jaccard_components
 from catalens.llm.piece_spans import piece_digests
+from catalens.llm.quartile_digest import edit_likeness
 from catalens.llm.secret_forest import scan_secrets
 from catalens.llm.token_frames import token_digests
 from catalens.llm.warc_chain import warc_round_trip
@@ -68,6 +71,19 @@ def op10_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_likeness(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(whole_vectors(table(spark, sf_dir, "embeddings"), label=label), F.col("vec_id") % 100 == 0)
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("text"))
+
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_kneser_ney": op2_kneser_ney,
@@ -79,8 +95,13 @@ QUERIES = {
     "op8_token_frames": op8_token_frames,
     "op9_piece_spans": op9_piece_spans,
     "op10_kd_sharding": op10_kd_sharding,
+    "op11_quartile_digest": op11_quartile_digest,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 #: Oracles of the queries that SQL can express on whole tables.
 ORACLE_SQL: dict[str, str] = {
     "op5_adaptive_quality": verdict_sql(),
+    "op12_hard_negatives": hard_negatives_sql(),
+    "op13_importance_resampling": resample_sql(),
 }

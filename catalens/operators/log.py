@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from datetime import datetime
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -155,34 +153,52 @@ def clip_event(events: DataFrame) -> DataFrame:
     return events.withColumns({"detail": F.substring("detail", 1, 500), "product_name": F.substring("product_name", 1, 200)})
 
 
-def dismiss(log: DataFrame, which: Column, at: datetime | Column) -> DataFrame:
-    """A snapshot of the log in which ``which`` rows are dismissed at ``at``."""
-    when = at if isinstance(at, Column) else F.lit(at)
-    hit = which & not_dismissed()
-    return log.withColumns({"dismissed": F.when(hit, True).otherwise(F.col("dismissed")), "dismissed_at": F.when(hit, when)})
+def clean_note(note: str) -> str | None:
+    """A note of at most 1000 characters; a blank one is none."""
+    return note.strip()[:1000] or None
 
 
-def set_note(log: DataFrame, which: Column, note: str) -> DataFrame:
-    """A note of at most 1000 characters; a blank one is removed."""
-    text = note.strip()[:1000] or None
-    return log.withColumn("note", F.when(which, F.lit(text)))
+def newest(rows: DataFrame, key: str, version: str) -> DataFrame:
+    """One row for each key, the newest by ``version``."""
+    others = [c for c in rows.columns if c != key]
+    best = rows.groupBy(key).agg(F.max_by(F.struct(*others), version).alias("__row"))
+    return best.select(key, *[f"__row.{c}" for c in others])
 
 
 def upsert_latest(old: DataFrame, new: DataFrame, key: str, version: str) -> DataFrame:
     """One row for each key, the newest by ``version``; rows of ``new`` win ties."""
     both = old.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))
-    newest = both.groupBy(key).agg(F.max_by(F.struct(*[c for c in both.columns if c != key]), F.struct(version, "__new")).alias("__row"))
-    return newest.select(key, *[f"__row.{c}" for c in old.columns if c != key])
+    return newest(both.withColumn("__at", F.struct(version, "__new")), key, "__at").select(*old.columns)
+
 
+def untold(log: DataFrame, since: Column) -> DataFrame:
+    """Events since ``since`` that nobody was told of."""
+    return log.filter((F.col("created_at") >= since) & ~F.coalesce("notified", F.lit(False)))
 
-def digest(log: DataFrame, since: Column) -> DataFrame:
-    """Events since ``since`` that nobody was told of: count and, in order, the details of each action."""
-    fresh = log.filter((F.col("created_at") >= since) & ~F.coalesce("notified", F.lit(False)))
-    last = F.max_by(F.coalesce("detail", F.lit("")), "id")
-    return fresh.groupBy("action").agg(F.count("*").alias("n"), last.alias("last_detail"))
+
+def digest(fresh: DataFrame, max_lines: int = 200) -> DataFrame:
+    """One row (total, subject, body) about events, or none: how many of each action, and the last ``max_lines`` by id.
+
+    Each task keeps its own last lines; one row an action and ``max_lines`` rows meet at the end.
+    """
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
+    line = F.concat(F.lit("  - ["), F.date_format("created_at", "yyyy-MM-dd HH:mm"), F.lit("] "), text("action"), F.lit(" product="), text("product_id"), F.lit(" :: "), text("detail"))
+    joined = lambda rows, shown: F.array_join(F.transform(F.array_sort(F.collect_list(rows)), shown), "\n")
+    kinds = fresh.groupBy("action").agg(F.count("*").alias("n"))
+    counts = kinds.agg(F.sum("n").alias("total"), joined(F.struct("action", "n"), lambda r: F.concat(F.lit("  - "), r["action"], F.lit(": "), r["n"].cast("string"))).alias("summary"))
+    last = fresh.select("id", line.alias("line")).orderBy(F.desc("id")).limit(max_lines)
+    lines = last.agg(joined(F.struct("id", "line"), lambda r: r["line"]).alias("lines"))
+    body = F.concat(F.lit("Activity of the last 24 hours\n=============================\nTotal actions: "), F.col("total").cast("string"), F.lit("\n\nBy action:\n"), F.col("summary"), F.lit("\n\nDetail:\n"), F.col("lines"))
+    return counts.crossJoin(F.broadcast(lines)).filter("total IS NOT NULL").select("total", F.lit("Daily summary").alias("subject"), body.alias("body"))  # one row each
 
 
 def within_daily_budget(log: DataFrame, limit: int) -> DataFrame:
-    """Each event with its number on its UTC day and whether the day's budget lets it pass."""
-    day = Window.partitionBy("day").orderBy("created_at", "id")
-    return log.withColumn("day", F.to_date("created_at")).withColumn("nth", F.row_number().over(day)).withColumn("passes", F.col("nth") <= limit)
+    """Each event with its number on its UTC day and whether the day's budget lets it pass.
+
+    Rows are numbered within a minute; the minutes' counts (1 440 a day) say how many came before.
+    """
+    timed = log.withColumns({"day": F.to_date("created_at"), "minute": F.date_trunc("minute", "created_at")})
+    earlier = Window.partitionBy("day").orderBy("minute").rowsBetween(Window.unboundedPreceding, -1)
+    minutes = timed.groupBy("day", "minute").count().select("minute", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("earlier"))
+    within = F.row_number().over(Window.partitionBy("minute").orderBy("created_at", "id"))
+    return timed.withColumn("within", within).join(minutes, "minute").withColumn("nth", F.col("earlier") + F.col("within")).withColumn("passes", F.col("nth") <= limit).drop("minute", "within", "earlier")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from catalens.config import DEFAULTS, Config
 from catalens.functions.pricing import price_decision, signed_drift
+from catalens.sources.keyed_table import KeyedTable
 
 ORDER = ["captured_at", "order_no", "line_no", "price_cents"]
 
@@ -36,3 +39,11 @@ def cheapest(offers: DataFrame, keys: list[str]) -> DataFrame:
 def retain(history: DataFrame, now: Column, days: int) -> DataFrame:
     """Rows not older than ``days`` before ``now``; all of them for 0 days."""
     return history if days == 0 else history.filter(F.col("captured_at") >= now - F.make_dt_interval(F.lit(days)))
+
+
+def prune(history: KeyedTable, now: datetime, days: int) -> list[int]:
+    """Delete prices older than ``days`` before ``now`` (0: none) from a table in folders by month (year * 12 + month); returns the folders that changed."""
+    if days == 0:
+        return []
+    cutoff = now - timedelta(days=days)
+    return history.delete(F.col("captured_at") < F.lit(cutoff), F.col("bucket") <= cutoff.year * 12 + cutoff.month)

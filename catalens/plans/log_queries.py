@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from catalens.config import DEFAULTS
 from catalens.operators import log as L
 from catalens.plans.registry import Registry
-from catalens.sources.catalog import logical, logical_sql
+from catalens.sources.catalog import LOGICAL, logical, logical_sql
+from catalens.sources.keyed_table import BatchLog, KeyedTable
+from catalens.streaming import jobs
+from catalens.streaming.digest import send_digest
 
 R = Registry()
 LOG = logical_sql("audit_log")
@@ -179,9 +182,18 @@ def agg_budget(spark, sf_dir):
     return with_now(spark, sf_dir).agg(used.alias("used")).withColumn("remaining", F.greatest(F.lit(0).cast("long"), DEFAULTS.daily_budget - F.col("used")))
 
 
-@R.add("agg_digest", LOG + f"SELECT action, count(*) AS n, arg_max(coalesce(detail, ''), id) AS last_detail FROM audit_log WHERE created_at >= {NOW_SQL} - INTERVAL 24 HOUR AND NOT coalesce(notified, false) GROUP BY action")
+FRESH_SQL = f"fresh AS (SELECT * FROM audit_log WHERE created_at >= {NOW_SQL} - INTERVAL 24 HOUR AND NOT coalesce(notified, false))"
+DIGEST_SQL = (
+    f"{FRESH_SQL}, kinds AS (SELECT action, count(*) AS n FROM fresh GROUP BY action), "
+    "line AS (SELECT id, '  - [' || strftime(created_at, '%Y-%m-%d %H:%M') || '] ' || coalesce(action, 'None') || ' product=' || coalesce(product_id, 'None') || ' :: ' || coalesce(detail, 'None') AS line FROM fresh ORDER BY id DESC LIMIT 200), "
+    "digest AS (SELECT (SELECT CAST(sum(n) AS BIGINT) FROM kinds) AS total, 'Daily summary' AS subject, 'Activity of the last 24 hours' || chr(10) || '=============================' || chr(10) || 'Total actions: ' || CAST((SELECT sum(n) FROM kinds) AS VARCHAR) || chr(10) || chr(10) || 'By action:' || chr(10) || "
+    "(SELECT string_agg('  - ' || action || ': ' || CAST(n AS VARCHAR), chr(10) ORDER BY action) FROM kinds) || chr(10) || chr(10) || 'Detail:' || chr(10) || (SELECT string_agg(line, chr(10) ORDER BY id) FROM line) AS body WHERE EXISTS (SELECT 1 FROM fresh))"
+)
+
+
+@R.add("agg_digest", LOG.rstrip() + f", {DIGEST_SQL} SELECT * FROM digest")
 def agg_digest(spark, sf_dir):
-    return L.digest(with_now(spark, sf_dir), F.expr("now - INTERVAL 24 HOURS"))
+    return L.digest(L.untold(with_now(spark, sf_dir), F.expr("now - INTERVAL 24 HOURS")))
 
 
 STATE_SQL = (
@@ -232,28 +244,58 @@ def join_already_sent(spark, sf_dir):
     return asked.join(sent, "product_source_url").groupBy("id").agg(F.max("log_id").alias("log_id"))
 
 
+def stored_log(spark, sf_dir):
+    """A copy of the log that can be changed."""
+    rows = log(spark, sf_dir)
+    table = KeyedTable(spark, f"{jobs.work_folder(spark)}/log", rows.schema, ["id"], n_buckets=8)
+    table.insert(rows)
+    return table
+
+
 @R.add("sink_append_event", LOG + "SELECT id, action, substr(repeat(coalesce(detail, ''), 40), 1, 500) AS detail, substr(repeat(product_name, 30), 1, 200) AS product_name FROM audit_log")
 def sink_append_event(spark, sf_dir):
-    rows = log(spark, sf_dir).select("id", "action", F.repeat(F.coalesce("detail", F.lit("")), F.lit(40)).alias("detail"), F.repeat("product_name", F.lit(30)).alias("product_name"))
-    return L.clip_event(rows)
+    """Events that arrive as a stream, appended batch by batch and read back."""
+    arriving = jobs.stream_table(spark, sf_dir, "events").selectExpr(*LOGICAL["audit_log"][1])
+    rows = arriving.select("id", "action", F.repeat(F.coalesce("detail", F.lit("")), F.lit(40)).alias("detail"), F.repeat("product_name", F.lit(30)).alias("product_name"))
+    folder = jobs.work_folder(spark)
+    written = BatchLog(spark, f"{folder}/log", "id long, action string, detail string, product_name string")
+    jobs.each_batch(rows, lambda batch, n: written.append(L.clip_event(batch), n), f"{folder}/checkpoint")
+    return written.read()
+
+
+_OPEN_DUPLICATE = f"{section_sql('duplicates')} AND dismissed IS NOT TRUE"
 
 
-@R.add("sink_update_flags", LOG + f"SELECT id, CASE WHEN {section_sql('duplicates')} AND dismissed IS NOT TRUE THEN true ELSE dismissed END AS dismissed, CASE WHEN {section_sql('duplicates')} AND dismissed IS NOT TRUE THEN {NOW_SQL} END AS dismissed_at, CASE WHEN id % 100 = 0 THEN 'checked' END AS note FROM audit_log")
+@R.add("sink_update_flags", LOG + f"SELECT id, CASE WHEN {_OPEN_DUPLICATE} THEN true ELSE dismissed END AS dismissed, CASE WHEN {_OPEN_DUPLICATE} THEN {NOW_SQL} END AS dismissed_at, CASE WHEN id % 100 = 0 THEN 'checked' END AS note, notified OR confidence >= 0.95 IS TRUE AS notified FROM audit_log")
 def sink_update_flags(spark, sf_dir):
-    rows = L.dismiss(with_now(spark, sf_dir), L.section_predicate("duplicates"), F.col("now"))
-    return L.set_note(rows, F.col("id") % 100 == 0, "  checked ").select("id", "dismissed", "dismissed_at", "note")
+    """Dismiss a section, note every hundredth event, mark the sure ones as notified: written and read back."""
+    rows = with_now(spark, sf_dir).withColumns({"dismissed_at": F.lit(None).cast(dict(log(spark, sf_dir).dtypes)["created_at"]), "note": F.lit(None).cast("string")})
+    table = KeyedTable(spark, f"{jobs.work_folder(spark)}/flags", rows.select("id", "dismissed", "dismissed_at", "note", "notified", "now").schema, ["id"], n_buckets=8)
+    table.insert(rows)
+    table.update(rows.filter(L.section_predicate("duplicates") & L.not_dismissed()), {"dismissed": F.lit(True), "dismissed_at": F.col("now")})
+    table.update(rows.filter("id % 100 = 0"), {"note": F.lit(L.clean_note("  checked "))})
+    table.update(rows.filter("confidence >= 0.95"), {"notified": F.lit(True)})
+    return table.read().drop("now")
+
+
+def upserted(spark, rows, key, old):
+    """A table of one row a key, the newest: first ``old`` rows are put in, then the others."""
+    table = KeyedTable(spark, f"{jobs.work_folder(spark)}/cache", rows.schema, [key], n_buckets=8)
+    for part in (rows.filter(old), rows.filter(~old)):
+        table.upsert(L.newest(part, key, "at"), version="at")
+    return table.read()
 
 
 @R.add("sink_upsert_cache", LOG + "SELECT product_source_url AS url, arg_max(id, struct_pack(a := created_at, b := id)) AS version FROM audit_log WHERE product_source_url IS NOT NULL AND length(product_source_url) <= 1024 GROUP BY product_source_url")
 def sink_upsert_cache(spark, sf_dir):
     rows = log(spark, sf_dir).filter("length(product_source_url) <= 1024").select(F.col("product_source_url").alias("url"), F.struct("created_at", "id").alias("at"), F.col("id").alias("version"))
-    return L.upsert_latest(rows.filter("version % 2 = 0"), rows.filter("version % 2 = 1"), "url", "at").select("url", "version")
+    return upserted(spark, rows, "url", F.col("version") % 2 == 0).select("url", "version")
 
 
 @R.add("sink_upsert_kv", LOG + "SELECT action AS key, CAST(arg_max(id, struct_pack(a := created_at, b := id)) AS VARCHAR) AS value FROM audit_log GROUP BY action")
 def sink_upsert_kv(spark, sf_dir):
     rows = log(spark, sf_dir).select(F.col("action").alias("key"), F.col("id").cast("string").alias("value"), F.struct("created_at", "id").alias("at"))
-    return L.upsert_latest(rows.filter("at.id % 3 = 0"), rows.filter("at.id % 3 <> 0"), "key", "at").select("key", "value")
+    return upserted(spark, rows, "key", F.col("at.id") % 3 == 0).select("key", "value")
 
 
 @R.add("sink_notify", LOG + "SELECT id, replace(replace('[{subject}] {body}', '{subject}', action), '{body}', coalesce(detail, '')) AS message, 'https://hooks.example.com/?t=' || url_encode(action || ' #' || CAST(id AS VARCHAR)) AS hook FROM audit_log WHERE NOT notified")
@@ -274,9 +316,15 @@ def stream_daily_budget(spark, sf_dir):
     return rows.select("id", F.col("nth").cast("long").alias("nth"), "passes")
 
 
-@R.add("stream_digest_24h", LOG + "SELECT CAST(CAST(created_at AS DATE) AS VARCHAR) AS day, action, count(*) AS n FROM audit_log WHERE NOT notified GROUP BY 1, 2")
+@R.add("stream_digest_24h", LOG.rstrip() + f", {DIGEST_SQL} SELECT total, subject, body, 0::BIGINT AS second_run, (SELECT count(*) FROM audit_log WHERE notified OR id IN (SELECT id FROM fresh)) AS notified FROM digest")
 def stream_digest_24h(spark, sf_dir):
-    return log(spark, sf_dir).filter("NOT notified").groupBy(F.to_date("created_at").cast("string").alias("day"), "action").agg(F.count("*").alias("n"))
+    """The message of the newest 24 hours; how many messages a second run makes, and how many events are marked now."""
+    table = stored_log(spark, sf_dir)
+    now, folder = str(log(spark, sf_dir).agg(F.max("created_at")).first()[0]), jobs.work_folder(spark)
+    first = send_digest(table, folder, 0, now)
+    again = send_digest(table, folder, 1, now).agg(F.count("*").alias("second_run"))
+    marked = table.read().agg(F.count_if("notified").alias("notified"))
+    return first.crossJoin(F.broadcast(again)).crossJoin(F.broadcast(marked))  # one row each
 
 
 @R.add("agg_run_summary", LOG + "SELECT CASE WHEN action = 'downstream_failed' THEN 'failed' WHEN action = 'price_flagged' THEN 'alert' WHEN source IS NULL THEN 'skipped' ELSE 'processed' END AS status, count(*) AS n FROM audit_log GROUP BY 1")

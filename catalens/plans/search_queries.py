@@ -15,6 +15,8 @@ from catalens.operators.dedup import against_all
 from catalens.operators import pricing, search
 from catalens.plans.registry import Registry
 from catalens.sources.catalog import logical, logical_sql
+from catalens.sources.keyed_table import BatchLog, KeyedTable
+from catalens.streaming.jobs import work_folder
 
 R = Registry()
 HISTORY = logical_sql("price_history")
@@ -74,9 +76,14 @@ def agg_cheapest(spark, sf_dir):
 
 @R.add("sink_delete_old", HISTORY + f"SELECT product_id, source, order_no, line_no FROM price_history WHERE captured_at >= (SELECT max(captured_at) FROM price_history) - INTERVAL {DEFAULTS.price_history_retention_days} DAY")
 def sink_delete_old(spark, sf_dir):
+    """Prices in folders by month: old months' folders go whole, the month of the cutoff is rewritten, the others stay."""
     rows = history(spark, sf_dir)
-    now = rows.agg(F.max("captured_at").alias("now"))
-    return pricing.retain(rows.crossJoin(F.broadcast(now)), F.col("now"), DEFAULTS.price_history_retention_days).select(*KEY)  # one row
+    month = F.year("captured_at") * 12 + F.month("captured_at")
+    table = KeyedTable(spark, f"{work_folder(spark)}/history", rows.schema, KEY, bucket=month)
+    table.insert(rows)
+    now = rows.agg(F.max("captured_at")).first()[0]
+    pricing.prune(table, now, DEFAULTS.price_history_retention_days)
+    return table.read().select(*KEY)
 
 
 @R.add("stream_retention", HISTORY + f"SELECT source, count(*) AS kept FROM price_history WHERE captured_at >= (SELECT max(captured_at) FROM price_history) - INTERVAL {DEFAULTS.price_history_retention_days} DAY GROUP BY source")
@@ -86,8 +93,13 @@ def stream_retention(spark, sf_dir):
 
 @R.add("sink_append_snapshot", HISTORY + "SELECT product_id, source, max(captured_at) AS captured_at, arg_max(price_cents, struct_pack(a := captured_at, b := order_no, c := line_no, d := price_cents)) AS price_cents FROM price_history GROUP BY product_id, source")
 def sink_append_snapshot(spark, sf_dir):
+    """The newest price of each product and source, appended as one batch; the batch written again changes nothing."""
     newest = F.max(F.struct(*pricing.ORDER)).alias("x")
-    return history(spark, sf_dir).groupBy("product_id", "source").agg(newest).select("product_id", "source", "x.captured_at", "x.price_cents")
+    rows = history(spark, sf_dir).groupBy("product_id", "source").agg(newest).select("product_id", "source", "x.captured_at", "x.price_cents")
+    written = BatchLog(spark, f"{work_folder(spark)}/snapshots", rows.schema)
+    for _ in range(2):
+        written.append(rows, 0)
+    return written.read()
 
 
 # ---- pages -----------------------------------------------------------------------------------

@@ -1,26 +1,27 @@
-"""Structured Streaming jobs: sources, stateful processors, and running a stream to its end.
+"""Structured Streaming: sources, running a stream to its end, and the jobs that built-in operators express.
 
-Each job takes a streaming DataFrame and returns one; ``drain`` runs it over what is there
-(availableNow) into a Parquet table in the shared folder and reads that back, which is also how a
-scheduler would call it, with a lasting checkpoint. State is kept per key and bounded by its window.
+A job takes a streaming DataFrame with the event time ``at`` under a watermark and returns one.
+``drain`` runs it over what is there (availableNow) and then lets time pass the last event by a
+closing row, so that windows, sessions and held rows all come out; a lasting stream runs the same
+job with its own checkpoint and without that row.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from catalens.config import DEFAULTS
+#: The event time of the closing row, later than any event.
+CLOSING = "2200-01-01 00:00:00"
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def stream_table(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int = 1) -> DataFrame:
-    """The files of a Parquet table as a stream, ``files_per_trigger`` a micro-batch."""
+def stream_table(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int = 1000) -> DataFrame:
+    """The files of a Parquet table as a stream, up to ``files_per_trigger`` a micro-batch."""
     path = f"{sf_dir}/{name}.parquet"
     table = spark.read.parquet(path)
     reader = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files_per_trigger)
@@ -39,87 +40,45 @@ def work_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
-def drain(stream: DataFrame) -> DataFrame:
-    spark, folder = stream.sparkSession, work_folder(stream.sparkSession)
-    query = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+def drain(source: DataFrame, job: Callable[[DataFrame], DataFrame], late: str = "1 day") -> DataFrame:
+    """Everything that ``job`` makes of ``source`` (with the event time ``at``), whose events come at most ``late`` out of order.
 
-
-def rate_limit(events: DataFrame, limit: int = DEFAULTS.rate_limit_per_window, seconds: int = DEFAULTS.rate_limit_window_seconds) -> DataFrame:
-    """(key, event_id, allowed) of events (key, event_id, ts): at most ``limit`` allowed in any ``seconds``; rejected ones do not count."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        log = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        allowed = []
-        for at in rows["ts"].astype("datetime64[us]").astype("int64"):
-            log = [t for t in log if t > at - seconds * 1_000_000]
-            ok = len(log) < limit
-            if ok:
-                log.append(at)
-            allowed.append(ok)
-        state.update((log,))
-        yield pd.DataFrame({"key": rows["key"], "event_id": rows["event_id"], "allowed": allowed})
-
-    return events.groupBy("key").applyInPandasWithState(step, "key long, event_id long, allowed boolean", "log array<long>", "append", GroupStateTimeout.NoTimeout)
-
-
-def lockout(events: DataFrame, failures: int = DEFAULTS.lockout_failures, seconds: int = DEFAULTS.lockout_seconds) -> DataFrame:
-    """(key, event_id, locked) of events (key, event_id, ts, failed).
-
-    ``failures`` failures within ``seconds`` lock the key for as long; a success clears them, and
-    what happens while locked changes nothing.
-    """
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        log, until = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        locked = []
-        for at, failed in zip(rows["ts"].astype("datetime64[us]").astype("int64"), rows["failed"]):
-            now_locked = at < until
-            locked.append(now_locked)
-            if now_locked:
-                continue
-            if not failed:
-                log = []
-                continue
-            log = [t for t in log if t > at - seconds * 1_000_000] + [at]
-            if len(log) >= failures:
-                log, until = [], at + seconds * 1_000_000
-        state.update((log, until))
-        yield pd.DataFrame({"key": rows["key"], "event_id": rows["event_id"], "locked": locked})
-
-    return events.groupBy("key").applyInPandasWithState(step, "key long, event_id long, locked boolean", "log array<long>, until long", "append", GroupStateTimeout.NoTimeout)
-
-
-def price_drift(snapshots: DataFrame) -> DataFrame:
-    """Each snapshot (product_id, source, price_cents, currency, captured_at, order_no, line_no) with the one before it as they arrive.
-
-    The state of a product holds the last price of each of its sources, as there are far fewer
-    products than pairs; a product's sources are few.
+    The job gets the source, under its watermark, with the column ``closing``: the closing row's is
+    true and its others are null. Stateful jobs must not count that row.
     """
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = {s: (c, u) for s, c, u in zip(*state.get)} if state.exists else {}
-        rows = pd.concat(list(batches)).sort_values(["captured_at", "order_no", "line_no", "price_cents"])
-        previous = []
-        for source, cents, currency in zip(rows["source"], rows["price_cents"].tolist(), rows["currency"]):
-            previous.append(last.get(source, (None, None)))
-            last[source] = (cents, currency)
-        state.update((list(last), [c for c, _ in last.values()], [u for _, u in last.values()]))
-        yield pd.DataFrame({"product_id": key[0], "source": rows["source"], "price_cents": rows["price_cents"], "currency": rows["currency"], "previous_cents": pd.array([c for c, _ in previous], "Int64"), "previous_currency": [u for _, u in previous]})
-
-    schema = "product_id string, source string, price_cents long, currency string, previous_cents long, previous_currency string"
-    return snapshots.groupBy("product_id").applyInPandasWithState(step, schema, "sources array<string>, cents array<long>, currencies array<string>", "append", GroupStateTimeout.NoTimeout)
-
-
-def windowed_counts(events: DataFrame, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """Counts of each event type in tumbling windows, with a watermark (an addition to the reference's own jobs)."""
-    timed = events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
-    return timed.groupBy(F.window("at", size).alias("w"), "event_type").agg(F.count("*").alias("n")).select("w.start", "event_type", "n")
-
-
-def pages_until_short(stream: DataFrame, size: int) -> DataFrame:
-    """Micro-batches as pages: how many rows each page of ``size`` keys has, by the key's page number."""
-    return stream.select(F.floor(F.col("p_partkey") / size).cast("long").alias("page"), "p_partkey")
+    spark, folder = source.sparkSession, work_folder(source.sparkSession)
+    last = spark.createDataFrame([()], "").select(*[(F.lit(CLOSING) if f.name == "at" else F.lit(None)).cast(f.dataType).alias(f.name) for f in source.schema], F.lit(True).alias("closing"))
+    end = f"{folder}/closing"
+    last.limit(0).write.parquet(end)
+    both = source.withColumn("closing", F.lit(False)).union(spark.readStream.schema(last.schema).parquet(end)).withWatermark("at", late)
+    made = job(both)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    for closing in (False, True):
+        if closing:
+            last.coalesce(1).write.mode("append").parquet(end)
+        out = made.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint")
+        out.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(made.schema).parquet(f"{folder}/out")
+
+
+def each_batch(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+    """Give every micro-batch of what is there to ``write`` with its number; a batch that failed comes again under the same number."""
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def windowed_counts(events: DataFrame, key: str, size: str = "1 hour") -> DataFrame:
+    """(start, ``key``, n): counts of each key in tumbling windows."""
+    counts = events.groupBy(F.window("at", size).alias("w"), key).agg(F.count("*").alias("n"), F.max("closing").alias("closing"))
+    return counts.filter("NOT closing").select("w.start", key, "n")
+
+
+def sessions(events: DataFrame, key: str, kind: str, kinds: list[str], gap: str = "30 minutes") -> DataFrame:
+    """(``key``, start, end, n, n_<kind> for each of ``kinds``): a key's events with less than ``gap`` between them; ``end`` is the last one's time plus the gap."""
+    counts = [F.count_if(F.col(kind) == k).alias(f"n_{k}") for k in kinds]
+    found = events.groupBy(F.session_window("at", gap).alias("w"), key).agg(F.count("*").alias("n"), *counts, F.max("closing").alias("closing"))
+    return found.filter("NOT closing").select(key, "w.start", "w.end", "n", *[f"n_{k}" for k in kinds])
+
+
+def delivered_once(events: DataFrame, keys: list[str]) -> DataFrame:
+    """``events`` without repeated deliveries: of rows with equal ``keys`` (which tell an event, not only its kind) within the watermark one stays; state expires with it."""
+    return events.dropDuplicatesWithinWatermark(keys).filter("NOT closing").drop("closing")

@@ -158,7 +158,7 @@ def clean_note(note: str) -> str | None:
     return note.strip()[:1000] or None
 
 
-def newest(rows: DataFrame, key: str, version: str) -> DataFrame:
+def newest(rows: DataFrame, key: str, version: str | Column) -> DataFrame:
     """One row for each key, the newest by ``version``."""
     others = [c for c in rows.columns if c != key]
     best = rows.groupBy(key).agg(F.max_by(F.struct(*others), version).alias("__row"))

@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from catalens.config import DEFAULTS
 from catalens.functions import text as T
+from catalens.functions import vectors as V
 from catalens.functions.urls import normalize_url
 from catalens.operators import dedup as D
 from catalens.plans.catalog_queries import normal_url_sql
 from catalens.plans.registry import Registry
 from catalens.sources.catalog import logical, logical_sql
+from catalens.streaming.incremental import DedupStore
+from catalens.streaming.jobs import each_batch, work_folder
 
 R = Registry()
 CAT = logical_sql("catalog")
 #: Pages as products: the name is the whole title, the description the whole text of the advertisement.
 TITLE, BLURB = "<title>([^<]*)</title>", "<div class=\"ad\">([^<]*)</div>"
-DOCS_SQL = f"WITH product AS (SELECT page_id AS pos, CAST(page_id AS VARCHAR) AS id, true AS enabled, regexp_extract(html, '{TITLE}', 1) AS name, regexp_extract(html, '{BLURB}', 1) AS description, url AS source_url FROM pages)"
+DOCS_SQL = f"WITH product AS (SELECT page_id AS pos, CAST(page_id AS VARCHAR) AS id, page_id % 17 <> 0 AS enabled, regexp_extract(html, '{TITLE}', 1) AS name, regexp_extract(html, '{BLURB}', 1) AS description, url AS source_url FROM pages)"
 STOP_SQL = "[" + ", ".join(f"'{w}'" for w in T.STOPWORDS) + "]"
 TOKEN_SQL = f"list_filter(regexp_extract_all(lower(name), '[a-z0-9]+'), lambda w: length(w) >= 3 AND NOT list_contains({STOP_SQL}, w))"
 #: Distinct in order: a word stays where it is seen first.
@@ -28,7 +34,16 @@ PAIRS_SQL = f"{FREQ_SQL}, shared AS (SELECT x.id AS a, y.id AS b, count(*) FILTE
 def texts(spark, sf_dir):
     rows = logical(spark, sf_dir, "page")
     part = lambda pattern: F.regexp_extract("html", pattern, 1)
-    return rows.select(F.col("page_id").alias("pos"), F.col("page_id").cast("string").alias("id"), F.lit(True).alias("enabled"), part(TITLE).alias("name"), part(BLURB).alias("description"), F.col("url").alias("source_url"))
+    return rows.select(F.col("page_id").alias("pos"), F.col("page_id").cast("string").alias("id"), (F.col("page_id") % 17 != 0).alias("enabled"), part(TITLE).alias("name"), part(BLURB).alias("description"), F.col("url").alias("source_url"))
+
+
+def with_pictures(spark, sf_dir):
+    """Pages as products, with the hashes of their pictures."""
+    hashed = logical(spark, sf_dir, "vector").select("vec_id", V.sign_hash(F.col("embedding")).alias("hash"))
+    pages = logical(spark, sf_dir, "page")
+    shown = pages.select(F.col("page_id").cast("string").alias("id"), F.explode(F.array(F.floor(F.col("page_id") / 3), F.col("page_id") + 7)).alias("vec_id"))
+    hashes = shown.join(hashed, "vec_id").groupBy("id").agg(F.collect_list("hash").alias("hashes"))  # two a page
+    return texts(spark, sf_dir).join(hashes, "id", "left")
 
 
 def score_sql(source: str) -> str:
@@ -60,9 +75,16 @@ def text_sql(pairs: str) -> str:
         FROM {pairs} p JOIN normal x ON x.id = p.a JOIN normal y ON y.id = p.b JOIN ratio rn ON rn.l = x.n AND rn.r = y.n JOIN ratio rd ON rd.l = x.d AND rd.r = y.d)"""
 
 
+#: Pages' pictures: three pages share one, and each has one of its own.
+SHOWN_SQL = "SELECT CAST(page_id AS VARCHAR) AS id, page_id // 3 AS vec_id FROM pages UNION ALL SELECT CAST(page_id AS VARCHAR), page_id + 7 FROM pages"
+IMAGE_SQL = (
+    "bits AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) > m) AS bits FROM (SELECT *, (CAST(list_sort(embedding)[32] AS DOUBLE) + CAST(list_sort(embedding)[33] AS DOUBLE)) / 2 AS m FROM embeddings)), "
+    f"shown AS (SELECT id, bits FROM ({SHOWN_SQL}) JOIN bits USING (vec_id)), image AS (SELECT p.a, p.b, max(1 - len(list_filter(range(1, 65), lambda i: x.bits[i] <> y.bits[i])) / 64) AS image FROM pairs p JOIN shown x ON x.id = p.a JOIN shown y ON y.id = p.b GROUP BY 1, 2), "
+    "judged AS (SELECT *, six(greatest(text, seen)) AS confidence, text >= 0.88 OR seen >= 0.92 AS is_duplicate FROM (SELECT s.*, CASE WHEN text >= 0.35 THEN coalesce(image, 0) ELSE 0 END AS seen FROM scored s LEFT JOIN image USING (a, b)))"
+).replace("six(greatest(text, seen))", "floor(greatest(text, seen) * 1000000 + 0.5) / 1000000")
 TEXT_SQL = DOCS_SQL + f", {PAIRS_SQL}, {text_sql('pairs')}"
 DROPS_SQL = f"keyed AS (SELECT id, {normal_url_sql('source_url')} AS canonical FROM product WHERE enabled), first AS (SELECT canonical, min(id) AS keep_id FROM keyed WHERE canonical <> '' GROUP BY canonical), by_url AS (SELECT id AS drop_id, keep_id, 1.0::DOUBLE AS confidence FROM keyed JOIN first USING (canonical) WHERE id <> keep_id)"
-BEST_SQL = "SELECT drop_id, keep_id, confidence FROM by_url UNION ALL SELECT b, arg_min(a, struct_pack(c := -floor(text * 1000000 + 0.5) / 1000000, a := a)), max(floor(text * 1000000 + 0.5) / 1000000) FROM scored WHERE text >= 0.88 AND b NOT IN (SELECT drop_id FROM by_url) {changed} GROUP BY b"
+BEST_SQL = "SELECT drop_id, keep_id, confidence FROM by_url UNION ALL SELECT b, arg_min(a, struct_pack(c := -confidence, a := a)), max(confidence) FROM judged WHERE is_duplicate AND b NOT IN (SELECT drop_id FROM by_url) GROUP BY b"
 #: Every twentieth product against all others.
 ASKED_SQL = "asked AS (SELECT q.id AS a, p.id AS b FROM product q JOIN product p ON q.pos % 20 = 0 AND q.pos <> p.pos AND p.enabled)"
 
@@ -132,39 +154,60 @@ def text_similarity(spark, sf_dir):
     return D.scored_pairs(D.candidate_pairs(products), products).select("a", "b", F.col("verdict.text").alias("score"))
 
 
-@R.add("compare", TEXT_SQL + " SELECT a, b, text >= 0.88 AS is_duplicate, floor(text * 1000000 + 0.5) / 1000000 AS confidence, CASE WHEN text >= 0.88 THEN 'text' ELSE '' END AS matched_by FROM scored")
+@R.add("compare", TEXT_SQL + f", {IMAGE_SQL} SELECT a, b, is_duplicate, confidence, concat_ws(',', CASE WHEN seen >= 0.92 THEN 'image' END, CASE WHEN text >= 0.88 THEN 'text' END) AS matched_by FROM judged")
 def compare(spark, sf_dir):
-    products = texts(spark, sf_dir)
+    products = with_pictures(spark, sf_dir)
     scored = D.scored_pairs(D.candidate_pairs(products), products)
     return scored.select("a", "b", "verdict.is_duplicate", "verdict.confidence", F.array_join("verdict.matched_by", ",").alias("matched_by"))
 
 
-@R.add("join_pairs_scored", TEXT_SQL + f", {DROPS_SQL} {BEST_SQL.format(changed='')}")
+@R.add("join_pairs_scored", TEXT_SQL + f", {IMAGE_SQL}, {DROPS_SQL} {BEST_SQL}")
 def join_pairs_scored(spark, sf_dir):
-    return D.duplicate_pairs(texts(spark, sf_dir))
+    return D.duplicate_pairs(with_pictures(spark, sf_dir))
 
 
-@R.add("stream_incremental_dedup", TEXT_SQL + f", {DROPS_SQL} " + BEST_SQL.format(changed="AND (CAST(a AS BIGINT) % 10 = 0 OR CAST(b AS BIGINT) % 10 = 0)"))
+@R.add("stream_incremental_dedup", TEXT_SQL + f", {IMAGE_SQL}, {DROPS_SQL} {BEST_SQL}")
 def stream_incremental_dedup(spark, sf_dir):
-    products = texts(spark, sf_dir)
-    return D.duplicate_pairs(products, products.filter("pos % 10 = 0").select("id"))
+    """The catalogue arrives in three batches and once more whole; the stored best pairs are those of one full run."""
+    day = F.col("pos") % 3
+    products = with_pictures(spark, sf_dir).withColumn("updated_at", F.concat(F.lit("2024-01-0"), (day + 1).cast("string")))
+    folder = work_folder(spark)
+    for arrived in (day == 0, day == 1, day == 2, F.lit(True)):
+        products.filter(arrived).coalesce(1).write.mode("append").parquet(f"{folder}/feed")
+    feed = spark.readStream.schema(products.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/feed")
+    store = DedupStore(spark, f"{folder}/store", n_buckets=8)
+    each_batch(feed, store.take, f"{folder}/checkpoint")
+    return store.best_pairs()
 
 
 def _asked(products):
-    return products.filter("pos % 20 = 0").select(F.col("pos").alias("query_id"), F.col("name").alias("query_name"), F.col("description").alias("query_description"), F.lit(None).cast("string").alias("query_url"), F.col("id").alias("query_product"))
+    return products.filter("pos % 20 = 0").select(F.col("pos").alias("query_id"), F.col("name").alias("query_name"), F.col("description").alias("query_description"), F.when(F.col("pos") % 40 == 0, F.col("source_url")).alias("query_url"), F.col("id").alias("query_product"))
 
 
-@R.add("join_theta_best", DOCS_SQL + f", {ASKED_SQL}, {text_sql('asked')} SELECT CAST(a AS BIGINT) AS query_id, b AS product_id, text >= 0.88 AS is_duplicate, floor(text * 1000000 + 0.5) / 1000000 AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY floor(text * 1000000 + 0.5) / 1000000 DESC, pos) AS nth FROM scored) WHERE nth = 1")
+@R.add(
+    "join_theta_best",
+    DOCS_SQL + f", {ASKED_SQL}, {text_sql('asked')}, address AS (SELECT pos, id, {normal_url_sql('source_url')} AS canonical FROM product), "
+    "judged AS (SELECT s.a, s.b, s.pos, text, x.canonical <> '' AND x.pos % 40 = 0 AND x.canonical = y.canonical AS same FROM scored s JOIN address x ON x.id = s.a JOIN address y ON y.id = s.b), "
+    "ranked AS (SELECT CAST(a AS BIGINT) AS query_id, b AS product_id, same OR text >= 0.88 AS is_duplicate, CASE WHEN same THEN 1.0 ELSE floor(text * 1000000 + 0.5) / 1000000 END AS confidence, pos FROM judged) "
+    "SELECT query_id, product_id, is_duplicate, confidence FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY confidence DESC, pos) AS nth FROM ranked) WHERE nth = 1",
+)
 def join_theta_best(spark, sf_dir):
+    """Of every twentieth page the best other page; every second of those pages asks with its address too."""
     products = texts(spark, sf_dir)
-    return D.best_match(_asked(products), products)
+    folder = work_folder(spark)
+
+    def keep(df):
+        path = f"{folder}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    return D.best_match(_asked(products), products, keep=keep)
 
 
 @R.add("topk_name", DOCS_SQL + f", {ASKED_SQL}, {NORMAL_SQL}, {score_sql(BOTH_SQL.format(pairs='asked'))}, ranked AS (SELECT CAST(p.a AS BIGINT) AS query_id, y.pos, round(score, 6) AS score, row_number() OVER (PARTITION BY p.a ORDER BY round(score, 6) DESC, y.pos) AS rank FROM asked p JOIN normal x ON x.id = p.a JOIN normal y ON y.id = p.b JOIN ratio ON l = x.n AND r = y.n WHERE round(score, 6) >= 0.72) SELECT query_id, pos, score, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 5")
 def topk_name(spark, sf_dir):
     """The five most similar names of all enabled products for every twentieth one's."""
     products = texts(spark, sf_dir)
-    pairs = D.against_all(_asked(products), products.filter("enabled"))
-    scored = pairs.withColumn("score", F.round(T.token_set_ratio(T.text_normalize(F.col("query_name")), T.text_normalize(F.col("name"))), 6)).filter("score >= 0.72")
+    scored = D.names_over(_asked(products), products.filter("enabled"), DEFAULTS.embed_name_confirm_threshold)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "pos"))
-    return scored.withColumn("rank", rank).filter("rank <= 5").select("query_id", "pos", "score", "rank")
+    return scored.withColumn("rank", rank).filter(F.col("rank") <= DEFAULTS.name_top_k)

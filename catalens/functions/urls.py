@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from catalens.functions.binding import once
+
 #: Query parameters that only track where a visitor came from.
 TRACKING = [
     "utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content",
@@ -57,7 +59,8 @@ def normalize_url(url: Column) -> Column:
     encoded = lambda x: F.replace(F.replace(F.url_encode(x), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
     pairs = F.transform(F.filter(F.split(query, "&"), lambda p: p.rlike("^[^=]*=.+")), lambda p: F.struct(decoded(F.regexp_extract(p, "^([^=]*)=", 1)).alias("k"), decoded(F.regexp_extract(p, "^[^=]*=(.*)$", 1)).alias("v")))
     kept = F.transform(F.array_sort(F.filter(pairs, lambda p: ~p["k"].isin(TRACKING))), lambda p: F.concat(encoded(p["k"]), F.lit("="), encoded(p["v"])))
-    return F.when((url.isNull()) | (url == ""), None).otherwise(F.concat(stem, plain_path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise("")))
+    parameters = once(F.array_join(kept, "&"), lambda q: F.when(q != "", F.concat(F.lit("?"), q)).otherwise(""))
+    return F.when((url.isNull()) | (url == ""), None).otherwise(F.concat(stem, plain_path, parameters))
 
 
 def url_similarity(a: Column, b: Column) -> Column:
@@ -88,20 +91,23 @@ def url_is_public(url: Column) -> Column:
     return F.coalesce(scheme(url).isin("http", "https") & (at != "") & ~named & ~F.coalesce(internal, F.lit(False)), F.lit(False))
 
 
+def _without_dots(address: Column) -> Column:
+    """A path without its . and .. segments, as a browser resolves it."""
+    segments = F.split(address, "/")
+    folded = F.aggregate(segments, F.array().cast("array<string>"), lambda kept, x: F.when(x == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(1)))).when(x == ".", kept).otherwise(F.concat(kept, F.array(x))))
+    ends = F.when(F.element_at(segments, -1).isin(".", ".."), F.concat(folded, F.array(F.lit("")))).otherwise(folded)
+    return F.array_join(ends, "/")
+
+
 def absolutize_url(candidate: Column, base: Column) -> Column:
-    """A picture's address made absolute; null for data:, other schemes and internal hosts. Dot segments stay."""
+    """A picture's address made absolute; null for data:, other schemes and internal hosts."""
     c = F.trim(candidate)
     origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
-    folder = F.regexp_replace(F.regexp_replace(base, r"[?#].*$", ""), r"(?<=[^/:])/[^/]*$", "")
-    full = (
-        F.when(c.startswith("data:"), None)
-        .when(c.startswith("//"), F.concat(F.lit("https:"), c))
-        .when(c.rlike("(?i)^https?://"), c)
-        .when(c.startswith("/"), F.concat(origin, c))
-        .when(c.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), c)
-        .otherwise(F.concat(folder, F.lit("/"), c))
-    )
-    return F.when((c != "") & url_is_public(full), full)
+    folder = F.regexp_extract(F.regexp_replace(base, r"[?#].*$", ""), r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/]*(/.*/|/)[^/]*$", 1)
+    place = F.when(c.startswith("/"), c).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), c))
+    resolved = F.concat(origin, _without_dots(F.regexp_extract(place, r"^([^?#]*)", 1)), F.regexp_extract(place, r"^[^?#]*(.*)$", 1))
+    full = F.when(c.startswith("data:"), None).when(c.startswith("//"), F.concat(F.lit("https:"), c)).when(c.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), c).otherwise(resolved)
+    return once(full, lambda f: F.when((c != "") & url_is_public(f), f))
 
 
 def looks_like_image(url: Column) -> Column:

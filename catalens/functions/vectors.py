@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType, LongType, StringType
 
+from catalens.functions.binding import once
+
 
 def dot(a: Column, b: Column) -> Column:
     products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
@@ -32,10 +34,10 @@ def cosine(a: Column, b: Column) -> Column:
 
 def sign_hash(v: Column) -> Column:
     """64 bits, one for each of the first 64 values: whether it is over the vector's median."""
-    values = F.slice(F.transform(v, lambda x: x.cast("double")), 1, 64)
-    ordered = F.array_sort(values)
-    median = (F.get(ordered, F.lit(31)) + F.get(ordered, F.lit(32))) / 2
-    bits = F.array_join(F.transform(values, lambda x: F.when(x > median, "1").otherwise("0")), "")
+    values = F.slice(v.cast("array<double>"), 1, 64)
+    middle = lambda ordered: (F.get(ordered, F.lit(31)) + F.get(ordered, F.lit(32))) / 2
+    median = once(F.sort_array(values), middle)
+    bits = once(median, lambda m: F.array_join(F.transform(values, lambda x: F.when(x > m, "1").otherwise("0")), ""))
     return F.conv(bits, 2, -10).cast("long")
 
 
@@ -46,7 +48,9 @@ def phash_score(a: Column, b: Column) -> Column:
 @F.pandas_udf(StringType())
 def vec_encode(v: pd.Series) -> pd.Series:
     """Base64 of the little-endian 32-bit floats."""
-    return v.map(lambda x: None if x is None else base64.b64encode(np.asarray(x, "<f4").tobytes()).decode())
+    flat = np.concatenate([np.asarray(x, "<f4") for x in v if x is not None] or [np.empty(0, "<f4")]).tobytes()  # a batch at once
+    ends = np.cumsum([0 if x is None else 4 * len(x) for x in v]).tolist()
+    return pd.Series([None if x is None else base64.b64encode(flat[end - 4 * len(x) : end]).decode() for x, end in zip(v, ends)], dtype=object)
 
 
 def vec_decode(dim: int):

@@ -233,14 +233,14 @@ def normal_url_sql(url: str) -> str:
     before = f"regexp_replace({low}, '\\?.*$', '')"
     stem = f"regexp_extract({before}, '^((?:[a-z][a-z0-9+.\\-]*:)?(?://[^/]*)?)', 1)"
     part = lambda x: f"url_decode(replace({x}, '+', ' '))"
-    pairs = f"list_transform(list_filter(string_split(regexp_extract({low}, '\\?(.*)$', 1), '&'), lambda p: strpos(p, '=') > 0 AND p NOT LIKE '%='), lambda p: struct_pack(k := {part("substr(p, 1, strpos(p, '=') - 1)")}, v := {part("substr(p, strpos(p, '=') + 1)")}))"
+    pairs = f"list_transform(list_filter(string_split(regexp_extract({low}, '\\?(.*)$', 1), '&'), lambda p: strpos(p, '=') > 0 AND strpos(p, '=') < length(p)), lambda p: struct_pack(k := {part("substr(p, 1, strpos(p, '=') - 1)")}, v := {part("substr(p, strpos(p, '=') + 1)")}))"
     code = lambda x: f"replace(url_encode({x}), '%20', '+')"
     kept = f"list_transform(list_sort(list_filter({pairs}, lambda p: NOT list_contains({TRACKING_SQL}, p.k))), lambda p: {code('p.k')} || '=' || {code('p.v')})"
     return f"CASE WHEN {url} IS NULL OR {url} = '' THEN NULL ELSE {stem} || regexp_replace(substr({before}, length({stem}) + 1), '/+$', '') || CASE WHEN len({kept}) > 0 THEN '?' || array_to_string({kept}, '&') ELSE '' END END"
 
 
 #: What is put to an address: its parameters in other orders, blanks written in two ways, signs, tracking.
-EXTRA = "z=~*&b=2&a1=2&a=x%20y&a=x+y&a=1&empty=&%C3%A9=%c3%a9&spm=1"
+EXTRA = "z=~*&b=2&a1=2&a=x%20y&a=x+y&a=1&empty=&=x&q==&%C3%A9=%c3%a9&spm=1"
 
 
 @R.add("normalize_url", f"SELECT page_id, {normal_url_sql('url')} AS canonical, {normal_url_sql('shout')} AS shouted FROM (SELECT page_id, url, chr(9) || upper(regexp_replace(url, '#.*$', '')) || CASE WHEN strpos(url, '?') > 0 THEN '&' ELSE '?' END || '{EXTRA}' || chr(10) AS shout FROM pages)")
@@ -291,10 +291,15 @@ def looks_like_image(spark, sf_dir):
     return links(spark, sf_dir).select("page_id", U.looks_like_image(F.col("link")).alias("image"))
 
 
-@R.add("absolutize_url", f"WITH {LINK_SQL} SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'https://cdn.example.com/x.png' WHEN 1 THEN CASE WHEN regexp_matches(url, '^https?://') THEN regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || '/img/y.png' END WHEN 2 THEN NULL ELSE 'https://h.example.com/z.png' END AS full_url FROM pages")
+@R.add(
+    "absolutize_url",
+    "SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'https://cdn.example.com/' || CAST(page_id AS VARCHAR) || '.png' WHEN 1 THEN origin || '/img/y.png?v=../' || CAST(page_id AS VARCHAR) WHEN 2 THEN NULL WHEN 3 THEN 'https://h.example.com/z.png' WHEN 4 THEN CASE WHEN folder = origin THEN origin ELSE regexp_replace(folder, '/[^/]*$', '') END || '/up/' || CAST(page_id AS VARCHAR) || '.png' ELSE folder || '/a/' || CAST(page_id AS VARCHAR) || '.png' END AS full_url "
+    "FROM (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]*)', 1) AS origin, regexp_replace(regexp_replace(url, '[?#].*$', ''), '/[^/]*$', '') AS folder FROM pages)",
+)
 def absolutize_url(spark, sf_dir):
-    n = F.col("page_id") % 4
-    candidate = F.when(n == 0, "//cdn.example.com/x.png").when(n == 1, "/img/y.png").when(n == 2, "data:image/png;base64,xx").otherwise(" https://h.example.com/z.png ")
+    n, k = F.col("page_id").cast("string"), F.col("page_id") % 6
+    named = lambda before, after: F.concat(F.lit(before), n, F.lit(after))
+    candidate = F.when(k == 0, named("//cdn.example.com/", ".png")).when(k == 1, named("/img/./x/../y.png?v=../", "")).when(k == 2, named("data:image/png;base64,", "")).when(k == 3, " https://h.example.com/z.png ").when(k == 4, named("../up/", ".png")).otherwise(named("a/b/../", ".png"))
     return logical(spark, sf_dir, "page").select("page_id", U.absolutize_url(candidate, F.col("url")).alias("full_url"))
 
 

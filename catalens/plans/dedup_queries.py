@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -14,6 +12,7 @@ from catalens.functions.urls import normalize_url
 from catalens.operators import dedup as D
 from catalens.plans.catalog_queries import normal_url_sql
 from catalens.plans.registry import Registry
+from catalens.plans.search_queries import stored
 from catalens.sources.catalog import logical, logical_sql
 from catalens.streaming.incremental import DedupStore
 from catalens.streaming.jobs import each_batch, work_folder
@@ -194,14 +193,7 @@ def _asked(products):
 def join_theta_best(spark, sf_dir):
     """Of every twentieth page the best other page; every second of those pages asks with its address too."""
     products = texts(spark, sf_dir)
-    folder = work_folder(spark)
-
-    def keep(df):
-        path = f"{folder}/{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    return D.best_match(_asked(products), products, keep=keep)
+    return D.best_match(_asked(products), products, keep=stored)
 
 
 @R.add("topk_name", DOCS_SQL + f", {ASKED_SQL}, {NORMAL_SQL}, {score_sql(BOTH_SQL.format(pairs='asked'))}, ranked AS (SELECT CAST(p.a AS BIGINT) AS query_id, y.pos, round(score, 6) AS score, row_number() OVER (PARTITION BY p.a ORDER BY round(score, 6) DESC, y.pos) AS rank FROM asked p JOIN normal x ON x.id = p.a JOIN normal y ON y.id = p.b JOIN ratio ON l = x.n AND r = y.n WHERE round(score, 6) >= 0.72) SELECT query_id, pos, score, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 5")

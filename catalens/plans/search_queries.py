@@ -115,9 +115,36 @@ def text_normalize(spark, sf_dir):
     return rows.select("page_id", F.length("t").cast("long").alias("n"), F.substring("t", 1, 80).alias("head"))
 
 
-@R.add("html_meta", r"SELECT page_id, substr(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')), 1, 300) AS title FROM pages")
+#: The address, origin and folder of each page, for oracles.
+PLACES_SQL = "places AS (SELECT *, CASE WHEN folder = origin THEN origin ELSE regexp_replace(folder, '/[^/]*$', '') END AS up FROM (SELECT *, regexp_extract(url, '^(https?://[^/?#]*)', 1) AS origin, regexp_replace(regexp_replace(url, '[?#].*$', ''), '/[^/]*$', '') AS folder, CAST(page_id AS VARCHAR) AS n FROM pages))"
+
+
+def _with_head(spark, sf_dir, *parts):
+    """Pages with tags of their own number put in."""
+    return logical(spark, sf_dir, "page").select("page_id", "url", F.concat("html", *parts).alias("html"))
+
+
+def _numbered(before: str, after: str):
+    return F.concat(F.lit(before), F.col("page_id").cast("string"), F.lit(after))
+
+
+@R.add(
+    "html_meta",
+    "WITH " + PLACES_SQL + r" SELECT page_id, substr(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')), 1, 300) AS title, "
+    "'https://a.co/s' || n || '.jpg,' || origin || '/o/' || n || '.jpg,' || CASE WHEN page_id % 2 = 0 THEN 'https://a.co/n.jpg,' ELSE '' END || folder || '/t.png,https://b.co/src.png' AS images, up || '/l' || n || '.gif' AS link FROM places",
+)
 def html_meta(spark, sf_dir):
-    return logical(spark, sf_dir, "page").select("page_id", H.title(F.col("html")).alias("title"))
+    """Titles, meta pictures of all six keys in their order of precedence, and image_src links, whatever the tags' order."""
+    n = F.col("page_id")
+    head = [
+        F.lit('<meta name="twitter:image:src" content="https://b.co/src.png"><meta name=\'twitter:image\' content=\'t.png\'/>'),
+        F.when(n % 2 == 0, '<META content="https://a.co/n.jpg" name="og:image">').otherwise('<meta itemprop="image" content="https://no.co/i.jpg">'),
+        _numbered('<meta property="og:image" content="/x/../o/', '.jpg">'),
+        _numbered('<link rel="preload image_src" href="../l', '.gif">'),
+        _numbered('<meta property="og:image:secure_url" content="https://a.co/s', '.jpg"><meta property="og:image:url" content="https://no.co/u.jpg">'),
+    ]
+    rows = _with_head(spark, sf_dir, *head).select("page_id", H.title(F.col("html")).alias("title"), H.meta_pictures("html", "url").alias("m"))
+    return rows.select("page_id", "title", F.array_join("m.images", ",").alias("images"), F.array_join("m.link", ",").alias("link"))
 
 
 @R.add("html_antibot", "SELECT page_id, " + " OR ".join(f"contains(lower(substr(html, 1, 4000)), '{m}')" for m in H.ANTIBOT) + " AS blocked FROM pages")
@@ -155,23 +182,44 @@ def fetch_source_1688(spark, sf_dir):
     return logical(spark, sf_dir, "page").select("page_id", P.price_cents(price["OriginalPrice"]).alias("cents"), price["OriginalCurrencyCode"].alias("currency"))
 
 
-@R.add("extract_page")
-def extract_page(spark, sf_dir):
-    return logical(spark, sf_dir, "page").select("page_id", H.extract_page("html").alias("x")).select("page_id", "x.title", F.size("x.images").alias("n_images"), "x.problem")
+_LD = '<script type="application/ld+json">'
 
 
-def _with_jsonld(spark, sf_dir):
-    """The pages with a product description of their own number put in."""
-    block = F.concat(F.lit('<script type="application/ld+json">{"@graph": [{"@type": ["Product"], "name": "Item '), F.col("page_id").cast("string"), F.lit('", "image": [{"url": "https://a.co/1.jpg"}, "https://a.co/2.jpg"], "offers": [{"lowPrice": "'), F.col("page_id").cast("string"), F.lit('.5"}]}]}</script>'))
-    return logical(spark, sf_dir, "page").select("page_id", H.extract_page(F.concat("html", block)).alias("x"))
+@R.add(
+    "extract_page",
+    "WITH " + PLACES_SQL + r", plain AS (SELECT *, page_id % 5 AS k, substr(trim(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&amp;', '&')), 1, 300) AS heading FROM places) "
+    "SELECT page_id, CASE k WHEN 0 THEN 'Item ' || n WHEN 1 THEN 'Shared ' || n ELSE heading END AS title, "
+    "CASE k WHEN 0 THEN folder || '/p' || n || '.jpg,https://a.co/og.jpg' WHEN 1 THEN origin || '/m/' || n || '.jpg' WHEN 2 THEN 'https://i.alicdn.com/' || n || '.png' ELSE '' END AS images, CASE k WHEN 3 THEN 'blocked' WHEN 4 THEN 'none_found' END AS problem FROM plain",
+)
+def extract_page(spark, sf_dir):
+    """Pages whose pictures are in a product description, in meta tags, on a picture server, behind a robot check, or nowhere."""
+    k = F.col("page_id") % 5
+    product = _numbered(_LD + '[{"@type": "product", "name": " Item ', ' ", "image": {"contentUrl": "x/../p')
+    product = F.concat(product, _numbered("", '.jpg"}}]</script><meta property="og:title" content="no"><meta property="og:image" content="https://a.co/og.jpg">'))
+    shared = F.concat(_numbered('<meta property="og:title" content="Shared ', '"><meta name="og:image" content="/logo.png">'), _numbered('<meta property="twitter:image" content="/m/', '.jpg">'))
+    head = F.when(k == 0, product).when(k == 1, shared).when(k == 2, _numbered('<script>x("https://i.alicdn.com/', '.png")</script><meta property="og:image" content="https://a.co/banner.png">')).when(k == 3, "<p>Are you a ROBOT?</p>").otherwise("")
+    rows = logical(spark, sf_dir, "page").select("page_id", "url", F.concat(head, "html").alias("html")).select("page_id", H.extract_page("html", "url").alias("x"))
+    return rows.select("page_id", "x.title", F.array_join("x.images", ",").alias("images"), "x.problem")
 
 
-@R.add("html_jsonld", "SELECT page_id, 'https://a.co/1.jpg,https://a.co/2.jpg' AS images FROM pages")
+def _with_jsonld(spark, sf_dir):
+    """The pages with a product description of their own number put in: an address, a list, an object, a graph, a list of blocks."""
+    k = F.col("page_id") % 4
+    offer = _numbered('"offers": [{"lowPrice": "', '.5"}, {"price": 1}]')
+    one = F.concat(F.lit('{"@type": "Product", "image": "/1.jpg", "offers": {"price": '), F.col("page_id").cast("string"), F.lit(', "priceCurrency": "EUR"}}'))
+    listed = F.concat(F.lit('{"@type": ["Thing", "PRODUCT"], "image": [{"url": "https://no.co/1.jpg"}, "https://a.co/2.jpg", "3.jpg"], '), offer, F.lit("}"))
+    graph = F.concat(F.lit('{"@graph": [{"@type": "product", "image": {"url": "//a.co/g.jpg"}, '), offer, F.lit("}]}"))
+    several = F.concat(F.lit('[{"@type": "Offer", "image": "https://no.co/x.jpg"}, {"@type": "Product", "image": {"contentUrl": "../c.jpg"}, '), offer, F.lit("}]"))
+    block = F.concat(F.lit(_LD), F.when(k == 0, one).when(k == 1, listed).when(k == 2, graph).otherwise(several), F.lit("</script>"))
+    return _with_head(spark, sf_dir, F.lit(_LD + "{broken</script>"), block).select("page_id", H.extract_page("html", "url").alias("x"))
+
+
+@R.add("html_jsonld", "WITH " + PLACES_SQL + " SELECT page_id, CASE page_id % 4 WHEN 0 THEN origin || '/1.jpg' WHEN 1 THEN 'https://a.co/2.jpg,' || folder || '/3.jpg' WHEN 2 THEN 'https://a.co/g.jpg' ELSE up || '/c.jpg' END AS images FROM places")
 def html_jsonld(spark, sf_dir):
     return _with_jsonld(spark, sf_dir).select("page_id", F.array_join("x.images", ",").alias("images"))
 
 
-@R.add("jsonld_price", "SELECT page_id, CAST(page_id AS DOUBLE) + 0.5 AS price, 'USD' AS currency FROM pages")
+@R.add("jsonld_price", "SELECT page_id, CASE WHEN page_id % 4 <> 0 THEN CAST(page_id AS DOUBLE) + 0.5 WHEN page_id <> 0 THEN CAST(page_id AS DOUBLE) END AS price, CASE WHEN page_id % 4 <> 0 THEN 'USD' WHEN page_id <> 0 THEN 'EUR' END AS currency FROM pages")
 def jsonld_price(spark, sf_dir):
     return _with_jsonld(spark, sf_dir).select("page_id", "x.price", "x.currency")
 
@@ -180,7 +228,7 @@ def jsonld_price(spark, sf_dir):
 def setop_concat_priority(spark, sf_dir):
     block = F.when(F.col("page_id") % 2 == 0, '<script type="application/ld+json">{"@type": "Product", "image": "https://a.co/1.jpg"}</script>').otherwise("")
     page = F.concat("html", block, F.lit('<meta property="og:image" content="https://a.co/og.jpg"> https://i.alicdn.com/late.png'))
-    return logical(spark, sf_dir, "page").select("page_id", H.extract_page(page).alias("x")).select("page_id", F.array_join("x.images", ",").alias("images"))
+    return logical(spark, sf_dir, "page").select("page_id", H.extract_page(page, F.col("url")).alias("x")).select("page_id", F.array_join("x.images", ",").alias("images"))
 
 
 # ---- vectors ---------------------------------------------------------------------------------
@@ -188,6 +236,13 @@ def setop_concat_priority(spark, sf_dir):
 VEC = logical_sql("vector")
 
 
+def stored(df):
+    """``df`` written to the shared folder and read back."""
+    path = f"{work_folder(df.sparkSession)}/rows"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def vectors(spark, sf_dir):
     return logical(spark, sf_dir, "vector").withColumnRenamed("embedding", "vector")
 
@@ -252,7 +307,16 @@ def vec_normalize(spark, sf_dir):
     return vectors(spark, sf_dir).select("vec_id", F.round(V.norm(doubled), 4).alias("before"), F.round(V.norm(V.vec_normalize(F.transform("vector", lambda x: x * 3))), 4).alias("after"))
 
 
-@R.add("vec_encode")
+_FLOAT_BITS = "CASE WHEN x = 0 THEN 0 ELSE (CASE WHEN x < 0 THEN 2147483648 ELSE 0 END) + CASE WHEN e < -126 THEN CAST(abs(x) * pow(2.0, 149) AS BIGINT) ELSE (e + 127) * 8388608 + CAST((abs(x) / pow(2.0, e) - 1) * 8388608 AS BIGINT) END END"
+_FLOOR_LOG2 = "CASE WHEN x = 0 THEN 0 WHEN pow(2.0, CAST(floor(log2(abs(x))) AS INTEGER)) > abs(x) THEN CAST(floor(log2(abs(x))) AS INTEGER) - 1 WHEN pow(2.0, CAST(floor(log2(abs(x))) AS INTEGER) + 1) <= abs(x) THEN CAST(floor(log2(abs(x))) AS INTEGER) + 1 ELSE CAST(floor(log2(abs(x))) AS INTEGER) END"
+
+
+@R.add(
+    "vec_encode",
+    VEC.rstrip() + f", flat AS (SELECT vec_id, i, x, {_FLOOR_LOG2} AS e FROM (SELECT vec_id, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM vector)), "
+    f"coded AS (SELECT vec_id, i, {_FLOAT_BITS} AS b FROM flat), "
+    "hexed AS (SELECT vec_id, string_agg(printf('%02X%02X%02X%02X', b % 256, b // 256 % 256, b // 65536 % 256, b // 16777216), '' ORDER BY i) AS h FROM coded GROUP BY vec_id) SELECT vec_id, to_base64(unhex(h)) AS text FROM hexed",
+)
 def vec_encode(spark, sf_dir):
     return vectors(spark, sf_dir).select("vec_id", V.vec_encode("vector").alias("text"))
 
@@ -294,14 +358,21 @@ def join_image_pairs(spark, sf_dir):
     return signs.join(other, "product_id").groupBy("product_id").agg(F.round(F.max(V.phash_score(F.col("h"), F.col("h2"))), 6).alias("similarity"))
 
 
-@R.add("join_phash_scan", VEC.rstrip() + f", {SIGN_SQL} SELECT query_id, product_id, score FROM (SELECT a.vec_id AS query_id, b.product_id, round({HAMMING_SQL}, 6) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({HAMMING_SQL}, 6) DESC, b.product_id) AS nth FROM signs a JOIN signs b ON a.vec_id % 20 = 0 AND b.vec_id % 2 = 0 AND a.product_id <> b.product_id) WHERE nth = 1")
+#: Every twentieth vector asks: a third with its own hash, the others with that of the next product's picture, some last bits changed.
+ASKED_HASH_SQL = "asked AS (SELECT a.vec_id AS query_id, a.product_id, CASE WHEN a.vec_id % 3 = 0 OR b.vec_id IS NULL THEN a.bits ELSE list_transform(range(1, 65), lambda i: b.bits[i] <> (i > 64 - a.vec_id % 13)) END AS bits FROM signs a LEFT JOIN signs b ON b.vec_id = a.vec_id + 2 WHERE a.vec_id % 20 = 0)"
+
+
+@R.add("join_phash_scan", VEC.rstrip() + f", {SIGN_SQL}, {ASKED_HASH_SQL} SELECT query_id, product_id, score FROM (SELECT a.query_id, b.product_id, round({HAMMING_SQL}, 6) AS score, row_number() OVER (PARTITION BY a.query_id ORDER BY round({HAMMING_SQL}, 6) DESC, b.product_id) AS nth FROM asked a JOIN signs b ON b.vec_id % 2 = 0 AND CAST(b.product_id AS BIGINT) % 17 <> 0 AND a.product_id <> b.product_id) WHERE nth = 1")
 def join_phash_scan(spark, sf_dir):
-    # the same block search over vectors of +1 and -1: their dot product is 64 - 2 * Hamming distance
-    signs = lambda v: F.transform(F.slice(v, 1, 64), lambda x: F.when(x.cast("double") > (F.get(F.array_sort(v), F.lit(31)).cast("double") + F.get(F.array_sort(v), F.lit(32)).cast("double")) / 2, 1.0).otherwise(-1.0))
-    queries = asked(spark, sf_dir).withColumn("query_vector", signs(F.col("query_vector")))
-    first = vectors(spark, sf_dir).filter("vec_id % 2 = 0").withColumn("vector", signs(F.col("vector")))
-    top = search.topk_vectors(queries, first, k=1)
-    return top.select("query_id", "product_id", F.round((F.col("score") + 64) / 128, 6).alias("score"))
+    """Query pictures against the first picture of every enabled product."""
+    signs = stored(vectors(spark, sf_dir).select("vec_id", "product_id", V.sign_hash(F.col("vector")).alias("hash")))
+    n = F.col("vec_id")
+    other = signs.select((n - 2).alias("vec_id"), F.col("hash").alias("other"))
+    changed = F.col("other").bitwiseXOR(F.expr("shiftleft(1L, int(vec_id % 13)) - 1"))
+    asks = signs.filter(n % 20 == 0).join(other, "vec_id", "left")
+    asks = asks.select(n.alias("query_id"), F.col("product_id").alias("query_product"), F.when((n % 3 == 0) | F.col("other").isNull(), F.col("hash")).otherwise(changed).alias("hash"))
+    enabled = F.col("product_id").cast("long") % 17 != 0
+    return search.nearest_hashes(asks, signs.filter((n % 2 == 0) & enabled).select("product_id", "hash"), keep=stored)
 
 
 @R.add("join_price_by_image", SCORED_SQL.rstrip() + ", prices AS (SELECT CAST(p_partkey AS VARCHAR) AS product_id, p_retailprice AS price FROM part) SELECT query_id, r.product_id, price FROM ranked r LEFT JOIN prices p ON r.product_id = p.product_id WHERE rank = 1")

@@ -12,7 +12,7 @@ from catalens.config import DEFAULTS
 from catalens.functions.text import STOPWORDS, token_set_score
 from catalens.operators import dedup as D
 from catalens.operators import forms, log, pricing, quality, search
-from catalens.streaming import jobs
+from catalens.streaming import jobs, ordered
 
 
 def products(spark, names, **more):
@@ -145,7 +145,7 @@ def test_confirmed_name_beats_a_better_picture(spark):
 def brute_rate_limit(times, limit, window):
     log_, out = [], []
     for t in times:
-        log_ = [x for x in log_ if x > t - window]
+        log_ = [x for x in log_ if x >= t - window]
         out.append(len(log_) < limit)
         if out[-1]:
             log_.append(t)
@@ -153,8 +153,8 @@ def brute_rate_limit(times, limit, window):
 
 
 def test_rate_limit_does_not_count_rejections(spark, sf_dir):
-    rows = jobs.stream_table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), "event_id", F.col("ts").cast("timestamp").alias("ts"))
-    got = {r["event_id"]: r["allowed"] for r in jobs.drain(jobs.rate_limit(rows, limit=2, seconds=86400)).collect()}
+    rows = jobs.stream_table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), "event_id", F.col("ts").cast("timestamp").alias("at"))
+    got = {r["event_id"]: r["allowed"] for r in jobs.drain(rows, lambda s: ordered.rate_limit(s, limit=2, seconds=86400)).collect()}
     events = spark.read.parquet(f"{sf_dir}/events.parquet").toPandas().sort_values(["ts", "event_id"])
     for _, group in events.groupby("user_id"):
         expected = brute_rate_limit(group["ts"].astype("datetime64[us]").astype("int64").tolist(), 2, 86400 * 1_000_000)

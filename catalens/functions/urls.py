@@ -80,15 +80,25 @@ def detect_marketplace(url: Column) -> Column:
 
 
 def url_is_public(url: Column) -> Column:
-    """http(s) with a host that is no internal name and no literal address of an internal range."""
+    """http(s) with a host that is no internal name and no literal address of an internal, reserved or documentation range.
+
+    An address in brackets is public within 2000::/3, but for its private and documentation ranges; one
+    that holds an IPv4 address counts as that.
+    """
     at = host(url)
-    part = lambda k: F.regexp_extract(at, r"^(\d+)\.(\d+)\.(\d+)\.(\d+)$", k).try_cast("int")
-    a, b = part(1), part(2)
+    inner = F.regexp_extract(at, r"^\[(.*)\]$", 1)
+    mapped = F.regexp_extract(inner, r"^(?:0*:)*:?ffff:(\d+\.\d+\.\d+\.\d+)$", 1)
+    four = F.when(mapped != "", mapped).otherwise(at)
+    part = lambda k: F.regexp_extract(four, r"^(\d+)\.(\d+)\.(\d+)\.(\d+)$", k).try_cast("int")
+    a, b, c = part(1), part(2), part(3)
     internal = (
         a.isin(0, 10, 127) | (a >= 224) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 169) & (b == 254)) | ((a == 100) & b.between(64, 127)) | ((a == 198) & b.isin(18, 19))
     )
-    named = (at == "localhost") | at.endswith(".local") | at.endswith(".internal") | at.isin("::1", "[::1]")
-    return F.coalesce(scheme(url).isin("http", "https") & (at != "") & ~named & ~F.coalesce(internal, F.lit(False)), F.lit(False))
+    documented = ((a == 192) & (b == 0) & c.isin(0, 2)) | ((a == 198) & (b == 51) & (c == 100)) | ((a == 203) & (b == 0) & (c == 113))
+    six = (inner != "") & (mapped == "")
+    private6 = ~inner.rlike("^[23][0-9a-f]{3}:") | inner.rlike("^(?:2001:(?::|0?db8:|0*1?[0-9a-f]{1,2}:)|2002:|3fff:(?::|0?[0-9a-f]{1,3}:))")
+    named = (at == "localhost") | at.endswith(".local") | at.endswith(".internal") | (at == "::1")
+    return F.coalesce(scheme(url).isin("http", "https") & (at != "") & ~named & ~F.coalesce(internal | documented, F.lit(False)) & ~(six & private6), F.lit(False))
 
 
 def _without_dots(address: Column) -> Column:

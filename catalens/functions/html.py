@@ -66,6 +66,10 @@ def listed_price(page: Column) -> Column:
     return F.coalesce(F.replace(activity, F.lit(","), F.lit(".")).try_cast("double"), low.try_cast("double"))
 
 
+#: The parts of a page that are parsed; comments and scripts are matched so that nothing inside them is taken for a tag.
+PARTS = re.compile(r"""(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<title\b[^>]*>.*?</title\s*>|<(?:meta|link)\b(?:"[^"]*"|'[^']*'|[^>"'])*>""")
+
+
 class _Tags(HTMLParser):
     """A page's meta and link tags, its product descriptions and its title."""
 
@@ -76,7 +80,9 @@ class _Tags(HTMLParser):
         self.blocks: list[str] = []
         self.title: str | None = None
         self._text: list[str] | None = None
-        self.feed(page)
+        for part in PARTS.findall(page):
+            if not part.startswith("<!--") and (part[1:7].lower() != "script" or "ld+json" in part):
+                self.feed(part)
         self.close()
 
     def handle_starttag(self, tag, attrs):

@@ -187,7 +187,7 @@ _LD = '<script type="application/ld+json">'
 
 @R.add(
     "extract_page",
-    "WITH " + PLACES_SQL + r", plain AS (SELECT *, page_id % 5 AS k, substr(trim(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&amp;', '&')), 1, 300) AS heading FROM places) "
+    "WITH " + PLACES_SQL + r", plain AS (SELECT *, page_id % 5 AS k, substr(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&quot;?', chr(34), 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;?', '&', 'g')), 1, 300) AS heading FROM places) "
     "SELECT page_id, CASE k WHEN 0 THEN 'Item ' || n WHEN 1 THEN 'Shared ' || n ELSE heading END AS title, "
     "CASE k WHEN 0 THEN folder || '/p' || n || '.jpg,https://a.co/og.jpg' WHEN 1 THEN origin || '/m/' || n || '.jpg' WHEN 2 THEN 'https://i.alicdn.com/' || n || '.png' ELSE '' END AS images, CASE k WHEN 3 THEN 'blocked' WHEN 4 THEN 'none_found' END AS problem FROM plain",
 )

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalens.llm._blobs import attempt_name, open_folder
-from catalens.llm._common import materialize, scratch_path
+from catalens.llm._common import drop_scratch, materialize, scratch_path
 
 MARKER = b"WARC/1.1\r\n"
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -31,9 +31,10 @@ MAX_BROADCAST_PAYLOADS = 200_000
 #: Fixed value of the format: the profile of revisits by payload digest.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
-_LENGTH = re.compile(rb"\r\nContent-Length: *(\d{1,18})\r\n", re.IGNORECASE)
-#: The lines of a header block, the last of which may be incomplete.
-_LINES = re.compile(rb"WARC/1\.1\r\n(?:[A-Za-z-]+:[^\r\n]*\r\n)*+(?:[A-Za-z-]*|[A-Za-z-]+:[^\r\n]*)\r?\Z")
+#: One line of a header block (a field, or the blank line that ends the block), and such a line whose end is not read yet.
+_LINE = re.compile(rb"(?:([!#$%&'*+\-.^_`|~0-9A-Za-z]+):([^\r\n]*))?\r\n")
+_CUT_LINE = re.compile(rb"(?:[!#$%&'*+\-.^_`|~0-9A-Za-z]+(?::[^\r\n]*)?)?\r?\Z")
+_DIGITS = re.compile(rb" *(\d{1,18}) *")
 _FIELD = re.compile(rb"\r\n([A-Za-z-]+): *([^\r\n]*)")
 
 
@@ -99,23 +100,46 @@ def write_warc(pages: DataFrame, folder: str, min_payload: int = 0) -> DataFrame
     return named.join(first, ["sha1", "n"], "left").mapInArrow(write, "path string, n_records long, n_bytes long")
 
 
-def _header_at(data: bytes, at: int) -> tuple[int, int] | None:
-    """Where the block of a possible record at ``at`` starts and how long it is; None if that is no record."""
-    end = data.find(b"\r\n\r\n", at)
-    length = _LENGTH.search(data, at, end + 2) if end >= 0 else None
-    return (end + 4, int(length.group(1))) if length else None
+class Headers:
+    """Header blocks in a part of a file that begins at ``start``; a block that goes on beyond ``data`` is read to its end.
 
+    The blocks of markers that lie in one another's headers end together, so every line is looked at
+    once for all of them: the time is linear in the bytes, whatever a payload repeats.
+    """
 
-def _whole_header(stream, start: int, data: bytes, at: int) -> bytes:
-    """``data`` (from place ``start`` of the file), read on until the header block at ``at`` ends or is seen to be none."""
-    more = HEADER_READ
-    while data.find(b"\r\n\r\n", at) < 0 and _LINES.match(data, at):
-        stream.seek(start + len(data))
-        rest = stream.read(more)
-        if not rest:
-            break
-        data, more = data + rest, 2 * more
-    return data
+    def __init__(self, stream, start: int, data: bytes):
+        self.stream, self.start, self.data, self.more = stream, start, data, HEADER_READ
+        self.known: dict[int, tuple[int, int | None] | None] = {}  # by the first line's place: end and length
+
+    def _read_on(self) -> bool:
+        self.stream.seek(self.start + len(self.data))
+        rest = self.stream.read(self.more)
+        self.data, self.more = self.data + rest, 2 * self.more
+        return bool(rest)
+
+    def at(self, at: int) -> tuple[int, int] | None:
+        """Where the block of a possible record at ``at`` starts and how long it is; None if that is no record."""
+        first = line = at + len(MARKER)
+        walked: list[tuple[int, int | None]] = []
+        while line not in self.known:
+            found = _LINE.match(self.data, line)
+            if found is None:
+                if _CUT_LINE.match(self.data, line) and self._read_on():
+                    continue
+                self.known[line] = None
+            elif found.group(1) is None:
+                self.known[line] = (found.end(), None)
+            else:
+                digits = found.group(1).lower() == b"content-length" and _DIGITS.fullmatch(found.group(2))
+                walked.append((line, int(digits.group(1)) if digits else None))
+                line = found.end()
+        end = self.known[line]
+        for place, length in reversed(walked):  # of several lengths the first counts
+            if end is not None and length is not None:
+                end = (end[0], length)
+            if place == first or self.data.startswith(MARKER, place - len(MARKER)):
+                self.known[place] = end
+        return None if end is None or end[1] is None else end
 
 
 def boundary_candidates(manifest: DataFrame, folder: str, stretch: int) -> DataFrame:
@@ -133,10 +157,9 @@ def boundary_candidates(manifest: DataFrame, folder: str, stretch: int) -> DataF
                     stream.seek(begin)
                     data = stream.read(stretch + HEADER_READ)
                     found: list[tuple[int, int]] = []
-                    at = data.find(MARKER)
+                    headers, at = Headers(stream, begin, data), data.find(MARKER)
                     while 0 <= at < stretch:
-                        data = _whole_header(stream, begin, data, at)
-                        head = _header_at(data, at)
+                        head = headers.at(at)
                         if head:
                             found.append((begin + at, begin + head[0] + head[1] + 4))
                         at = data.find(MARKER, at + 1)
@@ -161,14 +184,18 @@ def reachable_entries(candidates: DataFrame) -> DataFrame:
     known = reached.count()
     while True:
         step = reached.join(hops.hint("merge"), ["path", "at"]).select("path", F.col("to").alias("at"))
-        reached = materialize(reached.union(step).distinct(), "warc-reached")
+        before, reached = reached, materialize(reached.union(step).distinct(), "warc-reached")
+        drop_scratch(before)
         now = reached.count()
         if now == known:  # the chain has no place further on
+            drop_scratch(hops)
             return reached
         known = now
         after = hops.select("path", F.col("at").alias("to"), F.col("to").alias("beyond"))
         # a pointer that leaves the chain's last record stays where it is
-        hops = materialize(hops.join(after.hint("merge"), ["path", "to"], "left").select("path", "at", F.coalesce("beyond", "to").alias("to")), "warc-hops")
+        longer = materialize(hops.join(after.hint("merge"), ["path", "to"], "left").select("path", "at", F.coalesce("beyond", "to").alias("to")), "warc-hops")
+        drop_scratch(hops)
+        hops = longer
 
 
 def read_warc(manifest: DataFrame, folder: str, stretch: int = 4 << 20) -> DataFrame:
@@ -185,7 +212,9 @@ def read_warc(manifest: DataFrame, folder: str, stretch: int = 4 << 20) -> DataF
     broken = manifest.filter("n_bytes > 0").join(ended, "path", "left_anti").select("path").take(1)
     if broken:
         raise ValueError(f"the chain of records in {broken[0][0]} does not reach its end")
-    starts = entries.join(candidates.select("path", "begin", "at").hint("merge"), ["path", "at"]).select("path", "begin", "at")
+    starts = materialize(entries.join(candidates.select("path", "begin", "at").hint("merge"), ["path", "at"]).select("path", "begin", "at"), "warc-starts")
+    drop_scratch(entries)
+    drop_scratch(candidates)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = open_folder(folder)
@@ -199,8 +228,9 @@ def read_warc(manifest: DataFrame, folder: str, stretch: int = 4 << 20) -> DataF
                 with store.open_input_file(path) as stream:
                     while at < min(begin + stretch, size):  # from the entry on, successor by successor
                         stream.seek(at)
-                        head = _whole_header(stream, at, stream.read(HEADER_READ), 0)
-                        block_at, length = _header_at(head, 0)
+                        headers = Headers(stream, at, stream.read(HEADER_READ))
+                        block_at, length = headers.at(0)
+                        head = headers.data
                         fields = {k.lower(): v.decode() for k, v in _FIELD.findall(head[: block_at - 2])}
                         block = head[block_at : block_at + length]
                         if len(block) < length:
@@ -227,7 +257,11 @@ def read_warc(manifest: DataFrame, folder: str, stretch: int = 4 << 20) -> DataF
 
 
 def warc_round_trip(spark: SparkSession, pages: DataFrame, min_payload: int = 0, stretch: int = 4 << 20) -> DataFrame:
-    """Write all ``pages`` as archives in the shared folder and read them back (see write_warc, read_warc)."""
+    """Write all ``pages`` as archives in the shared folder and read them back (see write_warc, read_warc).
+
+    An empty table gives no rows; columns of other names are ignored. The archives stay as long as the
+    rows are to be read; inside a scratch_scope they go at its end.
+    """
     folder = scratch_path(spark, "warc")
     manifest = materialize(write_warc(pages, folder, min_payload), "warc-manifest")
     return read_warc(manifest, folder, stretch)

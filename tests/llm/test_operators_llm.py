@@ -8,6 +8,7 @@ import io
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -382,6 +383,25 @@ def test_archives_round_trip(spark, stretch):
     assert {bytes(r["payload"]) for r in got if r["payload"] is not None} == {(h or "").encode() for _, _, h in rows}
 
 
+@pytest.mark.parametrize("line", [b"WARC/1.1\r\n", b"a:WARC/1.1\r\n", b"Content-Length: 7\r\nx:WARC/1.1\r\n"])
+def test_markers_in_a_payload_take_linear_time(line):
+    data = line * ((4 << 20) // len(line))
+    headers, began = W.Headers(io.BytesIO(data), 0, data[: W.HEADER_READ]), time.process_time()
+    at, n = data.find(W.MARKER), 0
+    while at >= 0:
+        assert headers.at(at) is None  # no blank line ends a header
+        at, n = data.find(W.MARKER, at + 1), n + 1
+    assert n == len(data) // len(line) and time.process_time() - began < 3  # about 0.5 s; the square would take hours
+
+
+def test_headers_that_share_their_end():
+    data = b"WARC/1.1\r\na:WARC/1.1\r\nContent-length: 5 \r\nb: WARC/1.1\r\nContent-Length: 6\r\n\r\nrest WARC/1.1\r\nbad line\r\n\r\n"
+    places = [m.start() for m in re.finditer(re.escape(W.MARKER), data)]
+    headers, end = W.Headers(io.BytesIO(data), 0, data[:20]), data.index(b"rest")
+    assert [headers.at(p) for p in places] == [(end, 5), (end, 5), (end, 6), None]
+    assert [headers.at(p) for p in places[::-1]] == [None, (end, 6), (end, 5), (end, 5)]
+
+
 def test_archive_that_breaks_off_is_refused(spark, tmp_path):
     good = W.record(1, "u", b"x" * 50, W.payload_digest(b"x" * 50), None)
     (tmp_path / "a.warc").write_bytes(good + good[:-30])

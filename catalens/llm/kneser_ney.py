@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from catalens.llm._blobs import attempt_name, open_folder
-from catalens.llm._common import materialize, scratch_path
+from catalens.llm._common import drop_scratch, materialize, scratch_path
 from catalens.llm._text import WordHashes, folded_words, mix
 
 HASH_BITS = 48
@@ -155,13 +155,14 @@ class Model:
 
 
 def _write_arrays(folder: str, stem: str, keys: np.ndarray, values: list[np.ndarray]) -> str:
-    """One file: the keys, then each array of values in the width (4 or 8 bytes) that all of them fit."""
-    width = "<u4" if all(v.max(initial=0) < 1 << 32 for v in values) else "<u8"
+    """One file: the width of each array of values (a byte each, eight in all), the keys, and the arrays in the least width that they fit."""
+    widths = [next(w for w in (1, 2, 4, 8) if int(v.max(initial=0)) < 1 << 8 * w) for v in values]
     store, root = open_folder(folder)
     store.create_dir(root, recursive=True)
     path = attempt_name(root, stem, ".arrays")
     with store.open_output_stream(path, compression=None) as out:
-        for a in (keys.astype("<u8"), *[v.astype(width) for v in values]):
+        out.write(bytes(widths).ljust(8, b"\0"))
+        for a in (keys.astype("<u8"), *[v.astype(f"<u{w}") for v, w in zip(values, widths)]):
             out.write(a.tobytes())
     return path
 
@@ -207,18 +208,20 @@ def train(docs: DataFrame, learn: Column, order: int = 2, buckets: int | None =
 
     stats: list = []
     discounts: dict[int, list[float]] = {}
-    rows = texts.mapInArrow(count, BLOCK)
+    rows, before = texts.mapInArrow(count, BLOCK), None
     for k in range(order, 0, -1):
-        rows = materialize(rows.groupBy("kind", "bucket").applyInArrow(_order_step(folder, k, order, buckets), f"{BLOCK}, path string, s array<long>"), f"kneser-ney-{k}")
-        stats += rows.filter("path IS NOT NULL").select("kind", "bucket", "n", "path", "s").collect()  # one row a bucket
+        made = materialize(rows.groupBy("kind", "bucket").applyInArrow(_order_step(folder, k, order, buckets), f"{BLOCK}, path string, s array<long>"), f"kneser-ney-{k}")
+        if before is not None:
+            drop_scratch(before)
+        before = made
+        stats += made.filter("path IS NOT NULL").select("kind", "bucket", "n", "path", "s").collect()  # a row a bucket and kind
         found = np.sum([r["s"] for r in stats if r["kind"] == f"grams{k}"], axis=0) if any(r["kind"] == f"grams{k}" for r in stats) else np.zeros(5, np.int64)
         n1, n2, n3, n4 = (int(x) for x in found[1:5])
         y = n1 / (n1 + 2 * n2) if n1 + n2 else 0.0
         # where counts of counts are missing a discount keeps to its bounds
         discounts[k] = [min(max(j - (j + 1) * y * (b / a if a else 0.0), 0.0), float(j)) for j, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
-        rows = rows.filter("path IS NULL").select("kind", "bucket", "n", "block")
-    contexts = materialize(rows.groupBy("kind", "bucket").applyInArrow(_context_step(folder, buckets), f"{BLOCK}, path string, s array<long>"), "kneser-ney-contexts")
-    stats += contexts.select("kind", "bucket", "n", "path", "s").collect()
+        rows = made.filter("path IS NULL").select("kind", "bucket", "n", "block")
+    drop_scratch(before)
     files: dict[str, list] = {}
     low = np.sum([r["s"] for r in stats if r["kind"] == "grams1"], axis=0) if any(r["kind"] == "grams1" for r in stats) else np.zeros(5, np.int64)
     n_low = sum(r["n"] for r in stats if r["kind"] == "grams1")
@@ -231,49 +234,37 @@ def train(docs: DataFrame, learn: Column, order: int = 2, buckets: int | None =
 
 
 def _order_step(folder: str, k: int, order: int, buckets: int):
-    """Merges one bucket of an order's n-grams (or of the words), stores it, and passes on endings and contexts."""
+    """Merges and stores one bucket of an order's n-grams, of the words, or of the contexts that the order above passed on."""
+    schema = pa.schema([("kind", pa.string()), ("bucket", pa.int32()), ("n", pa.int64()), ("block", pa.binary()), ("path", pa.string()), ("s", pa.list_(pa.int64()))])
 
     def step(keys: tuple, table: pa.Table) -> pa.Table:
         kind, bucket = keys[0].as_py(), keys[1].as_py()
-        schema = pa.schema([("kind", pa.string()), ("bucket", pa.int32()), ("n", pa.int64()), ("block", pa.binary()), ("path", pa.string()), ("s", pa.list_(pa.int64()))])
-        if kind not in (f"grams{k}", "words") or (kind == "words" and k != order):  # contexts wait for the last step
-            n = table.num_rows
-            return pa.table([table.column("kind"), table.column("bucket"), table.column("n"), table.column("block"), pa.nulls(n, pa.string()), pa.nulls(n, pa.list_(pa.int64()))], schema=schema)
-        width = 1 if kind == "words" else k
-        columns, (counts,) = _merged(table, width, 1)
+        if kind == f"contexts{k + 1}":
+            (key,), sums = _merged(table, 1, 4)
+            rows = [(kind, bucket, len(key), None, _write_arrays(folder, f"{kind}-{bucket:06d}", key, sums), [int(sums[0].sum())])]
+            return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+        columns, (counts,) = _merged(table, 1 if kind == "words" else k, 1)
         grams = np.stack(columns, axis=1)
         key = gram_hash(grams)
         by_key = np.argsort(key, kind="stable")
         path = _write_arrays(folder, f"{kind}-{bucket:06d}", key[by_key], [counts[by_key]])
         s = [int(counts.sum()), *[int((counts == j).sum()) for j in (1, 2, 3, 4)]]
-        rows: list[tuple] = [(kind, bucket, len(key), None, path, s)]
+        rows = [(kind, bucket, len(key), None, path, s)]
         if kind == "words":
             if order == 1:  # the words are the n-grams of order 1
                 extra = _write_arrays(folder, f"grams1-{bucket:06d}", key[by_key], [counts[by_key]])
                 rows.append(("grams1", bucket, len(key), None, extra, s))
-        else:
-            if k > 1:
-                ones = np.ones(len(counts), np.int64)
-                ends, (times,) = sum_by_key(columns[1:], [ones])
-                rows += [(*r, None, None) for r in _blocks(f"grams{k - 1}", gram_hash(np.stack(ends, axis=1)), ends, [times], buckets)]
-                context = gram_hash(grams[:, :-1])
-                kept, sums = sum_by_key([context], [counts, *[(counts == j).astype(np.int64) for j in (1, 2)], (counts >= 3).astype(np.int64)])
-                rows += [(*r, None, None) for r in _blocks(f"contexts{k}", kept[0], kept, sums, buckets)]
+        elif k > 1:
+            ends, (times,) = sum_by_key(columns[1:], [np.ones(len(counts), np.int64)])
+            rows += [(*r, None, None) for r in _blocks(f"grams{k - 1}", gram_hash(np.stack(ends, axis=1)), ends, [times], buckets)]
+            context = gram_hash(grams[:, :-1])
+            kept, sums = sum_by_key([context], [counts, *[(counts == j).astype(np.int64) for j in (1, 2)], (counts >= 3).astype(np.int64)])
+            rows += [(*r, None, None) for r in _blocks(f"contexts{k}", kept[0], kept, sums, buckets)]
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
     return step
 
 
-def _context_step(folder: str, buckets: int):
-    def step(keys: tuple, table: pa.Table) -> pa.Table:
-        kind, bucket = keys[0].as_py(), keys[1].as_py()
-        (key,), sums = _merged(table, 1, 4)
-        path = _write_arrays(folder, f"{kind}-{bucket:06d}", key, sums)
-        return pa.table([pa.array([kind]), pa.array([bucket], pa.int32()), pa.array([len(key)], pa.int64()), pa.array([None], pa.binary()), pa.array([path]), pa.array([[int(sums[0].sum())]], pa.list_(pa.int64()))], names=["kind", "bucket", "n", "block", "path", "s"])
-
-    return step
-
-
 class MappedArrays:
     """The sorted hash arrays of one kind, mapped into memory bucket by bucket as they are asked for."""
 
@@ -289,13 +280,13 @@ class MappedArrays:
         if b not in self.open:
             path, n = self.files[b]
             if isinstance(self.store, fs.LocalFileSystem):
-                raw = np.memmap(path, np.uint8, "r") if n else np.zeros(0, np.uint8)
+                raw = np.memmap(path, np.uint8, "r")
             else:  # a store that can't be mapped: the bucket is read, and few are kept
                 with self.store.open_input_stream(path, compression=None) as source:
                     raw = np.frombuffer(source.read(), np.uint8)
-            width = (len(raw) - 8 * n) // max(1, n * self.n_values)
-            at = lambda k: 8 * n + width * n * k
-            self.open[b] = raw[: 8 * n].view("<u8"), [raw[at(k) : at(k + 1)].view(f"<u{width}") for k in range(self.n_values)] if n else [np.zeros(0, np.int64)] * self.n_values
+            widths = [int(w) for w in raw[: self.n_values]]
+            at = np.cumsum([8 + 8 * n, *[w * n for w in widths]]).tolist()
+            self.open[b] = raw[8 : at[0]].view("<u8"), [raw[a:z].view(f"<u{w}") for a, z, w in zip(at, at[1:], widths)]
             if len(self.open) > (4096 if isinstance(self.store, fs.LocalFileSystem) else 8):
                 self.open.popitem(last=False)
         return self.open[b]
@@ -374,7 +365,7 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` (doc_id, text) with n_tokens, n_known, train_tokens, base_score, score and perplexity of each whole text.
 
     A null or empty text has one token, its end. Longer texts than BATCH_WORDS are scored whole.
-    Columns of these names are replaced.
+    Repeated rows are scored each, an empty table gives no rows, and columns of these names are replaced.
     """
     made = {"n_tokens": "long", "n_known": "long", "train_tokens": "long", "base_score": "double", "score": "double", "perplexity": "double"}
     docs = docs.drop(*made)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalens.llm._common import crc32_mod, table
+from catalens.llm._common import crc32_mod, scratch_scope, table
 from catalens.llm.adaptive_quality import quality_verdicts, verdict_sql
 from catalens.llm.cgk_decontam import find_items
 from catalens.llm.hard_negatives import hard_negatives, hard_negatives_sql, whole_vectors
@@ -29,8 +29,9 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = crc32_mod(F.col("doc_id"), 5) == 1
-    model = train(docs, ~held_out, order=3)
-    return score_texts(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
+    with scratch_scope(spark) as keep:
+        model = train(docs, ~held_out, order=3)
+        return keep(score_texts(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text"), "scores")
 
 
 def op3_cgk_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,12 +39,15 @@ def op3_cgk_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_warc_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = warc_round_trip(spark, table(spark, sf_dir, "pages"), min_payload=0)
-    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    with scratch_scope(spark) as keep:
+        read = warc_round_trip(spark, table(spark, sf_dir, "pages"), min_payload=0)
+        return keep(read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), "pages-read")
 
 
 def op5_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_verdicts(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    with scratch_scope(spark) as keep:
+        judged = quality_verdicts(table(spark, sf_dir, "documents"))
+        return keep(judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"), "verdicts")
 
 
 def op6_zstd_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,12 +58,14 @@ def op6_zstd_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan_secrets(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "ordinal", F.sha2("candidate", 256).alias("candidate_sha256"), F.length("candidate").cast("long").alias("n_chars"), "score", "is_secret")
+    with scratch_scope(spark) as keep:
+        found = scan_secrets(table(spark, sf_dir, "documents"))
+        return keep(found.select("doc_id", "ordinal", F.sha2("candidate", 256).alias("candidate_sha256"), F.length("candidate").cast("long").alias("n_chars"), "score", "is_secret"), "secrets")
 
 
 def op8_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_digests(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    with scratch_scope(spark) as keep:
+        return keep(token_digests(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")), "digests")
 
 
 def op9_piece_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,8 +73,9 @@ def op9_piece_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = kd_shards(table(spark, sf_dir, "documents"), n_shards=40)
-    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    with scratch_scope(spark) as keep:
+        placed = kd_shards(table(spark, sf_dir, "documents"), n_shards=40)
+        return keep(placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")), "shards")
 
 
 def op11_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:

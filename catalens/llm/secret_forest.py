@@ -1,8 +1,11 @@
 """Secret scanning: pattern candidates, then a random forest that removes false positives.
 
 DataFrame operations only. ``secret_candidates`` cuts the candidates out of whole texts with one
-pattern; ``labelled_findings`` gives training labels from the grammar around a candidate where no
-reviewed findings are at hand; ``forest_scores`` trains on them and scores every candidate.
+pattern, and ``forest_scores`` trains a forest on labelled findings and scores every candidate.
+Labels come from outside the features: where no reviewed findings are given, ``planted_findings``
+puts secrets and look-alikes (checksums, identifiers, placeholders, settings named after a
+credential) into lines, so that what a candidate is follows from how its line was made.
+``grammar_label`` is the plain rule that the forest is measured against; it decides nothing.
 """
 
 from __future__ import annotations
@@ -10,7 +13,7 @@ from __future__ import annotations
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalens.llm._common import materialize
@@ -40,7 +43,13 @@ BOUND = r"(?:[:=]>?\s*|\b(?i:bearer|basic)\s+)[\"'`]?$"
 #: Values that stand for a credential or hold none: variables, placeholders, literals of languages, calls.
 STAND_IN = r"^(?:[$%].*|\{\{.*|(?i:null|none|nil|true|false|undefined|str|string|required|optional|yes|no)|[xX*.]{3,}|\w[\w.]*\(.*)$"
 
-FEATURES = ["length", "digits", "uppers", "symbols", "transitions", "distinct_chars", "hex_only", "vowels", "dictionary", "path_like", "assigned", "quoted", "keyword_near", "previous_length", "next_plain"]
+#: What a name goes on with that holds no credential itself.
+SETTING = r"(?:file|path|dir|url|uri|endpoint|expires|expiry|expiration|ttl|timeout|count|limit|length|len|min|max|size|type|name|policy|version|status|enabled|header|field|hint|format|prefix)"
+QUALIFIED = rf"{CREDENTIAL}(?:[_\-][\w\-]*)?[_\-](?i:{SETTING})[\w\-]*[\"'\]]{{0,2}}[ \t]{{0,8}}(?:=>|:=|=|:)[ \t]{{0,8}}[\"'`]?$"
+#: Words of placeholders, which the dictionary has beside the corpus's frequent words.
+PLACEHOLDER_WORDS = "your here change changeme example placeholder default dummy sample insert replace enter value name file path user api key token secret password goes put fill todo redacted hidden".split()
+
+FEATURES = ["length", "digits", "uppers", "symbols", "transitions", "distinct_chars", "hex_only", "vowels", "dictionary", "path_like", "assigned", "quoted", "keyword_near", "previous_length", "next_plain", "named", "qualified", "issued", "stand_in", "prose"]
 
 
 def secret_candidates(docs: DataFrame, context: int = 64) -> DataFrame:
@@ -70,9 +79,9 @@ def _parts(text: str) -> Column:
 
 
 def common_words(docs: DataFrame, n: int = 400, min_length: int = 4) -> list[str]:
-    """The ``n`` most frequent lower-case words of all texts (ties in word order); the list is bounded by ``n``."""
+    """The ``n`` most frequent lower-case words of all texts that occur more than once (ties in word order); the list is bounded by ``n``."""
     words = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(rf"[a-z]{{{min_length},}}"), F.lit(0))).alias("word"))
-    return [r["word"] for r in words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(n).collect()]
+    return [r["word"] for r in words.groupBy("word").count().filter("count > 1").orderBy(F.desc("count"), "word").limit(n).collect()]
 
 
 def finding_features(found: DataFrame, words: list[str]) -> DataFrame:
@@ -102,30 +111,89 @@ def finding_features(found: DataFrame, words: list[str]) -> DataFrame:
         flag(F.col("left").rlike(KEYWORDS)).alias("keyword_near"),
         F.length(previous).cast("double").alias("previous_length"),
         flag(F.col("right").rlike(r"^\s+[a-z]")).alias("next_plain"),
+        flag(F.col("left").rlike(INTRODUCED + "$")).alias("named"),
+        flag(F.col("left").rlike(QUALIFIED)).alias("qualified"),
+        flag(_issued(c)).alias("issued"),
+        flag(c.rlike(STAND_IN)).alias("stand_in"),
+        flag(_prose(c, F.col("left"), F.col("right"))).alias("prose"),
     )
 
 
+def _issued(candidate: Column) -> Column:
+    return candidate.rlike(ISSUED) & (F.length(candidate) >= 16) & candidate.rlike("[0-9A-Z]")
+
+
+def _prose(candidate: Column, left: Column, right: Column) -> Column:
+    """A plain word that a sentence goes on from."""
+    return candidate.rlike("^[A-Z]?[a-z]+$") & left.rlike(r"\s$") & right.rlike(r"^[,.;:!?]?\s+[A-Za-z]")
+
+
 def grammar_label(candidate: Column, left: Column, right: Column) -> Column:
-    """A weak label of a finding: 1 for an issued prefix or a value bound to a credential's name, 0 for
+    """What a plain rule says of a finding: 1 for an issued prefix or a value bound to a credential's name, 0 for
     all-digit numbers, parts of addresses and paths, stand-ins, a plain word that prose goes on from, and
-    words with neither; null (not used for training) between.
+    words with neither; null between.
     """
     named = left.rlike(INTRODUCED + "$")
-    issued = candidate.rlike(ISSUED) & (F.length(candidate) >= 16) & candidate.rlike("[0-9A-Z]")
-    prose = candidate.rlike("^[A-Z]?[a-z]+$") & left.rlike(r"\s$") & right.rlike(r"^[,.;:!?]?\s+[A-Za-z]")
+    issued, prose = _issued(candidate), _prose(candidate, left, right)
     unnamed = ~issued & ~left.rlike(KEYWORDS) & ~left.rlike(BOUND)
     address = left.rlike(r"[/@.]$") | right.rlike(r"^[@.]\w") | (candidate.rlike(r"^[0-9]+$") & ~named)
     return F.when(named & (prose | candidate.rlike(STAND_IN)), 0.0).when(named & candidate.rlike(r"\s"), None).when(issued | named, 1.0).when(address | unnamed, 0.0)
 
 
-def labelled_findings(findings: DataFrame, max_labelled: int) -> DataFrame:
-    """At most ``max_labelled`` labelled findings of each class, taken in order of a hash: the bounded training sample."""
-    labelled = findings.withColumn("label", grammar_label(F.col("candidate"), F.col("left"), F.col("right")))
-    order = [F.xxhash64("candidate", "left", "right"), F.col("candidate"), F.col("doc_id"), F.col("ordinal")]
-    return labelled.filter("label = 1").orderBy(*order).limit(max_labelled).unionByName(labelled.filter("label = 0").orderBy(*order).limit(max_labelled))
+#: Lines that planted values are put into ({n}: a credential's name, {v}: the value, {w}: a word, {d}: a number).
+NAMES = ["token", "api_key", "apikey", "secret_key", "password", "passwd", "client_secret", "clientSecret", "access_token", "DB_PASSWORD", "AWS_SECRET_ACCESS_KEY", "auth_token", "config.api_key", "SECRET"]
+NAMED = ['{n} = "{v}"', "{n}={v}", "{n}: {v}", '"{n}": "{v}",', "export {n}={v}", "{n}={v}\nHOST={w}", "{n} = '{v}'", "get https://{w}.example.com/x?page={d}&{n}={v}&y=1 now", "{w} {w} {n} = \"{v}\" {w} {w}", "{w} {n}={v} {w}", "Authorization: Bearer {v}", "{n}: {v} {w}"]
+ANYWHERE = ["an id {v} alone", "id={v}", "{w} {v}, {w}", "key {v}", '"{v}"', "{v}", *NAMED]
+BARE = ["commit {v}", "sha256: {v}", "checksum {v} of the file", "id={v}", "uuid {v}", '{w} "{v}" {w}', "etag: \"{v}\"", "{w} {v} {w}", "integrity=sha384-{v}", "author={w}.{v}", "digest = \"{v}\"", "build_{v}", "https://{w}.example.com/{w}/{v}", "{w}{d}.{v}@mail{d}.example.com", "see https://a.example.com/path/{d}/{w}-{v}-{w} and go", "{w} {v}.", "parent: '{v}'"]
+SETTINGS = ["{n}_file={v}", "{n}_path: {v}", "{n}_url = \"{v}\"", "{n}_expires_in={v}", "{n}_type: {v}", "{n}_min_length={v}", '"{n}_name": "{v}",', "{n}_ttl = {v}", "{n}-policy: {v}", "{n}_count: {v}"]
+SENTENCES = ["the {n}: {v} {w} {w}", "a {n}: {v} is {w}", "your {n}: {v}, {w} {w}"]
+
+
+def planted_findings(spark: SparkSession, n: int = 12_000) -> DataFrame:
+    """Candidates of ``n`` lines with planted values, as ``secret_candidates`` gives them, with their ``label``.
+
+    Half of the lines hold a secret (random characters in a credential's place, or a key with an
+    issued prefix anywhere); the others hold look-alikes. Only a planted secret has label 1.
+    """
+    i = F.col("id")
+    pick = lambda values, salt: F.get(F.array(*[v if isinstance(v, Column) else F.lit(v) for v in values]), F.pmod(F.xxhash64(i, F.lit(salt)), F.lit(len(values))).cast("int"))
+    digest = F.sha2(F.concat(F.lit("planted "), i.cast("string")).cast("binary"), 512)
+    hexes, length = lambda k: F.substring(digest, 1, k), F.pmod(F.xxhash64(i, F.lit("length")), F.lit(40)).cast("int")
+    alnum = F.regexp_replace(F.base64(F.unhex(digest)), r"[+/=\s]", "")
+    letters = F.translate(digest, "0123456789", "ghijklmnop")
+    upper = F.upper(F.translate(alnum, "01", "ab"))
+    cut = lambda c, least, most: F.substr(c, F.lit(1), least + length % (most - least + 1))
+    number = F.abs(F.xxhash64(i)).cast("string")
+    uuid = F.regexp_replace(hexes(32), "^(.{8})(.{4})(.{4})(.{4})", "$1-$2-$3-$4-")
+    word = lambda salt: pick(["status", "report", "module", "river", "quick", "update", "green", "table", "music", "north"], salt)
+    random = [hexes(40), hexes(64), hexes(32), F.upper(hexes(40)), cut(alnum, F.lit(16), 44), cut(alnum, F.lit(16), 44), cut(letters, F.lit(1), 10), cut(letters, F.lit(1), 10), cut(alnum, F.lit(4), 12), F.concat(cut(alnum, F.lit(3), 8), F.lit("!"), F.substring(letters, 20, 5), F.lit("$")), F.concat(F.substring(alnum, 1, 13), F.lit("/"), F.substring(alnum, 20, 7), F.lit("/"), F.substring(alnum, 30, 18)), F.concat(F.initcap(F.substring(letters, 1, 5)), F.initcap(F.substring(letters, 8, 6)), F.substring(letters, 20, 5))]
+    issued = [F.concat(F.lit("AKIA"), F.substring(upper, 1, 16)), F.concat(F.lit("ghp_"), F.substring(alnum, 1, 36)), F.concat(F.lit("sk_live_"), F.substring(alnum, 1, 24)), F.concat(F.lit("xoxb-"), F.substring(number, 1, 12), F.lit("-"), F.substring(alnum, 1, 24)), F.concat(F.lit("AIza"), F.substring(alnum, 1, 35)), F.concat(F.lit("glpat-"), F.substring(alnum, 1, 20)), F.concat(F.lit("AKIA"), F.upper(F.substring(letters, 1, 16)))]
+    plain = [hexes(40), hexes(64), hexes(32), uuid, F.substring(number, 1, 16), F.substring(number, 1, 18), cut(alnum, F.lit(24), 60), F.concat(word("a"), F.lit("-"), F.substring(number, 1, 6), F.lit("-"), word("b"), F.lit("-"), word("c")), F.concat(word("a"), F.lit("_"), word("b"), F.lit("_"), F.substring(number, 1, 7)), F.concat(F.lit("2024-01-"), F.substring(number, 1, 8), F.lit("-"), word("a"))]
+    stand_ins = ["YOUR_API_KEY_HERE", "changeme", "your-token-here", "your_secret_key", "insert_password_here", "example-secret", "default_password", "xxxxxxxxxxxxxxxx", "********", "None", "null", "true", "$TOKEN", "${SECRET_KEY}", "{{ api_key }}", "<token>", "required", "string", "placeholder", "enter-your-key-here", "put_your_password_here", "sample_token_value", "secret", "password", "get_token()", "os.environ('KEY')"]
+    settings = [F.concat(F.lit("/run/secrets/"), word("a")), F.concat(F.lit("https://"), word("a"), F.lit(".example.com/"), word("b")), F.substring(number, 1, 4), F.substring(number, 1, 2), F.lit("bearer"), F.concat(word("a"), F.lit("-"), word("b")), F.lit("strict"), F.concat(F.lit("/etc/"), word("a"), F.lit("/"), word("b"), F.lit(".pem"))]
+    words = ["never", "always", "keep", "open", "what", "nothing", "more", "plain", "simple", "hidden"]
+    kind = F.pmod(i, F.lit(10)).cast("int")
+    by_kind = lambda secret, key, look, holder, setting, prose: F.when(kind < 3, secret).when(kind < 5, key).when(kind < 7, look).when(kind == 7, holder).when(kind == 8, setting).otherwise(prose)
+    rows = spark.range(n).select(
+        i.alias("doc_id"),
+        F.lit("planted").alias("source"),
+        by_kind(pick(NAMED, "t"), pick(ANYWHERE, "t"), pick(BARE, "t"), pick(NAMED, "t"), pick(SETTINGS, "t"), pick(SENTENCES, "t")).alias("line"),
+        by_kind(pick(random, "v"), pick(issued, "v"), pick(plain, "v"), pick(stand_ins, "v"), pick(settings, "v"), pick(words, "v")).alias("value"),
+        pick(NAMES, "n").alias("name"),
+        word("w").alias("word"),
+        F.substring(number, 3, 4).alias("number"),
+        (kind < 5).alias("secret"),
+    )
+    line = F.col("line")
+    for mark, column in (("{n}", "name"), ("{w}", "word"), ("{d}", "number"), ("{v}", "value")):
+        line = F.replace(line, F.lit(mark), F.col(column))
+    rows = rows.withColumn("text", line)
+    truth = rows.select(F.col("doc_id").alias("__id"), "secret", "value")
+    found = secret_candidates(rows).join(F.broadcast(truth), F.col("doc_id") == F.col("__id"))  # n rows
+    return found.withColumn("label", (F.col("secret") & (F.col("candidate") == F.col("value"))).cast("int")).drop("__id", "secret", "value")
 
 
-def forest_scores(findings: DataFrame, labelled: DataFrame, trees: int = 24, depth: int = 6, seed: int = 7) -> DataFrame:
+def forest_scores(findings: DataFrame, labelled: DataFrame, trees: int = 40, depth: int = 10, seed: int = 7) -> DataFrame:
     """Score every finding with a forest fitted on ``labelled`` (the features and a 0/1 ``label``).
 
     Adds score (share of trees' votes for a secret). Where the labels hold one class only, there is
@@ -141,20 +209,20 @@ def forest_scores(findings: DataFrame, labelled: DataFrame, trees: int = 24, dep
     return model.transform(assemble.transform(findings)).withColumn("score", F.get(vector_to_array("__p"), F.lit(1))).drop("__x", "__p", "__y", "__r")
 
 
-def scan_secrets(docs: DataFrame, threshold: float = 0.5, n_words: int = 400, max_labelled: int = 20_000, labelled: DataFrame | None = None) -> DataFrame:
+def scan_secrets(docs: DataFrame, threshold: float = 0.4, n_words: int = 400, labelled: DataFrame | None = None) -> DataFrame:
     """All candidates of ``docs`` with the forest's verdict.
 
-    Returns doc_id, source, ordinal, candidate, left, right, the features, score and is_secret
-    (score >= ``threshold``; with the grammar's labels also what the grammar calls a secret, as a form
-    that is rare in the sample is not outvoted). ``labelled`` may give reviewed findings (the columns of
-    ``secret_candidates`` and ``label``); else the grammar labels at most ``max_labelled`` findings
-    of each class. Texts without candidates, null and empty ones give no rows; an empty table none.
+    Returns doc_id, source, text_key, ordinal, candidate, left, right, the features, score and
+    is_secret (score >= ``threshold``). ``labelled`` may give reviewed findings (the columns of
+    ``secret_candidates`` and ``label``); else ``planted_findings`` trains the forest. Texts without
+    candidates, null and empty ones give no rows; an empty table none. Repeated rows give repeated
+    findings, rows with a null id are told apart by text_key, and other columns are ignored,
+    whatever their names.
     """
-    words = common_words(docs, n_words)
+    words = sorted({*common_words(docs, n_words), *PLACEHOLDER_WORDS})
     findings = materialize(finding_features(secret_candidates(docs), words), "findings")
-    train = labelled_findings(findings, max_labelled) if labelled is None else finding_features(labelled, words)
-    sure = F.lit(False) if labelled is not None else F.coalesce(grammar_label(F.col("candidate"), F.col("left"), F.col("right")) == 1.0, F.lit(False))
-    return forest_scores(findings, train).withColumn("is_secret", (F.col("score") >= threshold) | sure)
+    train = finding_features(planted_findings(docs.sparkSession) if labelled is None else labelled, words)
+    return forest_scores(findings, train).withColumn("is_secret", F.col("score") >= threshold)
 
 
 def redact_secrets(docs: DataFrame, findings: DataFrame, mark: str = "<secret>") -> DataFrame:

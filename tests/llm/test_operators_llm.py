@@ -636,6 +636,25 @@ def test_forest_learns_reviewed_findings(spark):
     assert len(held) > 40 and right / len(got) >= 0.95 and right / len(held) >= 0.95
 
 
+def test_forest_removes_what_the_rule_takes_for_secrets(spark):
+    """Labels follow from how lines were planted; half of the lines is held out."""
+    made = S.finding_features(S.planted_findings(spark, 6000), S.PLACEHOLDER_WORDS)
+    train = F.xxhash64("doc_id") % 2 == 0
+    rule = F.coalesce(S.grammar_label(F.col("candidate"), F.col("left"), F.col("right")), F.lit(0.0)) == 1
+    got = S.forest_scores(made.filter(~train), made.filter(train)).select((F.col("label") == 1).alias("truth"), rule.alias("rule"), (F.col("score") >= 0.4).alias("forest")).collect()
+    sure = lambda k: (sum(r["truth"] and r[k] for r in got) / sum(r[k] for r in got), sum(r["truth"] and r[k] for r in got) / sum(r["truth"] for r in got))
+    (p_rule, _), (p_forest, r_forest) = sure("rule"), sure("forest")
+    assert p_rule < 0.85 and p_forest >= 0.97 and r_forest >= 0.97
+    assert sum(r["rule"] and not r["forest"] and not r["truth"] for r in got) > 200  # only the forest removes these
+
+
+def test_look_alikes_written_apart_from_the_training_lines(spark):
+    secret = ["deploy with api_key=q8Zr2LmX0pVt7BnKs4Wd now", "client_secret: \"5f2c9e1b7a6d40838e1f0c2b9d7a6e55\"", "use ghp_9aZbY8cXdW7eVfU6gTh5SiRj4QkPl3OmN2nM here"]
+    plain = ["api_key = \"replace_with_your_key\"", "password: \"your-password\"", "token_ttl=86400", "secret_name: \"table-music\"", "git checkout 9fceb02d0ae598e95dc970b74767f19372d61af8 and build", "md5 d41d8cd98f00b204e9800998ecf8427e ok", "trace 123e4567-e89b-12d3-a456-426614174000 ended", "token_url = \"https://login.example.org/oauth\""]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(secret + plain)], SCHEMA)
+    assert {r["doc_id"] for r in S.scan_secrets(docs).filter("is_secret").collect()} == set(range(len(secret)))
+
+
 # ---- 8: token files ----------------------------------------------------------------------------
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")

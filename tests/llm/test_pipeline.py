@@ -7,6 +7,7 @@ import random
 import pytest
 import sentencepiece
 import public_tokenizers
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from catalens.llm import adaptive_quality as Q
@@ -33,8 +34,13 @@ def folder(spark, tmp_path_factory):
             words[10:10] = [str(rng.randrange(10**15, 10**16))]
         rows.append((i, " ".join(words), "en", "s", 0))
     rows += [(900, None, None, None, None), (901, "", "en", "s", 0)]
+    rows += [(700, prose(rng, 90, 3000), "en", "s", None)] * 2  # a repeated row
+    loose = [(None, prose(rng, 90, 3000), None, None, None), (None, None, "en", None, 1)]
     out = tmp_path_factory.mktemp("tables")
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(os.path.join(out, "documents.parquet"))
+    docs = spark.createDataFrame(rows + loose, "doc_id long, text string, lang string, source string, n_chars long")
+    for name in ("component_id", "kept", "score", "candidate", "n_words"):  # names that operators use
+        docs = docs.withColumn(name, F.lit("clash"))
+    docs.write.parquet(os.path.join(out, "documents.parquet"))
     spark.createDataFrame(items, "item_id long, text string").write.parquet(os.path.join(out, "benchmark.parquet"))
     return str(out), rows, items
 
@@ -45,8 +51,14 @@ def test_pipeline_equals_brute_force(spark, folder):
     component = {d: c for d, _, c in brute_components(good, 5, 80)}
     single = [r for r in good if component[r[0]] == r[0]]
     clean = [r for r in single if not any(brute_edits(C.normal_words(t), C.normal_words(r[1])) <= int(0.2 * len(C.normal_words(t))) for _, t in items)]
-    got = {r["doc_id"]: r for r in corpus_pipeline.run(spark, path).collect()}
-    assert set(got) == {r[0] for r in clean}
+    before = set(os.listdir(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")))
+    result = corpus_pipeline.run(spark, path)
+    left = set(os.listdir(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))) - before
+    assert len(left) == 1 and left.pop().startswith("pipeline-sentencepiece")  # the others are deleted
+    found = result.collect()
+    assert all(r[c] == "clash" for r in found for c in ("component_id", "kept", "score", "candidate", "n_words"))
+    assert sorted(str(r["doc_id"]) for r in found) == sorted([str(r[0]) for r in clean] + ["None"])  # the row without an id stays
+    got = {r["doc_id"]: r for r in found}
     library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     import re
 

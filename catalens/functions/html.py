@@ -227,3 +227,39 @@ def meta_pictures(pages: pd.Series, addresses: pd.Series) -> pd.DataFrame:
         return [u for u in images if u], [u for u in links if u]
 
     return pd.DataFrame([one(p, a) for p, a in zip(pages, addresses)], columns=["images", "link"])
+
+
+# The classes of a search result's cards, of their titles, links and amounts.
+CARD_CLASS = "ui-search-layout__item"
+TITLE_CLASS, OTHER_TITLE_CLASS = "ui-search-item__title", "poly-component__title"
+LINK_CLASSES = ("ui-search-link", "poly-component__title")
+FRACTION_CLASS = "andes-money-amount__fraction"
+CENTS_CLASS = "andes-money-amount__cents"
+
+
+def _tag(name: str, *classes: str) -> str:
+    """The start of a tag that has one of the classes."""
+    return rf"<{name}(?=[^>]*\sclass=\"(?:[^\">]*\s)?(?:{'|'.join(classes)})[\s\"])[^>]*>"
+
+
+def result_cards(html: Column, limit: int = 5, currency: str = "ARS") -> Column:
+    """array<struct(title, price_cents, currency, url)> of the first ``limit`` cards of a search result.
+
+    A card without title, whole amount or link is left out, and so is one whose amount is no number;
+    cents that are none count as 0. Null for a null page, empty for one without cards.
+    """
+    plain = lambda c: F.regexp_replace(F.regexp_replace(c, "<[^>]*>", ""), r"^\s+|\s+$", "")
+    title = rf"(?s)(?:{_tag('h2', TITLE_CLASS)}(.*?)</h2>|<(\w+)(?=[^>]*\sclass=\"(?:[^\">]*\s)?{OTHER_TITLE_CLASS}[\s\"])[^>]*>(.*?)</\2>)"
+    link = _tag("a", *LINK_CLASSES)
+    amount = lambda card, kind: plain(F.regexp_extract(card, rf"(?s){_tag('span', kind)}(.*?)</span>", 1))
+
+    def offer(part: Column) -> Column:
+        card = F.regexp_extract(part, r"(?s)^(.*?)(?:</ol>|</ul>|\z)", 1)  # the last one ends with its list
+        whole = F.regexp_replace(amount(card, FRACTION_CLASS), "[.,]", "").try_cast("long")
+        cents = F.coalesce(amount(card, CENTS_CLASS).try_cast("long"), F.lit(0))
+        name = plain(F.concat(F.regexp_extract(card, title, 1), F.regexp_extract(card, title, 3)))
+        url = F.regexp_extract(F.regexp_extract(card, link, 0), r"\shref=\"([^\"]*)\"", 1)
+        found = card.rlike(link) & card.rlike(title) & whole.isNotNull()
+        return F.when(found, F.struct(name.alias("title"), (whole * 100 + cents).alias("price_cents"), F.lit(currency).alias("currency"), url.alias("url")))
+
+    return F.array_compact(F.transform(F.slice(F.split(html, _tag("li", CARD_CLASS)), 2, limit), offer))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from catalens.functions import html as H
 from catalens.functions import urls as U
 from catalens.operators import catalog as C
 from catalens.operators import forms, quality
@@ -373,11 +374,17 @@ def fetch_market_api(spark, sf_dir):
     return rows.select("id", F.when(F.col("own").isNotNull(), "item").when(F.col("cents").isNotNull(), "search").otherwise("none").alias("via"), F.coalesce("own", "cents").alias("cents"))
 
 
-@R.add("scrape_competitor")
+#: The links of a page's list, made the cards of a search result; addresses that begin with t have no price, those with a no cents.
+ITEM = '<li><a href="([^"]*)">([^<]*)</a></li>'
+CARDS_SQL = f"item AS (SELECT page_id, unnest(range(1, 1 + least(5, len(u)))) AS nth, u, t FROM (SELECT page_id, regexp_extract_all(html, '{ITEM}', 1) AS u, regexp_extract_all(html, '{ITEM}', 2) AS t FROM pages))"
+
+
+@R.add("scrape_competitor", f"WITH {CARDS_SQL} SELECT page_id, trim(t[nth]) AS title, 1000000 + page_id % 1000 * 100 + CASE WHEN u[nth][:2] = '/a' THEN 0 ELSE page_id % 100 END AS price_cents, 'ARS' AS currency, u[nth] AS url FROM item WHERE trim(t[nth]) <> '' AND u[nth][:2] <> '/t'")
 def scrape_competitor(spark, sf_dir):
-    """The cards of a page's list of links: text and address, up to five of each page."""
-    links_found = F.regexp_extract_all("html", F.lit(r'(?is)<a[^>]*href="([^"]+)"[^>]*>(.*?)</a>'), F.lit(1))
-    names = F.regexp_extract_all("html", F.lit(r'(?is)<a[^>]*href="([^"]+)"[^>]*>(.*?)</a>'), F.lit(2))
-    cards = F.slice(F.arrays_zip(names.alias("name"), links_found.alias("url")), 1, 5)
-    rows = logical(spark, sf_dir, "page").select("page_id", F.posexplode(cards).alias("nth", "card"))
-    return rows.select("page_id", "nth", F.trim(F.col("card.name")).alias("name"), F.col("card.url").alias("url"))
+    """The offers of a search result: title, price in cents and address of its first five cards, incomplete ones left out."""
+    n = F.col("page_id")
+    cents = F.concat(F.lit('<span class="andes-money-amount__cents"> '), (n % 100).cast("string"), F.lit("</span>"))
+    price = lambda more: F.concat(F.lit('<span class="andes-money-amount__fraction">10.'), F.lpad((n % 1000).cast("string"), 3, "0"), F.lit("</span>"), more)
+    card = lambda begins, more: lambda page: F.regexp_replace(page, F.lit(f'<li><a href="({begins}[^"]*)">([^<]*)</a></li>'), F.concat(F.lit('<li class="x ui-search-layout__item"><h2 class="ui-search-item__title"> <b>$2</b> </h2><a class="ui-search-link y" href="$1">'), more, F.lit("</a></li>")))
+    page = card("", price(cents))(card("/a", price(F.lit("")))(card("/t", F.lit(""))(F.col("html"))))
+    return logical(spark, sf_dir, "page").select("page_id", F.explode(H.result_cards(page, 5)).alias("card")).select("page_id", "card.*")

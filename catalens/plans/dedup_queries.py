@@ -125,12 +125,13 @@ def join_incremental(spark, sf_dir):
 URLS_SQL = f"keyed AS (SELECT pos, id, {normal_url_sql('source_url')} AS canonical FROM catalog WHERE enabled), best AS (SELECT canonical, arg_min(id, pos) AS product_id FROM keyed WHERE canonical <> '' GROUP BY canonical)"
 
 
-@R.add("join_url_match", logical_sql("catalog", "audit_log").rstrip() + f", {URLS_SQL} SELECT a.id, b.product_id FROM audit_log a LEFT JOIN best b ON {normal_url_sql('a.product_source_url')} = b.canonical")
+#: Every fifth event comes by a short link, of which only the resolved address can match; every seventh is led on to another product's page.
+ASKED_URLS = ["id", "CASE WHEN id % 5 = 0 THEN 'https://s.example.com/' || CAST(id AS STRING) ELSE product_source_url END AS raw_url", "CASE WHEN id % 7 = 0 THEN 'https://shop3.example.com/offer/' || CAST(3 + 7 * (id % 100) AS STRING) ELSE product_source_url END AS resolved_url"]
+
+
+@R.add("join_url_match", logical_sql("catalog", "audit_log").rstrip() + f", {URLS_SQL}, asked AS (SELECT {', '.join(ASKED_URLS)} FROM audit_log) SELECT a.id, coalesce(b.product_id, c.product_id) AS product_id FROM asked a LEFT JOIN best b ON {normal_url_sql('a.raw_url')} = b.canonical LEFT JOIN best c ON {normal_url_sql('a.resolved_url')} = c.canonical")
 def join_url_match(spark, sf_dir):
-    keyed = logical(spark, sf_dir, "catalog").filter("enabled").select("pos", "id", normalize_url(F.col("source_url")).alias("canonical")).filter("canonical <> ''")
-    best = keyed.groupBy("canonical").agg(F.min_by("id", "pos").alias("product_id"))
-    asked = logical(spark, sf_dir, "audit_log").select("id", normalize_url(F.col("product_source_url")).alias("canonical"))
-    return asked.join(best, "canonical", "left").select("id", "product_id")
+    return D.url_matches(logical(spark, sf_dir, "audit_log").selectExpr(*ASKED_URLS), logical(spark, sf_dir, "catalog"))
 
 
 @R.add("join_semi_archive", logical_sql("catalog", "audit_log").rstrip() + f", {URLS_SQL} SELECT a.id FROM audit_log a WHERE a.action = 'verify_passed' AND a.dismissed IS NOT TRUE AND {normal_url_sql('a.product_source_url')} IN (SELECT canonical FROM best)")

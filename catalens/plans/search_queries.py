@@ -335,9 +335,10 @@ def phash_image(spark, sf_dir):
 
 @R.add("clip_preprocess")
 def clip_preprocess(spark, sf_dir):
-    """The same pictures made 16 points high and standardised."""
-    made = vectors(spark, sf_dir).select("vec_id", V.standard_pixels(16)("vector").alias("p"))
-    return made.select("vec_id", F.size("p").alias("n"), F.round(F.get("p", F.lit(0)), 4).alias("first"))
+    """The first 60 values of a vector as a coloured picture of five by four points, prepared for the picture model at 32 points a side."""
+    pixels = F.unhex(F.array_join(F.transform(F.slice("vector", 1, 60), lambda x: F.lpad(F.hex(F.pmod(F.floor(x.cast("double") * 1000), F.lit(256))), 2, "0")), ""))
+    made = vectors(spark, sf_dir).select("vec_id", V.clip_tensor(32)(pixels, F.lit(5), F.lit(4)).alias("p"))
+    return made.select("vec_id", F.size("p").alias("n"), F.round(F.get("p", F.lit(0)), 4).alias("first"), F.round(F.get("p", F.lit(3071)), 4).alias("last"))
 
 
 SIGN_SQL = "signs AS (SELECT vec_id, product_id, image, list_transform(embedding, lambda x: CAST(x AS DOUBLE) > m) AS bits FROM (SELECT *, (CAST(list_sort(embedding)[32] AS DOUBLE) + CAST(list_sort(embedding)[33] AS DOUBLE)) / 2 AS m FROM vector))"

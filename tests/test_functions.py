@@ -1,6 +1,8 @@
 """Unit tables of the scalar functions."""
 
 import datetime
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -152,3 +154,60 @@ def test_pages():
 
 def test_defaults_are_ordered():
     assert DEFAULTS.embed_name_reject_threshold < DEFAULTS.embed_name_confirm_threshold < DEFAULTS.embed_suggest_threshold < DEFAULTS.embed_match_threshold
+
+
+def test_result_cards(spark):
+    card = '<li class="ui-search-layout__item big"><h2 class="x ui-search-item__title">%s</h2>%s<a href="%s" class="ui-search-link">go</a></li>'
+    amount = '<span class="andes-money-amount__fraction"> %s </span>'
+    cents = '<span class="andes-money-amount__cents">%s</span>'
+    page = "<ol>" + "".join(
+        [
+            card % ("<b>One</b> ", amount % "12.345" + cents % "67", "/1"),
+            card % ("Two", amount % "1,000", "/2"),
+            card % ("no amount", cents % "5", "/3"),
+            card % ("no number", amount % "ask", "/4"),
+            '<li class="ui-search-layout__item"><a class="poly-component__title" href="/5">Five</a>' + amount % "7" + cents % "x" + "</li>",
+            card % ("six is one too many", amount % "1", "/6"),
+            '<li class="ui-search-layout__items"><h2 class="ui-search-item__title">other</h2></li>',
+        ]
+    )
+    got = apply(spark, [page, "", None], H.result_cards)
+    assert [tuple(c) for c in got[0]] == [("One", 1234567, "ARS", "/1"), ("Two", 100000, "ARS", "/2"), ("Five", 700, "ARS", "/5")]
+    assert got[1] == [] and got[2] is None
+    last = "<ol>" + card % ("A", "", "/a") + "</ol>" + amount % "9"
+    assert apply(spark, [last], H.result_cards) == [[]]  # an amount after the list is no card's
+
+
+def cubic(x):
+    x = abs(x)
+    return 1.5 * x**3 - 2.5 * x**2 + 1 if x < 1 else -0.5 * x**3 + 2.5 * x**2 - 4 * x + 2 if x < 2 else 0.0
+
+
+def resized(line, n):
+    """One line of points by definition."""
+    scale = len(line) / n
+    out = []
+    for o in range(n):
+        w = [cubic((i + 0.5 - (o + 0.5) * scale) / max(scale, 1)) for i in range(len(line))]
+        whole = [math.floor(a / sum(w) * 2**22 + 0.5) for a in w]
+        out.append(min(max((sum(a * b for a, b in zip(whole, line)) + 2**21) >> 22, 0), 255))
+    return out
+
+
+def test_pictures_for_the_model_equal_brute_force(spark):
+    rng = random.Random(3)
+    shapes = [(5, 4), (4, 9), (40, 30), (8, 8), (1, 1), (8, 20)]
+    pictures = [(i, bytes(rng.randrange(256) for _ in range(w * h * 3)), w, h) for i, (w, h) in enumerate(shapes)] + [(6, None, 3, 3), (7, b"abc", 2, 2), (8, b"abc", None, 1)]
+    rows = spark.createDataFrame(pictures, "i int, pixels binary, w int, h int")
+    got = {r["i"]: r["x"] for r in rows.select("i", V.clip_tensor(8)("pixels", "w", "h").alias("x")).collect()}
+    assert got[6] is got[7] is got[8] is None
+    for i, (w, h) in enumerate(shapes):
+        raw, expected = pictures[i][1], []
+        wide, high = max(8, round(w * 8 / min(w, h))), max(8, round(h * 8 / min(w, h)))
+        for c in range(3):
+            plane = [[raw[(y * w + x) * 3 + c] for x in range(w)] for y in range(h)]
+            plane = [resized(line, wide) for line in plane] if wide != w else plane
+            plane = list(zip(*[resized(list(line), high) for line in zip(*plane)])) if high != h else plane
+            left, top = (wide - 8) // 2, (high - 8) // 2
+            expected += [(plane[top + y][left + x] / 255 - V.CLIP_MEAN[c]) / V.CLIP_STD[c] for y in range(8) for x in range(8)]
+        assert got[i] == pytest.approx(expected, abs=1e-5)

@@ -160,3 +160,10 @@ def test_rate_limit_does_not_count_rejections(spark, sf_dir):
         expected = brute_rate_limit(group["ts"].astype("datetime64[us]").astype("int64").tolist(), 2, 86400 * 1_000_000)
         assert [got[e] for e in group["event_id"]] == expected
     assert not all(got.values())
+
+
+def test_url_match_tries_the_raw_address_first(spark):
+    products = spark.createDataFrame([(1, "a", True, "https://x.com/1"), (2, "b", True, "https://x.com/1/"), (3, "c", True, "https://x.com/2"), (4, "d", False, "https://x.com/3"), (5, "e", True, None)], "pos int, id string, enabled boolean, source_url string")
+    asked = [(1, "https://x.com/1?utm_source=m", "https://x.com/2"), (2, "https://s.com/q", "https://X.com/2"), (3, "https://s.com/q", None), (4, None, "https://x.com/3"), (5, None, None), (6, None, "https://x.com/1#t")]
+    got = D.url_matches(spark.createDataFrame(asked, "id int, raw_url string, resolved_url string"), products).collect()
+    assert {r["id"]: r["product_id"] for r in got} == {1: "a", 2: "c", 3: None, 4: None, 5: None, 6: "a"}

@@ -391,7 +391,7 @@ def test_markers_in_a_payload_take_linear_time(line):
     while at >= 0:
         assert headers.at(at) is None  # no blank line ends a header
         at, n = data.find(W.MARKER, at + 1), n + 1
-    assert n == len(data) // len(line) and time.process_time() - began < 3  # about 0.5 s; the square would take hours
+    assert n == len(data) // len(line) and time.process_time() - began < 3  # measured: 0.7 to 1.4 s
 
 
 def test_headers_that_share_their_end():

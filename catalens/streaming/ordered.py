@@ -1,32 +1,57 @@
 """Stateful jobs whose verdicts depend on event time alone, not on how rows are dealt to files and batches.
 
-Rows wait in the key's state until the watermark has passed them, then take effect in order of
-time. A key's waiting rows lie in slots of time, so that a task holds one slot's. A timer clears what a
-key remembers once that can't matter any more.
+Rows wait in state until the watermark has passed them, then take effect in order of time. What a key
+remembers is dropped once that can't matter any more.
+
+Every call of the state store costs as much as many rows, so state belongs to buckets of keys, not to
+keys: a bucket's waiting rows lie in slots of time, as pickled blocks that are only ever appended, and
+what its keys remember is one value. A task holds one slot of one bucket.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
+from pyspark.sql.types import IntegralType
 
 from catalens.config import DEFAULTS
 
 SECOND = 1_000_000
+#: Buckets that the keys are dealt to; a stream's checkpoint depends on it.
+BUCKETS = 1024
+
+
+def _ordered(rows: list[tuple], width: int) -> list[tuple]:
+    """Rows by their first ``width`` values, nulls first."""
+    try:
+        return sorted(rows, key=lambda r: r[:width])
+    except TypeError:
+        return sorted(rows, key=lambda r: [(x is not None, x) for x in r[:width]])
+
+
+def _values(column: pd.Series) -> np.ndarray:
+    """A column's values, with None for nulls (pandas makes whole numbers beside nulls fractions)."""
+    if not column.isna().any():
+        return column.to_numpy()
+    plain = int if column.dtype.kind == "f" else (lambda x: x)
+    return np.array([None if pd.isna(x) else plain(x) for x in column], dtype=object)
 
 
 class InOrder(StatefulProcessor):
-    """Holds rows (at, then ``columns``: name and type) and gives them to step() in order of time and columns."""
+    """Holds rows (at, then ``columns``: name and type) and gives each key's to step() in order of time and columns."""
 
     #: Columns beside the time, in the order that breaks ties.
     columns: dict[str, str] = {}
-    #: What a key remembers.
-    memory: str = ""
-    #: Columns of the result, after the key's.
+    #: Columns of the result, the key's first.
     result: list[str] = []
+    #: How many columns the key has; in a row they come last, as k0, k1, ...
+    n_keys = 1
     slot_seconds = 86_400
 
     def step(self, at: int, row: tuple, memory: tuple | None) -> tuple[tuple, tuple | None]:
@@ -39,24 +64,38 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        arrays = ", ".join(f"{c} array<{t}>" for c, t in {"at": "long", **self.columns}.items())
-        self.waiting = handle.getMapState("waiting", "slot long", arrays)
-        self.known = handle.getValueState("known", self.memory)
+        #: Blocks of rows by slot and number, with their earliest time.
+        self.waiting = handle.getMapState("waiting", "slot long, part long", "first long, rows binary")
+        self.known = handle.getValueState("known", "memory binary")
+
+    def _hold(self, slot: int, part: int, columns: list[list]) -> None:
+        self.waiting.updateValue((slot, part), (min(columns[0]), pickle.dumps(columns, pickle.HIGHEST_PROTOCOL)))
+
+    def _parts(self) -> dict[int, list[int]]:
+        """The numbers of each slot's blocks."""
+        parts: dict[int, list[int]] = {}
+        for slot, part in self.waiting.keys():
+            parts.setdefault(slot, []).append(part)
+        return parts
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        first = None
+        first, following = None, None
         for frame in rows:
             frame = frame[~frame["closing"].astype(bool)]
             if not len(frame):
                 continue
-            at = frame["at"].astype("datetime64[us]").astype("int64")
-            frame = frame.assign(at=at)
-            for slot, part in frame.groupby(at // (self.slot_seconds * SECOND)):
-                new = [part[c].tolist() for c in ("at", *self.columns)]
-                held = self.waiting.getValue((int(slot),))
-                if held is not None:
-                    new = [list(old) + xs for old, xs in zip(held, new)]
-                self.waiting.updateValue((int(slot),), tuple(new))
+            if following is None:
+                following = {slot: max(parts) + 1 for slot, parts in self._parts().items()}
+            at = frame["at"].astype("datetime64[us]").astype("int64").to_numpy()
+            slots = at // (self.slot_seconds * SECOND)
+            order = np.argsort(slots, kind="stable")
+            found, starts = np.unique(slots[order], return_index=True)
+            names = [*self.columns, *(f"k{i}" for i in range(self.n_keys))]
+            values = [at[order], *(_values(frame[c])[order] for c in names)]
+            for slot, a, b in zip(found.tolist(), starts, [*starts[1:], len(order)]):
+                part = following.get(slot, 0)
+                self._hold(slot, part, [v[a:b].tolist() for v in values])
+                following[slot] = part + 1
             first = min(int(at.min()), first) if first is not None else int(at.min())
         if first is not None:
             self.handle.registerTimer(-(-first // 1000))
@@ -64,53 +103,61 @@ class InOrder(StatefulProcessor):
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        memory = self.known.get()
-        memory = before = None if memory is None else tuple(memory)
-        next_at = None
-        for slot in sorted(k[0] for k in self.waiting.keys()):
-            if slot * self.slot_seconds * SECOND > passed:
-                next_at = min(self.waiting.getValue((slot,))[0])
+        known = self.known.get()
+        memory: dict[tuple, tuple] = {} if known is None else pickle.loads(known[0])
+        width, next_at, changed = 1 + len(self.columns), None, False
+        for slot, parts in sorted(self._parts().items()):
+            held = [self.waiting.getValue((slot, part)) for part in parts]
+            if min(first for first, _ in held) > passed:
+                next_at = min(first for first, _ in held)
                 break
-            rows = sorted(zip(*self.waiting.getValue((slot,))))
+            rows = _ordered([r for _, block in held for r in zip(*pickle.loads(block))], width)
             due = [r for r in rows if r[0] <= passed]
-            if len(due) == len(rows):
-                self.waiting.removeKey((slot,))
-            else:
+            for part in parts:
+                self.waiting.removeKey((slot, part))
+            if len(due) < len(rows):
                 rest = rows[len(due) :]
                 next_at = rest[0][0]
-                if due:
-                    self.waiting.updateValue((slot,), tuple(list(c) for c in zip(*rest)))
+                self._hold(slot, 0, [list(c) for c in zip(*rest)])
             out = []
-            for at, *row in due:
-                made, memory = self.step(at, tuple(row), memory)
-                out.append((*key, *made))
-            if out:
-                yield pd.DataFrame(out, columns=self.result)
+            for row in due:
+                owner = row[width:]
+                made, memory[owner] = self.step(row[0], row[1:width], memory.get(owner))
+                out.append((*owner, *made))
+            changed = True
+            yield pd.DataFrame({c: pd.Series(v, dtype=object) for c, v in zip(self.result, zip(*out))})
             if next_at is not None:
                 break
-        end = self.expires(memory) if memory is not None else None
+        ends = {owner: self.expires(m) for owner, m in memory.items()}
+        for owner, end in ends.items():
+            if end is not None and end <= passed:
+                del memory[owner]
+                changed = True
+        later = [end for end in ends.values() if end is not None and end > passed]
         if next_at is not None:
-            self.handle.registerTimer(-(-next_at // 1000))
-        elif end is not None and end <= passed:
-            memory = None
-        elif end is not None:
-            self.handle.registerTimer(-(-end // 1000))
-        if memory is None and before is not None:
+            later.append(next_at)
+        if later:
+            self.handle.registerTimer(-(-min(later) // 1000))
+        if not memory and known is not None:
             self.known.clear()
-        elif memory is not None and memory != before:
-            self.known.update(memory)
+        elif memory and changed:
+            self.known.update((pickle.dumps(memory, pickle.HIGHEST_PROTOCOL),))
 
     def close(self) -> None:
         pass
 
 
 def _run(events: DataFrame, keys: list[str], processor: InOrder, schema: str) -> DataFrame:
-    processor.result = [c.split()[0] for c in schema.split(", ")]
-    return events.select(*keys, "at", *processor.columns, "closing").groupBy(*keys).transformWithStateInPandas(processor, schema, "append", "EventTime")
+    processor.result, processor.n_keys = [c.split()[0] for c in schema.split(", ")], len(keys)
+    # numbers are dealt as they come, other keys by a hash; the bucket is the state's column ``key``
+    number = len(keys) == 1 and isinstance(events.schema[keys[0]].dataType, IntegralType)
+    bucket = F.pmod(keys[0] if number else F.xxhash64(*keys), F.lit(BUCKETS)).cast("long")
+    rows = events.select(bucket.alias("key"), *[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], "at", *processor.columns, "closing")
+    return rows.groupBy("key").transformWithStateInPandas(processor, schema, "append", "EventTime")
 
 
 class _RateLimit(InOrder):
-    columns, memory = {"event_id": "long"}, "log array<long>"
+    columns = {"event_id": "long"}
 
     def __init__(self, limit: int, seconds: int):
         self.limit, self.window = limit, seconds * SECOND
@@ -130,7 +177,7 @@ def rate_limit(events: DataFrame, limit: int = DEFAULTS.rate_limit_per_window, s
 
 
 class _Lockout(InOrder):
-    columns, memory = {"event_id": "long", "failed": "boolean"}, "log array<long>, until long"
+    columns = {"event_id": "long", "failed": "boolean"}
 
     def __init__(self, failures: int, seconds: int):
         self.failures, self.window = failures, seconds * SECOND
@@ -161,7 +208,7 @@ def lockout(events: DataFrame, failures: int = DEFAULTS.lockout_failures, second
 
 
 class _FirstOfEach(InOrder):
-    columns, memory = {"event_id": "long"}, "kept long"
+    columns = {"event_id": "long"}
 
     def __init__(self, seconds: int):
         self.window, self.slot_seconds = seconds * SECOND, seconds
@@ -185,34 +232,22 @@ def first_of_each(events: DataFrame, keys: dict[str, str], seconds: int) -> Data
 
 
 class _PriceDrift(InOrder):
-    columns = {"order_no": "long", "line_no": "long", "price_cents": "long", "currency": "string", "source": "string"}
-    memory = "sources array<string>, cents array<long>, currencies array<string>, seen array<long>"
-    slot_seconds = 86_400 * 3650
+    columns = {"order_no": "long", "line_no": "long", "price_cents": "long", "currency": "string"}
+    slot_seconds = 86_400 * 365
 
     def __init__(self, days: int | None):
         self.window = None if days is None else days * 86_400 * SECOND
 
     def step(self, at, row, memory):
-        _, _, cents, currency, source = row
-        last = {s: (c, u, t) for s, c, u, t in zip(*memory)} if memory else {}
-        old = last.get(source)
-        if old is not None and self.window is not None and at - old[2] > self.window:
-            old = None
-        last[source] = (cents, currency, at)
-        if self.window is not None:
-            last = {s: x for s, x in last.items() if at - x[2] <= self.window}
-        previous = (old[0], old[1]) if old else (None, None)
-        return (source, cents, currency, *previous), (list(last), *([x[i] for x in last.values()] for i in range(3)))
+        _, _, cents, currency = row
+        known = memory is not None and (self.window is None or at - memory[2] <= self.window)
+        return (cents, currency, *(memory[:2] if known else (None, None))), (cents, currency, at)
 
     def expires(self, memory):
-        return None if self.window is None else max(memory[3]) + self.window + 1
+        return None if self.window is None else memory[2] + self.window + 1
 
 
 def price_drift(snapshots: DataFrame, days: int | None = DEFAULTS.price_history_retention_days) -> DataFrame:
-    """Each snapshot (product_id, source, price_cents, currency, at, order_no, line_no) with the one before it, if that is at most ``days`` old (null: of any age).
-
-    The state of a product holds the last price of each of its sources, as there are far fewer
-    products than pairs; a product's sources are few.
-    """
+    """Each snapshot (product_id, source, price_cents, currency, at, order_no, line_no) with the one before it, if that is at most ``days`` old (null: of any age)."""
     schema = "product_id string, source string, price_cents long, currency string, previous_cents long, previous_currency string"
-    return _run(snapshots, ["product_id"], _PriceDrift(days), schema)
+    return _run(snapshots, ["product_id", "source"], _PriceDrift(days), schema)

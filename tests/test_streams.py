@@ -136,6 +136,27 @@ def test_price_drift_by_event_time(spark, tmp_path):
         assert {(r["source"], r["price_cents"]): r["previous_cents"] for r in got} == {("s", 100): None, ("s", 110): 100, ("t", 50): None, ("s", 120): 110, ("s", 130): None}
 
 
+def test_keys_share_buckets_of_state(spark, tmp_path, monkeypatch):
+    """State is read and written a bucket at a time; keys of one bucket, nulls among them, don't touch each other's."""
+    monkeypatch.setattr(ordered, "BUCKETS", 2)
+    rng = random.Random(8)
+    rows = [(rng.choice([None, "a", "b", "c", "d"]), rng.choice([None, "s", "t"]), rng.randrange(1, 2**60), "USD", i, 1, at(rng.randrange(0, 40 * 86_400))) for i in range(120)]
+    expected, last = [], {}
+    for product, source, cents, currency, order_no, line_no, t in sorted(rows, key=lambda r: (r[-1], r[4])):
+        old = last.get((product, source))
+        near = old is not None and t - old[1] <= timedelta(days=5)
+        expected.append((product, source, cents, old[0] if near else None))
+        last[product, source] = (cents, t)
+    for stream in layouts(spark, tmp_path, rows, "product_id string, source string, price_cents long, currency string, order_no long, line_no long, at timestamp"):
+        got = jobs.drain(stream, lambda s: ordered.price_drift(s, days=5), late="60 days").collect()
+        assert sorted(((r["product_id"], r["source"], r["price_cents"], r["previous_cents"]) for r in got), key=repr) == sorted(expected, key=repr)
+    made = ordered.rate_limit(feed(spark, str(tmp_path / "in"), [(k, k, at(k)) for k in range(40)], "key long, event_id long, at timestamp", 1).withColumn("closing", F.lit(False)).withWatermark("at", "1 day"))
+    query = made.writeStream.format("memory").queryName("bucketed").option("checkpointLocation", str(tmp_path / "check")).outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    waiting = spark.read.format("statestore").option("path", str(tmp_path / "check")).option("stateVarName", "waiting").load()
+    assert {r["key"]["key"] for r in waiting.collect()} == {0, 1}
+
+
 # ---- pages -------------------------------------------------------------------------------------
 
 

@@ -167,3 +167,16 @@ def test_url_match_tries_the_raw_address_first(spark):
     asked = [(1, "https://x.com/1?utm_source=m", "https://x.com/2"), (2, "https://s.com/q", "https://X.com/2"), (3, "https://s.com/q", None), (4, None, "https://x.com/3"), (5, None, None), (6, None, "https://x.com/1#t")]
     got = D.url_matches(spark.createDataFrame(asked, "id int, raw_url string, resolved_url string"), products).collect()
     assert {r["id"]: r["product_id"] for r in got} == {1: "a", 2: "c", 3: None, 4: None, 5: None, 6: "a"}
+
+
+def test_pair_queries_take_every_page(spark, sf_dir):
+    """No page is left out, every seventeenth neither."""
+    from catalens.functions.text import tokenize
+    from catalens.plans import dedup_queries as Q
+
+    n = Q.texts(spark, sf_dir).select(F.sum(F.size(tokenize(F.col("name"))))).first()[0]
+    assert Q.agg_doc_freq(spark, sf_dir).agg(F.sum("df")).first()[0] == n
+    for name in ("join_token_block", "token_set_ratio", "text_similarity"):
+        pairs = getattr(Q, name)(spark, sf_dir)
+        assert pairs.filter("CAST(a AS BIGINT) % 17 = 0 OR CAST(b AS BIGINT) % 17 = 0").count() > 0
+    assert Q.setop_pair_dedup(spark, sf_dir).filter("CAST(a AS BIGINT) % 17 = 0").count() > 0

@@ -180,3 +180,10 @@ def test_pair_queries_take_every_page(spark, sf_dir):
         pairs = getattr(Q, name)(spark, sf_dir)
         assert pairs.filter("CAST(a AS BIGINT) % 17 = 0 OR CAST(b AS BIGINT) % 17 = 0").count() > 0
     assert Q.setop_pair_dedup(spark, sf_dir).filter("CAST(a AS BIGINT) % 17 = 0").count() > 0
+
+
+def test_best_pictures_shuffle_no_pairs(spark, sf_dir):
+    from catalens.plans.search_queries import agg_image_best
+
+    plan = agg_image_best(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(query_id" not in plan and "hashpartitioning(id" in plan

@@ -211,3 +211,14 @@ def test_pictures_for_the_model_equal_brute_force(spark):
             left, top = (wide - 8) // 2, (high - 8) // 2
             expected += [(plane[top + y][left + x] / 255 - V.CLIP_MEAN[c]) / V.CLIP_STD[c] for y in range(8) for x in range(8)]
         assert got[i] == pytest.approx(expected, abs=1e-5)
+
+
+def test_tensors_come_in_small_parts(spark, monkeypatch):
+    """The same tensors as the column function's, a few pictures at once."""
+    from catalens.functions import vectors as V
+
+    monkeypatch.setattr(V, "CLIP_ROWS", 3)
+    rows = spark.createDataFrame([(i, bytes(range(i, i + 60)) if i % 4 else None, 5, 4) for i in range(10)], "id long, pixels binary, width int, height int").coalesce(1)
+    got = {r["id"]: r["tensor"] for r in V.clip_tensors(rows, 8).collect()}
+    assert got == {r["id"]: r["p"] for r in rows.select("id", V.clip_tensor(8)("pixels", "width", "height").alias("p")).collect()}
+    assert got[0] is None and len(got[1]) == 192

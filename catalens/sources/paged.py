@@ -5,7 +5,7 @@
 
 The offset is the number of rows taken, so a restart goes on after the last committed row: a page
 that was short and has been filled since gives its new rows only. Footers tell how many rows there
-are; every page is a partition of its own, whose task opens only the row groups under it.
+are; a task takes TASK_ROWS rows of whole pages and reads the row groups under them once, batch by batch.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs
@@ -35,11 +36,14 @@ def _files(path: str) -> list[str]:
     return sorted(f.path for f in store.get_file_info(fs.FileSelector(where)) if f.path.endswith(".parquet"))
 
 
+#: Rows of a task, as whole pages.
+TASK_ROWS = 1 << 17
+
+
 @dataclass
-class Page(InputPartition):
-    number: int
-    #: (file, its row groups, rows to leave out at their start, rows to take).
-    parts: list[tuple[str, list[int], int, int]]
+class Pages(InputPartition):
+    #: (file, its row group, rows to leave out at its start, rows to take, the first of them counted over all files).
+    parts: list[tuple[str, int, int, int, int]]
 
 
 class PagedReader(DataSourceStreamReader):
@@ -60,25 +64,32 @@ class PagedReader(DataSourceStreamReader):
     def latestOffset(self) -> dict:
         return {"rows": sum(n for _, _, n in self._groups())}
 
-    def partitions(self, start: dict, end: dict) -> list[Page]:
+    def partitions(self, start: dict, end: dict) -> list[Pages]:
         """The pages that hold the rows ``start`` to ``end``; the first and the last may be short."""
-        pages: dict[int, list] = {}
+        stretch = max(1, TASK_ROWS // self.size) * self.size
+        tasks: dict[int, list] = {}
         at = 0
         for name, group, n in self._groups():
             low, high = max(at, start["rows"]), min(at + n, end["rows"])
-            for number in range(low // self.size, -(-high // self.size) if high > low else 0):
-                first, last = max(low, number * self.size), min(high, (number + 1) * self.size)
-                pages.setdefault(number, []).append((name, [group], first - at, last - first))
+            for k in range(low // stretch, -(-high // stretch) if high > low else 0):
+                first, last = max(low, k * stretch), min(high, (k + 1) * stretch)
+                tasks.setdefault(k, []).append((name, group, first - at, last - first, first))
             at += n
-        return [Page(number, parts) for number, parts in sorted(pages.items())]
+        return [Pages(parts) for _, parts in sorted(tasks.items())]
 
-    def read(self, partition: Page) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Pages) -> Iterator[pa.RecordBatch]:
         store, _ = _store(self.path)
-        for name, groups, skip, take in partition.parts:
+        for name, group, skip, take, at in partition.parts:
             with store.open_input_file(name) as f:
-                rows = pq.ParquetFile(f).read_row_groups(groups, columns=self.names[:-1]).slice(skip, take)
-            for batch in rows.to_batches():
-                yield pa.record_batch([*batch.columns, pa.array([partition.number] * batch.num_rows, pa.int64())], names=self.names)
+                for batch in pq.ParquetFile(f).iter_batches(row_groups=[group], columns=self.names[:-1]):
+                    rows = batch.slice(min(skip, batch.num_rows), take)
+                    skip = max(0, skip - batch.num_rows)
+                    if rows.num_rows:
+                        numbers = pa.array(np.arange(at, at + rows.num_rows) // self.size, pa.int64())
+                        yield pa.record_batch([*rows.columns, numbers], names=self.names)
+                        at, take = at + rows.num_rows, take - rows.num_rows
+                    if not take:
+                        break
 
 
 class PagedTable(DataSource):

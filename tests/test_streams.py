@@ -160,6 +160,23 @@ def test_keys_share_buckets_of_state(spark, tmp_path, monkeypatch):
 # ---- pages -------------------------------------------------------------------------------------
 
 
+def test_a_task_takes_many_pages_and_every_row_once(tmp_path, monkeypatch):
+    """Before, each page was a task that read its whole row group."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from catalens.sources import paged
+
+    pq.write_table(pa.table({"n": list(range(200_000))}), tmp_path / "a.parquet", row_group_size=150_000)
+    pq.write_table(pa.table({"n": list(range(200_000, 200_950))}), tmp_path / "b.parquet")
+    schema = PagedTable({"path": str(tmp_path)}).schema()
+    reader = paged.PagedReader(str(tmp_path), 100, schema)
+    for start in (0, 130_050):
+        tasks = reader.partitions({"rows": start}, reader.latestOffset())
+        assert len(tasks) == 2
+        got = [row for task in tasks for batch in reader.read(task) for row in zip(*(c.to_pylist() for c in batch.columns))]
+        assert got == [(n, n // 100) for n in range(start, 200_950)]
+
+
 def test_pages_go_on_after_the_last_committed_row(spark, tmp_path):
     folder, seen = str(tmp_path / "part"), []
     spark.dataSource.register(PagedTable)

@@ -37,6 +37,33 @@ def test_blocking_equals_its_definition(spark):
     assert got == expected
 
 
+def test_copies_are_one_class_and_no_link_is_lost(spark):
+    """Pairs of classes and their members give the pairs of all products; a title's copies are not paired with each other."""
+    rng = np.random.default_rng(6)
+    vocabulary = [f"word{i}" for i in range(25)]
+    names = [" ".join(rng.choice(vocabulary, rng.integers(0, 5))) for _ in range(30)]
+    names = [names[i] for i in rng.integers(0, 30, 90)] + ["the"] * 3  # no key: no links, though equal
+    config, rows = replace(DEFAULTS, common_df=6), products(spark, names)
+    everyone = {(r["a"], r["b"]) for r in D.candidate_pairs(rows, config).collect()}
+    classes, pairs, copies = D.linked_classes(rows, ["name"], config)
+    of = {r["id"]: r["class_id"] for r in D.members(rows, classes, ["name"]).collect()}
+    assert classes.count() == len(set(names)) and len(of) == len(names)
+    linked = {(r["a"], r["b"]) for r in pairs.collect()}
+    assert linked == {tuple(sorted((of[a], of[b]))) for a, b in everyone if of[a] != of[b]}
+    held = {r["b"]: r["a"] for r in copies.collect()}
+    assert held == {i: of[i] for pair in everyone for i in pair if of[i] != i and of[pair[0]] == of[pair[1]]}
+    counts = {r["id"]: r["links"] for r in D.link_counts(rows, classes, ["name"], pairs, copies).collect()}
+    assert counts == {i: sum(i in pair for pair in everyone) for i in of}
+
+
+def test_keys_of_many_holders_are_dealt_out(spark, monkeypatch):
+    keys = spark.createDataFrame([(k, f"{k}{i % 40}") for k in ("x", "y") for i in range(40)] + [("z", "x1"), ("z", "y1"), ("w", "x1")], "key string, id string")
+    expected = {(f"{k}{i}", f"{k}{j}") for k in "xy" for i in range(40) for j in range(40) if f"{k}{i}" < f"{k}{j}"} | {("x1", "y1")}
+    monkeypatch.setattr(D, "PART_HOLDERS", 7)
+    got = [(r["a"], r["b"]) for r in D.sharing(keys).collect()]
+    assert len(got) == len(set(got)) and set(got) == expected
+
+
 def test_url_duplicates_come_first_and_ids_are_text(spark):
     rows = products(spark, ["red widget", "red widget", "blue lamp"] * 4, url=["https://a.co/1", None, "https://a.co/1?spm=2"] * 4)
     got = {r["drop_id"]: (r["keep_id"], r["confidence"]) for r in D.duplicate_pairs(rows).collect()}

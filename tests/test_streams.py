@@ -233,6 +233,21 @@ def test_delete_empties_folders(spark, tmp_path):
     assert table.delete(F.col("k") < 25) == []
 
 
+def test_a_large_folder_is_written_by_several_tasks(spark, tmp_path):
+    table = KeyedTable(spark, f"file://{tmp_path}/t", "k long, v string", ["k"], n_buckets=2)
+    parts = lambda: [len(list(folder.glob("part-*.parquet"))) for folder in sorted((tmp_path / "t").glob("bucket=*"))]
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        table.insert(spark.range(0, 20000, 1, 8).select(F.col("id").alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("v")))
+        assert len(parts()) == 2 and min(parts()) > 1
+        table.update(spark.range(0, 20000, 2, 4).select(F.col("id").alias("k")), {"v": F.lit("set")})
+        assert len(parts()) == 2
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    got = table.read().selectExpr("count(*)", "count(DISTINCT k)", "count_if(v = 'set')", "count_if(v = sha2(string(k), 256))").first()
+    assert tuple(got) == (20000, 20000, 10000, 10000)
+
+
 def test_a_failed_change_leaves_the_old_rows(spark, tmp_path):
     table = KeyedTable(spark, f"file://{tmp_path}/t", "k long, v string", ["k"], n_buckets=2)
     table.upsert(spark.createDataFrame([(i, "old") for i in range(20)], "k long, v string"))

@@ -32,6 +32,11 @@ def test_canonical_urls(spark):
     assert apply(spark, given, U.normalize_url) == ["https://a.com?a=1&a1=2&q=x+y"] * 2 + ["https://a.com?a=%25zz&b=~%2A~", "https://a.com?=v&c=%C3%A9"]
 
 
+def test_normalize_url_takes_each_step_once(spark):
+    plan = spark.createDataFrame([("x",)], "u string").select(U.normalize_url(F.col("u")).alias("c"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("lower(u") == 1
+
+
 def test_url_similarity_needs_two_urls(spark):
     same = apply(spark, ["https://a.com/x", None], lambda c: U.url_similarity(c, c))
     assert same == [1.0, 0.0]

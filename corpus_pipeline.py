@@ -12,10 +12,13 @@ only the last stage replaces columns named as those that it adds.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from catalens.llm._common import drop_scratch, scratch_scope, table
+from catalens.llm._common import ARROW_BATCHES, drop_scratch, scratch_scope, table
 from catalens.llm.adaptive_quality import keep_good
 from catalens.llm.cgk_decontam import find_items
 from catalens.llm.ngram_join import keep_one_of_each
@@ -23,6 +26,19 @@ from catalens.llm.piece_spans import piece_digests
 from catalens.llm.secret_forest import redact_secrets, scan_secrets
 
 
+def small_batches(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The session hands Python tasks a few MB at once from here on, as a stage's rows are made when its result is written."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        for k, v in ARROW_BATCHES.items():
+            spark.conf.set(k, v)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@small_batches
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality rules: documents that the rules reject go.
 
@@ -32,6 +48,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_good(docs)
 
 
+@small_batches
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join on five-word shingles at 0.8: of each group the document with the smallest id stays.
 
@@ -41,6 +58,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return keep_one_of_each(docs, n=5, percent=80)
 
 
+@small_batches
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark decontamination: documents that hold a passage of the benchmark go.
 
@@ -50,6 +68,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return find_items(docs, table(spark, sf_dir, "benchmark"), keep="clean")
 
 
+@small_batches
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secret scans: every document stays, with its secrets replaced by a mark.
 
@@ -59,6 +78,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return redact_secrets(docs, scan_secrets(docs))
 
 
+@small_batches
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SentencePiece encoding and decoding: the documents with the digests of their pieces, spans and decoded text.
 

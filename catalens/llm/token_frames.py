@@ -16,6 +16,7 @@ takes the two tables and the index blocks and frames of the documents that it wa
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
@@ -89,6 +90,7 @@ class ChunkCoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.model._resize_cache(0)  # each chunk is asked for once: the library's cache of words would only fill
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.first, self.inner = Memo(max_chunks), Memo(max_chunks)
         self.odd = re.compile(r"[\x1c-\x1f\x85\u180e\u200b\ufeff]").search
@@ -175,7 +177,8 @@ _coders: dict[str, ChunkCoder] = {}
 
 
 def coder(path: str) -> ChunkCoder:
-    """One coder for each worker process and vocabulary."""
+    """One coder for each worker process and vocabulary. The library starts no threads, as Spark deals out the cores."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     if path not in _coders:
         _coders[path] = ChunkCoder(path)
     return _coders[path]

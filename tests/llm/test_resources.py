@@ -1,7 +1,10 @@
-"""What tasks and scratch tables hold: batches of rows, shuffled files."""
+"""What tasks and scratch tables hold: batches of rows, shuffled files, threads."""
 
 from __future__ import annotations
 
+import subprocess
+import sys
+
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -51,3 +54,17 @@ def test_pipeline_stages_hand_tasks_a_few_mb_at_once(spark):
     stage = corpus_pipeline.small_batches(lambda spark, docs, sf_dir: docs.mapInArrow(_batch_bytes(), "n long"))
     assert max(r.n for r in stage(spark, _long_texts(spark), "").collect()) < 6 << 20
     spark.conf.set(key, before)
+
+
+def test_the_token_coder_starts_no_threads():
+    code = """
+import os, public_tokenizers
+from catalens.llm.token_frames import coder
+threads = lambda: len(os.listdir("/proc/self/task"))
+ours = coder(public_tokenizers.path("byte_bpe_50k.json"))
+before = threads()
+ours.encode([" ".join(f"w{i}x{k}" for k in range(200)) for i in range(50)])
+print(threads() - before)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True)
+    assert int(out.stdout) == 0

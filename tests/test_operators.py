@@ -209,6 +209,17 @@ def test_pair_queries_take_every_page(spark, sf_dir):
     assert Q.setop_pair_dedup(spark, sf_dir).filter("CAST(a AS BIGINT) % 17 = 0").count() > 0
 
 
+def test_best_match_takes_every_page(spark, tmp_path):
+    """Every seventeenth page is a match where it is the best."""
+    from catalens.plans import dedup_queries as Q
+
+    titles = {17: "red oak chair", 20: "red oak chair", 21: "steel lamp", 22: "red pine table"}
+    rows = [(i, f"https://x.com/{i}", f'<title>{t}</title><div class="ad">{t}</div>') for i, t in titles.items()]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = Q.join_theta_best(spark, str(tmp_path)).collect()
+    assert [(r["query_id"], r["product_id"], r["is_duplicate"], r["confidence"]) for r in got] == [(20, "17", True, 1.0)]
+
+
 def test_best_pictures_shuffle_no_pairs(spark, sf_dir):
     from catalens.plans.search_queries import agg_image_best
 

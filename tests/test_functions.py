@@ -227,3 +227,10 @@ def test_tensors_come_in_small_parts(spark, monkeypatch):
     got = {r["id"]: r["tensor"] for r in V.clip_tensors(rows, 8).collect()}
     assert got == {r["id"]: r["p"] for r in rows.select("id", V.clip_tensor(8)("pixels", "width", "height").alias("p")).collect()}
     assert got[0] is None and len(got[1]) == 192
+
+
+def test_the_query_prepares_whole_tensors(spark, sf_dir):
+    """Pictures get the model's 224 points a side."""
+    from catalens.plans.search_queries import clip_preprocess
+
+    assert [r["n"] for r in clip_preprocess(spark, sf_dir).select("n").distinct().collect()] == [3 * 224 * 224]

@@ -226,3 +226,23 @@ def test_best_pictures_shuffle_no_pairs(spark, sf_dir):
     plan = agg_image_best(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     shuffled = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
     assert len(shuffled) == 1 and "query_id" not in shuffled[0]
+
+
+def test_best_pictures_with_missing_numbers_ties_and_blocks(spark, tmp_path, monkeypatch):
+    """As the SQL: a missing number adds nothing, of equal scores the smallest image, a picture without a score comes last; queries meet products in blocks, without a nested loop."""
+    import random
+
+    from catalens.operators import search
+    from catalens.plans.search_queries import R, agg_image_best
+    from oracle import assert_same, connect
+
+    monkeypatch.setattr(search, "QUERY_BLOCK", 2)
+    rng = random.Random(5)
+    vectors = [[rng.randrange(-8, 9) / 8 for _ in range(64)] for _ in range(66)]
+    vectors[21], vectors[40][3], vectors[30], vectors[50], vectors[51] = vectors[20], None, None, None, [None] * 64
+    vectors[7] = [0.0005] + [0.0] * 63
+    vectors[60] = [0.001] + [0.0] * 63  # the product lies halfway between two numbers of six digits
+    spark.createDataFrame([(i, v, 0) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = agg_image_best(spark, str(tmp_path))
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+    assert_same(got.toPandas(), connect(str(tmp_path)).execute(R.oracles["agg_image_best"]).df())

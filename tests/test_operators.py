@@ -246,3 +246,23 @@ def test_best_pictures_with_missing_numbers_ties_and_blocks(spark, tmp_path, mon
     got = agg_image_best(spark, str(tmp_path))
     assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
     assert_same(got.toPandas(), connect(str(tmp_path)).execute(R.oracles["agg_image_best"]).df())
+
+
+@pytest.mark.parametrize("name", ["join_token_block"])
+def test_pair_queries_return_every_pair_of_pages(spark, tmp_path, monkeypatch, name):
+    """Copies of a text are paired with each other and with all others, each pair by its own pictures, also where a class takes several rows."""
+    import random
+
+    from catalens.plans import dedup_queries as Q
+    from oracle import assert_same, connect
+
+    monkeypatch.setattr(D, "CHUNK_MEMBERS", 2)
+    rng = random.Random(4)
+    titles = ["red oak chair", "red oak chairs", "steel lamp", "the", "red pine table"]
+    pages = [(i, f"https://x.com/{i}", f'<title>{titles[min(rng.randrange(9), 4)]}</title><div class="ad">{rng.choice(["", "old"])}</div>') for i in range(1, 28)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    vectors = [(i, [rng.random() for _ in range(64)], 0) for i in range(40)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = getattr(Q, name)(spark, str(tmp_path)).toPandas()
+    assert_same(got, connect(str(tmp_path)).execute(Q.R.oracles[name]).df())
+    assert len(got[["a", "b"]].drop_duplicates()) == len(got) > 27

@@ -248,7 +248,7 @@ def test_best_pictures_with_missing_numbers_ties_and_blocks(spark, tmp_path, mon
     assert_same(got.toPandas(), connect(str(tmp_path)).execute(R.oracles["agg_image_best"]).df())
 
 
-@pytest.mark.parametrize("name", ["join_token_block", "token_set_ratio", "text_similarity", "join_incremental"])
+@pytest.mark.parametrize("name", ["join_token_block", "token_set_ratio", "text_similarity", "join_incremental", "compare"])
 def test_pair_queries_return_every_pair_of_pages(spark, tmp_path, monkeypatch, name):
     """Copies of a text are paired with each other and with all others, each pair by its own pictures, also where a class takes several rows."""
     import random
